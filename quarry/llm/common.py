@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
 import uuid
 
@@ -11,23 +10,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: The six ASCII white-space characters that separate words.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: The same class for Spark's regular expressions.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
-#: Lower-cases A-Z only, as str.translate's table.
-LOWER_AZ = {c: c + 32 for c in range(65, 91)}
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-def words_of(text: str | None) -> list[str]:
-    """Words of a text: maximal runs without ASCII white space; none for null."""
-    return WORD.findall(text) if text else []
+def words_of(text: str | None, lower: bool = False) -> list[bytes]:
+    """Words of a text as UTF-8: maximal runs without the six white-space characters; none for null.
 
-
-def lower_az(text: str) -> str:
-    """Lower-cases A-Z and leaves every other character as it is."""
-    return text.lower() if text.isascii() else text.translate(LOWER_AZ)
+    ``lower`` lower-cases A-Z only. On bytes both are Python's own operations: in UTF-8
+    no other character has a byte below 128.
+    """
+    if not isinstance(text, str):
+        return []
+    return text.encode().lower().split() if lower else text.encode().split()
 
 
 def ready(spark: SparkSession) -> SparkSession:

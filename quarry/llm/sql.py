@@ -50,5 +50,20 @@ SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::
 FROM d LEFT JOIN a USING (r)"""
 
 
+def _contamination(window: int = 10) -> str:
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS ws FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {words} AS ws FROM benchmark),
+bw AS (SELECT DISTINCT item, least(len(ws), {window}) AS n, list_slice(ws, i, i + least(len(ws), {window}) - 1) AS g FROM b, unnest(range(1, greatest(len(ws) - {window - 1}, 1) + 1)) AS u(i) WHERE len(ws) > 0),
+n AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT r, i, n.n, list_slice(ws, i, i + n.n - 1) AS g FROM d, n, unnest(CASE WHEN len(ws) >= n.n THEN range(1, (len(ws) - n.n + 2)::BIGINT) ELSE [] END) AS u(i)),
+h AS (SELECT dw.r, dw.i, dw.n, bw.item FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g),
+c AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM h, range(0, {window}) AS o(k) WHERE k < n GROUP BY r),
+t AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": _quality(), "op4_line_dedup": _lines()}
+    return {"op3_quality_rules": _quality(), "op4_line_dedup": _lines(), "op10_decontamination": _contamination()}
