@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarry.llm import decontam, lines, packing, quality, secrets, sql
+from quarry.llm import decontam, lines, packing, quality, secrets, sql, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +37,19 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined(of("assign", "access", "hex")), 256).alias("base_sha256"), _joined(F.col("secrets")).alias("spans"))
 
 
+def _lengths(spans):
+    return F.aggregate(spans, F.lit(0), lambda s, x: s + x["end"] - x["start"]).cast("long")
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.removal_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", _lengths("spans").alias("n_removed"), "kept_sha256")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
-    n_hit = F.aggregate("hit_spans", F.lit(0), lambda s, x: s + x["end"] - x["start"]).cast("long")
+    n_hit = _lengths("hit_spans")
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("hit_items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
