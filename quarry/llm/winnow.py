@@ -79,6 +79,19 @@ def fingerprints(units: np.ndarray, ends: np.ndarray, width: int, gram: int) ->
     return starts, least[starts].view(np.int64), rolling
 
 
+def anchors(units: np.ndarray, ends: np.ndarray, width: int, gram: int) -> list[np.ndarray]:
+    """By document: the hash of each gram that is the fingerprint of some window, as often as it stands there."""
+    least = np.zeros(len(units), np.uint64)  # of places where no whole window starts: below every hash but 0
+    starts, prints, rolling = fingerprints(units, ends, width, gram)
+    least[starts] = prints.view(np.uint64)
+    h = mixed(rolling.windows(gram))
+    reach = width - gram + 1
+    # the greatest fingerprint of the windows that hold the gram at p, which start at p - reach + 1 to p
+    greatest = ~sliding_min(~np.concatenate((np.zeros(reach - 1, np.uint64), least[: len(h)])), reach) if len(h) else h
+    at = np.flatnonzero(greatest == h)
+    return np.split(h[at].view(np.int64), np.searchsorted(at, ends)[:-1])
+
+
 def runs_of(starts: np.ndarray, prints: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Runs of neighbouring windows with one fingerprint, as indices (first, end exclusive), of ``most`` windows at most."""
     if not len(starts):
