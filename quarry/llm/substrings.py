@@ -22,7 +22,7 @@ WINDOW = 50
 #: Words of the grams whose least hash is a window's fingerprint.
 GRAM = 16
 #: Word hashes kept by a worker.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 
 _HASHES: dict[bytes, int] = {}
 
