@@ -29,7 +29,7 @@ _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 #: U+0130 becomes two characters in lower case.
 _OTHER = re.compile("[^\x00-įı-ſ]|<\\|")
 #: Words kept by a worker; beyond that the cache starts anew.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 500_000
 #: New words that are encoded as one text.
 ROW = 500
 
@@ -63,10 +63,10 @@ class WordBpe:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         cut = [None if _OTHER.search(t) else _SPLIT.findall(t.lower()) for t in texts]
-        new = list({w for words in cut if words for w in words} - self.cache.keys())
+        there = set().union(*filter(None, cut))
+        new = [w for w in there if w not in self.cache]
         if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache = {}
-            new = list({w for words in cut if words for w in words})
+            self.cache, new = {}, list(there)
         for k in range(0, len(new), 20_000):
             self.cache.update(zip(new[k : k + 20_000], self._words(new[k : k + 20_000]), strict=True))
         get = self.cache.__getitem__
