@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm import winnow
-from quarry.llm.common import Scratch, words_of
+from quarry.llm.common import Scratch
 
 WINDOW = 50
 #: Words of the grams whose least hash is a window's fingerprint.
@@ -44,11 +44,11 @@ def _sha(words: list[bytes]) -> str:
 
 
 def _laid(pdf: pd.DataFrame, window: int, gram: int):
-    """Slices of a batch: (rows, words of each, document ends, window starts, fingerprints, hashes)."""
-    # words are at least two bytes apart
-    for a, b in winnow.laid([len(t) // 4 if isinstance(t, str) else 0 for t in pdf["text"]]):
+    """Slices of a batch, of texts or compressed ones: (rows, words of each, document ends, window starts, fingerprints, hashes)."""
+    texts = winnow.unzipped(pdf["z"]) if "z" in pdf else [t.encode() if isinstance(t, str) else b"" for t in pdf["text"]]
+    for a, b in winnow.laid([len(t) // 4 for t in texts]):
         some = pdf.iloc[a:b]
-        words = [words_of(t) for t in some["text"]]
+        words = [t.split() for t in texts[a:b]]
         ends = np.cumsum([len(w) for w in words])
         units = np.concatenate([hashes(w) for w in words]) if len(words) else np.zeros(0, np.uint64)
         starts, prints, rolling = winnow.fingerprints(units, ends, window, gram)
@@ -103,22 +103,23 @@ def removal_spans(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, id
     """
     scratch = Scratch(docs.sparkSession)
     rows = winnow.keyed(docs, id_col, text_col)
-    told, some = winnow.candidates(rows, scratch, _first_pass(window, gram), "n_words", F.col("lo") < F.col("hi"))
+    told, some = winnow.candidates(rows, scratch, _first_pass(window, gram), "n_words", lambda i: F.min(i) < F.max(i))
     windows = scratch.keep(some.mapInPandas(_windows(window, gram), "doc_id long, key long, start int, h long, g int"), "windows")
     least = windows.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h", "g", "lo")
-    gone = windows.join(least, ["h", "g"]).filter("doc_id > lo").groupBy("doc_id", "key").agg(F.collect_list("start").alias("starts"))
+    gone = scratch.keep(windows.join(least, ["h", "g"]).filter("doc_id > lo").groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts")), "gone")
+    scratch.drop("windows")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             spans, shas = [], []
-            for text, starts in zip(pdf["text"], pdf["starts"], strict=True):
-                words = words_of(text)
+            for text, starts in zip(winnow.unzipped(pdf["z"]), pdf["starts"], strict=True):
+                words = text.split()
                 out = winnow.covered_by(len(words), starts, np.asarray(starts) + window)
                 spans.append([{"start": int(a), "end": int(b)} for a, b in winnow.spans_of(out)])
                 shas.append(_sha([w for w, x in zip(words, out.tolist(), strict=True) if not x]))
             yield pd.DataFrame({"_id": pdf["doc_id"], "_key": pdf["key"], "spans": spans, "cut_sha": shas})
 
-    changed = some.select("doc_id", "key", "text").join(gone, ["doc_id", "key"]).mapInPandas(cut, "_id long, _key long, spans array<struct<start:int,end:int>>, cut_sha string")
+    changed = some.select("doc_id", "key", "z").join(gone, ["doc_id", "key"]).mapInPandas(cut, "_id long, _key long, spans array<struct<start:int,end:int>>, cut_sha string").dropDuplicates(["_id", "_key"])
     out = told.join(changed, (told["key"] == changed["_key"]) & told["doc_id"].eqNullSafe(changed["_id"]), "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
     return out.select("doc_id", "key", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("cut_sha", "sha").alias("kept_sha256"))

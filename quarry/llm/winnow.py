@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm.common import Scratch
@@ -128,22 +129,39 @@ def same_row(a: DataFrame, b: DataFrame):
     return (a["key"] == b["key"]) & a["doc_id"].eqNullSafe(b["doc_id"])
 
 
+def _zip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts are shuffled as compressed bytes, at two thirds of what the shuffle's own codec gives."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for pdf in batches:
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], "z": [pack(t.encode()) if isinstance(t, str) else None for t in pdf["text"]]})
+
+
+def unzipped(column) -> list[bytes]:
+    """UTF-8 texts of a column of compressed ones; empty for null."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(z) if z is not None else b"" for z in column]
+
+
 def candidates(docs: DataFrame, scratch: Scratch, first_pass: Callable, count_name: str, repeated) -> tuple[DataFrame, DataFrame]:
     """Documents with a fingerprint that was found again.
 
     ``first_pass`` maps batches of (doc_id, text, key) to (doc_id, key, <count_name>, sha,
-    prints); ``repeated`` is the condition on n, lo and hi (occurrences, smallest and
-    largest id) of a fingerprint. Returns what the first pass told of every document, and
-    (doc_id, text, key, prints) of the documents in question, their prints being those found again.
+    prints); ``repeated`` tells from the ids that a fingerprint has, as an aggregate,
+    whether it is one of those. Returns what the first pass told of every document, and (doc_id,
+    key, z, prints) of the documents in question: z as ``unzipped`` takes it, prints being
+    those found again.
     """
     schema = f"doc_id long, key long, {count_name} long, sha string, prints array<long>"
-    told = scratch.keep(docs.mapInPandas(first_pass, schema), "told")
+    told = scratch.keep(docs.mapInPandas(first_pass, schema), "prints")
     each = told.select("doc_id", "key", F.explode("prints").alias("print"))
-    again = each.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter(repeated).select("print")
-    there = told.dropDuplicates(["doc_id", "key"]).select("doc_id", "key", F.explode("prints").alias("print"))
-    found = there.join(again, "print").groupBy("doc_id", "key").agg(F.collect_set("print").alias("prints"))
-    once = docs.join(found.withColumnsRenamed({"doc_id": "_id", "key": "_key"}), (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "key", "prints")
-    return told.drop("prints"), scratch.keep(once.dropDuplicates(["doc_id", "key"]), "candidates")
+    again = each.groupBy("print").agg(repeated(F.col("doc_id")).alias("again")).filter("again").select("print")
+    # should two keys ever agree, a document gets prints of another one: they find nothing in it
+    found = each.select("key", "print").join(again, "print").groupBy("key").agg(F.collect_set("print").alias("prints"))
+    texts = docs.select("doc_id", "text", "key").mapInPandas(_zip, "doc_id long, key long, z binary")
+    some = scratch.keep(texts.join(found, "key"), "candidates").select("doc_id", "key", "z", "prints")
+    slim = scratch.keep(told.drop("prints"), "told")
+    scratch.drop("prints")
+    return slim, some
 
 
 def spans_of(covered: np.ndarray) -> np.ndarray:
@@ -158,7 +176,3 @@ def covered_by(n: int, starts, ends) -> np.ndarray:
     np.add.at(steps, np.asarray(starts, np.int64), 1)
     np.add.at(steps, np.asarray(ends, np.int64), -1)
     return np.cumsum(steps[:-1]) > 0
-
-
-def frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=columns)
