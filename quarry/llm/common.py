@@ -49,7 +49,7 @@ class Scratch:
 
     ``keep`` writes a table and reads it back, which cuts lineage: a lost executor
     costs a re-read, never a recomputation of what made the table. ``drop`` deletes
-    what no later step reads; results never read a table that was dropped.
+    what no later step reads, ``finish`` does so for all: for narrow results.
     """
 
     def __init__(self, spark: SparkSession):
@@ -61,6 +61,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def finish(self, df: DataFrame) -> DataFrame:
+        """The result, as a checkpoint that Spark cleans up once it is unused; all tables go."""
+        out = df.checkpoint()
+        self.drop()
+        return out
+
     def drop(self, *names: str) -> None:
         jvm, sc = self.spark._jvm, self.spark.sparkContext
         for path in [f"{self.base}/{n}" for n in names] or [self.base]:

@@ -467,4 +467,4 @@ def score(docs: DataFrame, *, held_out: Column | None = None, vocabulary: str |
     model.within = within
     sent = sc.broadcast(model)  # 35 MB, whatever the input
     rows = texts.select("chunk", "doc_id", "held_out", "z").groupBy("chunk").cogroup(counted.filter("chunk >= 0").select("chunk", "h", "c").groupBy("chunk"))
-    return rows.applyInPandas(_scored(sent, tokens, known, path), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scratch.finish(rows.applyInPandas(_scored(sent, tokens, known, path), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))

@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
     found = of_class.join(least, "label").select("c", "component_id")
     out = told.drop("sketch").join(found, "c", "left")
     component = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "key", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return scratch.finish(out.select("doc_id", "key", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")))
 
 
 def dedup(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

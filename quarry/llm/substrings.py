@@ -122,7 +122,7 @@ def removal_spans(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, id
     changed = some.select("doc_id", "key", "z").join(gone, ["doc_id", "key"]).mapInPandas(cut, "_id long, _key long, spans array<struct<start:int,end:int>>, cut_sha string").dropDuplicates(["_id", "_key"])
     out = told.join(changed, (told["key"] == changed["_key"]) & told["doc_id"].eqNullSafe(changed["_id"]), "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return out.select("doc_id", "key", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("cut_sha", "sha").alias("kept_sha256"))
+    return scratch.finish(out.select("doc_id", "key", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("cut_sha", "sha").alias("kept_sha256")))
 
 
 def remove_words(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
