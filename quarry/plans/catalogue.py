@@ -1,23 +1,285 @@
-"""Catalogue of queries, with the SQL that each must agree with."""
+"""Catalogue of queries, each with the SQL that it must agree with.
+
+Floating-point sums are rounded on both sides: engines add in different orders. Types are
+cast on both sides where the engines' own differ.
+"""
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Callable
+from datetime import datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quarry.functions import arithmetic as ar
+from quarry.functions.accessors import cat, dt, with_categories
+from quarry.operators import aggregates as ag, extensions as ex, ordering as od
+from quarry.operators.frame import IndexedFrame
+from quarry.operators.joins import anti, index_join, merge, semi
+from quarry.operators.predicates import query
+from quarry.sources import files, memory
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Tables:
+    """The tables of a folder, by name."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        self.__dict__[name] = table(self._spark, self._dir, name)
+        return self.__dict__[name]
+
+
+def register(name: str, sql: str | None, build: Callable[[Tables], DataFrame]) -> None:
+    _QUERIES[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
+    if sql is not None:
+        _SQL[name] = sql
+
+
+def _r(c, digits: int = 4):
+    return F.round(c if not isinstance(c, str) else F.col(c), digits)
+
+
+# -- projection, assignment, cast ------------------------------------------------------------------
+register("select_columns", "SELECT o_orderkey, o_totalprice FROM orders", lambda t: t.orders.select("o_orderkey", "o_totalprice"))
+register("assign_expr", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem", lambda t: t.lineitem.withColumn("net", _r(F.col("l_extendedprice") * (1 - F.col("l_discount")))).select("l_orderkey", "l_linenumber", "net"))
+for _n, _spark, _duck in (("int8", "tinyint", "TINYINT"), ("int16", "smallint", "SMALLINT"), ("int32", "int", "INTEGER"), ("int64", "bigint", "BIGINT"), ("float32", "float", "FLOAT"), ("float64", "double", "DOUBLE")):
+    register(f"assign_scalar_{_n}", f"SELECT o_orderkey, CAST(7 AS {_duck}) AS z FROM orders", lambda t, k=_spark: t.orders.select("o_orderkey").withColumn("z", F.lit(7).cast(k)))
+register("assign_scalar_datetime", "SELECT o_orderkey, TIMESTAMP '2018-07-01 12:30:00' AS z FROM orders", lambda t: t.orders.select("o_orderkey").withColumn("z", F.lit(datetime(2018, 7, 1, 12, 30)).cast("timestamp_ntz")))
+register("astype_float", "SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS v FROM orders", lambda t: t.orders.select("o_orderkey", F.col("o_custkey").cast("double").alias("v")))
+register("astype_int", "SELECT o_orderkey, CAST(trunc(o_totalprice) AS BIGINT) AS v FROM orders", lambda t: t.orders.select("o_orderkey", F.col("o_totalprice").cast("long").alias("v")))
+register("numeric_columns", "SELECT c_custkey, c_nationkey, c_acctbal FROM customer", lambda t: t.customer.select(*ar.numeric_columns(t.customer)))
+
+# -- predicates and selection ----------------------------------------------------------------------
+register("query_simple", "SELECT event_id, value FROM events WHERE value > 2", lambda t: query(t.events, "value > 2").select("event_id", "value"))
+register("query_params", "SELECT event_id, value FROM events WHERE value > 10 AND event_type = 'click'", lambda t: query(t.events, "value > @low & event_type == @kind", {"low": 10, "kind": "click"}).select("event_id", "value"))
+register("query_and_or", "SELECT o_orderkey FROM orders WHERE (o_totalprice > 100000 AND o_orderstatus = 'O') OR NOT (o_custkey <= 100)", lambda t: query(t.orders, "(o_totalprice > 100000 and o_orderstatus == 'O') or not o_custkey <= 100").select("o_orderkey"))
+register("query_chain_in", "SELECT o_orderkey FROM orders WHERE 100 < o_custkey AND o_custkey <= 500 AND o_orderstatus IN ('O', 'F')", lambda t: query(t.orders, "100 < o_custkey <= 500 and o_orderstatus in ['O', 'F']").select("o_orderkey"))
+register("boolean_mask", "SELECT * FROM supplier WHERE s_acctbal > 0", lambda t: t.supplier.filter(F.col("s_acctbal") > 0))
+register("loc_range", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey BETWEEN 10 AND 500", lambda t: IndexedFrame(t.orders, "o_orderkey").loc(10, 500, ["o_custkey"]).df)
+register("loc_columns", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders", lambda t: IndexedFrame(t.orders, "o_orderkey").loc(columns=["o_custkey", "o_totalprice"]).df)
+register("head_5", "SELECT event_id, user_id FROM events ORDER BY event_id LIMIT 5", lambda t: IndexedFrame(t.events, "event_id").select("user_id").head(5))
+register("slice_positions", 'SELECT p AS "index", o_orderkey FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS p, o_orderkey FROM orders) WHERE p >= 100 AND p < 200', lambda t: od.slice_positions(IndexedFrame(t.orders.select("o_orderkey"), "o_orderkey"), 100, 200))
+
+# -- joins -----------------------------------------------------------------------------------------
+_ORDERS = "SELECT o_custkey AS k, o_orderkey, o_totalprice FROM orders"
+_CUSTOMERS = "SELECT c_custkey AS k, c_name FROM customer WHERE c_acctbal > 2000"
+
+
+def _orders(t: Tables) -> DataFrame:
+    return t.orders.select(F.col("o_custkey").alias("k"), "o_orderkey", "o_totalprice")
+
+
+def _customers(t: Tables) -> DataFrame:
+    return t.customer.filter("c_acctbal > 2000").select(F.col("c_custkey").alias("k"), "c_name")
+
+
+for _how, _word in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
+    register(f"merge_{_how}", f"SELECT k, o_orderkey, o_totalprice, c_name FROM ({_ORDERS}) {_word} ({_CUSTOMERS}) USING (k)", lambda t, h=_how: merge(_orders(t), _customers(t), on="k", how=h))
+register("merge_two_keys", "SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, round(q, 4) AS q FROM lineitem JOIN (SELECT l_partkey, l_suppkey, sum(l_quantity) AS q FROM lineitem GROUP BY ALL) USING (l_partkey, l_suppkey)", lambda t: merge(t.lineitem.select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber"), ag.groupby(t.lineitem.select("l_partkey", "l_suppkey", F.col("l_quantity").alias("q")), ("l_partkey", "l_suppkey")).sum().withColumn("q", _r("q")), on=("l_partkey", "l_suppkey"), how="inner"))
+register("merge_natural", f"SELECT k, o_orderkey, o_totalprice, c_name FROM ({_ORDERS}) LEFT JOIN ({_CUSTOMERS}) USING (k)", lambda t: merge(_orders(t), _customers(t)))
+register("merge_suffixes", "SELECT a.n_regionkey, a.n_nationkey AS n_nationkey_x, b.n_nationkey AS n_nationkey_y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey", lambda t: merge(t.nation.select("n_regionkey", "n_nationkey"), t.nation.select("n_regionkey", "n_nationkey"), on="n_regionkey", how="inner"))
+register("merge_broadcast", "SELECT n_nationkey, c_custkey, n_name FROM (SELECT c_custkey, c_nationkey AS n_nationkey FROM customer) LEFT JOIN nation USING (n_nationkey)", lambda t: merge(t.customer.select("c_custkey", F.col("c_nationkey").alias("n_nationkey")), t.nation.select("n_nationkey", "n_name")))
+_FLAG = "nullif(o_orderstatus, 'F')"
+for _n, _safe, _on in (("null_keys", False, "a.s = b.s"), ("null_safe", True, "a.s IS NOT DISTINCT FROM b.s")):
+    register(f"merge_{_n}", f"SELECT a.s, a.o_orderkey, b.n FROM (SELECT {_FLAG} AS s, o_orderkey FROM orders) a LEFT JOIN (SELECT {_FLAG} AS s, count(*) AS n FROM orders GROUP BY 1) b ON {_on}", lambda t, safe=_safe: merge(t.orders.select(F.expr(_FLAG).alias("s"), "o_orderkey"), t.orders.groupBy(F.expr(_FLAG).alias("s")).agg(F.count(F.lit(1)).alias("n")), on="s", null_safe=safe))
+_SPEND = "SELECT o_custkey AS c_custkey, round(sum(o_totalprice), 2) AS spent FROM orders GROUP BY 1"
+
+
+def _spend(t: Tables) -> IndexedFrame:
+    return IndexedFrame(t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(_r(F.sum("o_totalprice"), 2).alias("spent")), "c_custkey")
+
+
+def _named(t: Tables) -> IndexedFrame:
+    return IndexedFrame(t.customer.select("c_custkey", "c_name").filter("c_custkey % 3 > 0"), "c_custkey")
+
+
+for _how, _word in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN")):
+    register(f"index_join_{_how}", f"SELECT c_custkey, c_name, spent FROM (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 > 0) {_word} ({_SPEND}) USING (c_custkey)", lambda t, h=_how: index_join(_named(t), _spend(t), how=h).ordered())
+for _how, _word in (("inner", "JOIN"), ("left", "LEFT JOIN")):
+    register(f"index_merge_{_how}", f"SELECT c_custkey, c_name, spent FROM (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 > 0) {_word} ({_SPEND}) USING (c_custkey)", lambda t, h=_how: merge(_named(t), _spend(t), how=h, left_index=True, right_index=True).df)
+register("semi_join", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)", lambda t: semi(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey"))
+register("anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", lambda t: anti(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey"))
+
+# -- reductions and group-by -----------------------------------------------------------------------
+for _n, _sql in (("sum", "round(sum(value), 2)"), ("count", "count(value)"), ("mean", "round(avg(value), 4)"), ("min", "min(value)"), ("max", "max(value)"), ("var", "round(var_samp(value), 4)"), ("std", "round(stddev_samp(value), 4)")):
+    register(f"reduce_{_n}", f"SELECT {_sql} AS value FROM events", lambda t, h=_n: ag.reduce(t.events, "value", h).withColumn("value", F.col("value") if h in ("count", "min", "max") else _r("value", 2 if h == "sum" else 4)))
+register("reduce_var_ddof0", "SELECT round(var_pop(value), 4) AS value FROM events", lambda t: ag.reduce(t.events, "value", "var", ddof=0).withColumn("value", _r("value")))
+register("reduce_var_ddof2", "SELECT round(var_pop(value) * count(value) / (count(value) - 2), 4) AS value FROM events", lambda t: ag.reduce(t.events, "value", "var", ddof=2).withColumn("value", _r("value")))
+register("frame_mean", "SELECT round(avg(c_custkey), 4) AS c_custkey, round(avg(c_nationkey), 4) AS c_nationkey, round(avg(c_acctbal), 4) AS c_acctbal FROM customer", lambda t: ag.frame_mean(t.customer).select(*[_r(c).alias(c) for c in ("c_custkey", "c_nationkey", "c_acctbal")]))
+register("frame_var", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(var_samp({c}), 2) AS var FROM customer" for c in ("c_custkey", "c_nationkey", "c_acctbal")), lambda t: ag.frame_var(t.customer).withColumn("var", _r("var", 2)))
+register("row_var", "SELECT c_custkey, round((SELECT var_samp(x) FROM unnest([c_custkey::DOUBLE, c_nationkey::DOUBLE, c_acctbal]) AS u(x)), 2) AS var FROM customer", lambda t: ag.frame_var(t.customer, axis=1).select("c_custkey", _r("var", 2).alias("var")))
+register("unique_k", "SELECT DISTINCT event_type FROM events", lambda t: ag.unique_k(t.events, "event_type", 1000))
+register("unique_values", "SELECT DISTINCT o_orderpriority FROM orders", lambda t: ag.unique(t.orders, "o_orderpriority"))
+register("sum_of_squares", "SELECT round(sum(value * value), 2) AS v FROM events", lambda t: t.events.agg(_r(ag.sum_of_squares("value"), 2).alias("v")))
+register("tree_reduction", "SELECT round(sum(value), 2) AS s, count(value) AS n FROM events", lambda t: ag.tree_reduction(t.events.select("value").repartition(20), lambda p: pd.DataFrame({"s": [p["value"].sum()], "n": [p["value"].count()]}), lambda p: p.sum().to_frame().T.astype({"n": "int64"}), "s double, n long").withColumn("s", _r("s", 2)))
+_KEYED = "SELECT l_returnflag, {} AS l_quantity FROM lineitem GROUP BY 1"
+for _n, _sql in (("sum", "round(sum(l_quantity), 2)"), ("mean", "round(avg(l_quantity), 4)"), ("count", "count(l_quantity)"), ("min", "min(l_quantity)"), ("max", "max(l_quantity)"), ("std", "round(stddev_samp(l_quantity), 4)"), ("var", "round(var_samp(l_quantity), 4)")):
+    register(f"groupby_{_n}", _KEYED.format(_sql), lambda t, h=_n: getattr(ag.groupby(t.lineitem.select("l_returnflag", "l_quantity"), "l_returnflag"), h)().withColumn("l_quantity", F.col("l_quantity") if h in ("count", "min", "max") else _r("l_quantity", 2 if h == "sum" else 4)))
+register("groupby_agg_dict", "SELECT l_returnflag, max(l_tax) AS l_tax FROM lineitem GROUP BY 1", lambda t: ag.groupby(t.lineitem, "l_returnflag").agg({"l_tax": "max"}))
+register("groupby_agg_list", "SELECT l_returnflag, round(sum(l_tax), 2) AS l_tax_sum, max(l_tax) AS l_tax_max FROM lineitem GROUP BY 1", lambda t: ag.groupby(t.lineitem, "l_returnflag")["l_tax"].agg(["sum", "max"]).withColumn("l_tax_sum", _r("l_tax_sum", 2)))
+register("groupby_multi_key", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS l_quantity FROM lineitem GROUP BY ALL", lambda t: ag.groupby(t.lineitem, ["l_returnflag", "l_linestatus"])["l_quantity"].sum().withColumn("l_quantity", _r("l_quantity", 2)))
+register("groupby_null_keys", "SELECT nullif(l_returnflag, 'N') AS k, count(l_tax) AS l_tax FROM lineitem GROUP BY 1", lambda t: ag.groupby(t.lineitem.select(F.expr("nullif(l_returnflag, 'N')").alias("k"), "l_tax"), "k").count())
+register("groupby_dropna", "SELECT l_returnflag AS k, count(l_tax) AS l_tax FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1", lambda t: ag.groupby(t.lineitem.select(F.expr("nullif(l_returnflag, 'N')").alias("k"), "l_tax"), "k", dropna=True).count())
+
+# -- sorts, index, partitions, unions --------------------------------------------------------------
+register("sort_values", 'SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS "index", o_orderkey, o_totalprice FROM orders', lambda t: od.with_positions(t.orders.select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"]))
+register("sort_binned", "SELECT DISTINCT o_custkey, 1::BIGINT AS parts FROM orders", lambda t: od.sort_values_binned(t.orders.select("o_custkey"), "o_custkey").withColumn("p", F.spark_partition_id()).groupBy("o_custkey").agg(F.countDistinct("p").alias("parts")))
+register("nlargest", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", lambda t: od.nlargest(t.orders.select("o_orderkey", "o_totalprice"), 10, "o_totalprice", ["o_orderkey"]))
+register("nsmallest", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 10", lambda t: od.nsmallest(t.orders.select("o_orderkey", "o_totalprice"), 10, "o_totalprice", ["o_orderkey"]))
+register("set_index_column", "SELECT o_custkey, o_orderkey FROM orders", lambda t: od.set_index(t.orders.select("o_custkey", "o_orderkey"), "o_custkey").df)
+register("set_index_series", 'SELECT o_custkey, o_orderkey, o_custkey % 100 AS "index" FROM orders', lambda t: od.set_index(t.orders.select("o_custkey", "o_orderkey"), F.col("o_custkey") % 100).df)
+register("reset_index_global", 'SELECT row_number() OVER (ORDER BY event_id) - 1 AS "index", value FROM events', lambda t: od.reset_index(IndexedFrame(t.events.select("event_id", "value"), "event_id")))
+register("index_values", "SELECT o_orderkey FROM orders", lambda t: IndexedFrame(t.orders, "o_orderkey").index_values())
+register("repartition_count", "SELECT count(*) AS n, 7::BIGINT AS parts FROM orders", lambda t: od.repartition(t.orders.select("o_orderkey"), 7).withColumn("p", F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p").alias("parts")))
+register("hash_partition", "SELECT DISTINCT o_custkey, 1::BIGINT AS parts FROM orders", lambda t: od.hash_partition(t.orders.select("o_custkey"), "o_custkey", 5).withColumn("p", F.spark_partition_id()).groupBy("o_custkey").agg(F.countDistinct("p").alias("parts")))
+register("repartition_by_frequency", "SELECT DISTINCT date_trunc('month', o_orderdate) AS month, 1::BIGINT AS parts FROM orders", lambda t: od.repartition_by_frequency(t.orders.select("o_orderdate"), "o_orderdate", "month", 6).withColumn("p", F.spark_partition_id()).groupBy(F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("month")).agg(F.countDistinct("p").alias("parts")))
+register("concat_frames", "SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey < 100", lambda t: od.concat([t.orders.select("o_orderkey", "o_custkey"), t.orders.select("o_custkey", "o_orderkey").filter("o_orderkey < 100")]))
+register("concat_series", "SELECT o_orderkey AS k FROM orders UNION ALL SELECT c_custkey FROM customer", lambda t: od.concat([t.orders.select(F.col("o_orderkey").alias("k")), t.customer.select(F.col("c_custkey").alias("k"))]))
+register("from_parts", "SELECT count(*) AS n FROM orders", lambda t: memory.from_parts(t._spark, [t.orders.filter(f"o_orderkey % 3 = {k}") for k in range(3)]).agg(F.count(F.lit(1)).alias("n")))
+
+# -- arithmetic, dates, categories -----------------------------------------------------------------
+_A, _B = "l_quantity", "l_linenumber - 3"
+for _n, _sql in (("add", "a + b"), ("sub", "a - b"), ("mul", "a * b"), ("truediv", "CASE WHEN b = 0 THEN CASE WHEN a > 0 THEN 'inf'::DOUBLE WHEN a < 0 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END ELSE round(a / b, 6) END"), ("floordiv", "CASE WHEN b = 0 THEN CASE WHEN a > 0 THEN 'inf'::DOUBLE WHEN a < 0 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END ELSE floor(a / b) END"), ("eq", "a = b"), ("ne", "a <> b"), ("gt", "a > b"), ("ge", "a >= b"), ("lt", "a < b"), ("le", "a <= b")):
+    register(f"binop_{_n}", f"SELECT l_orderkey, l_linenumber, {_sql} AS v FROM (SELECT l_orderkey, l_linenumber, {_A} AS a, {_B} AS b FROM lineitem)", lambda t, h=_n: t.lineitem.select("l_orderkey", "l_linenumber", F.expr(_A).alias("a"), F.expr(_B).alias("b")).select("l_orderkey", "l_linenumber", (_r(getattr(ar, h)("a", "b"), 6) if h == "truediv" else getattr(ar, h)("a", "b")).alias("v")))
+register("int_floordiv", "SELECT l_orderkey, l_linenumber, CAST(floor((l_orderkey - 500) / CAST(l_linenumber - 8 AS DOUBLE)) AS BIGINT) AS v FROM lineitem", lambda t: t.lineitem.select("l_orderkey", "l_linenumber", ar.int_floordiv(F.col("l_orderkey") - 500, F.col("l_linenumber") - 8).alias("v")))
+register("frame_plus_scalar", "SELECT l_quantity + 2 AS l_quantity, l_tax + 2 AS l_tax FROM lineitem", lambda t: ar.map_scalar(t.lineitem.select("l_quantity", "l_tax"), ar.add, 2))
+register("power", "SELECT event_id, round(pow(value, 2), 4) AS v FROM events", lambda t: t.events.select("event_id", _r(ar.power("value", 2)).alias("v")))
+register("aligned_binop", f"SELECT c_custkey, round(c_acctbal + spent, 2) AS v FROM customer JOIN ({_SPEND}) USING (c_custkey)", lambda t: IndexedFrame(t.customer.select("c_custkey", "c_acctbal"), "c_custkey").aligned(_spend(t)).select("c_custkey", _r(ar.add("c_acctbal", "spent"), 2).alias("v")))
+for _n in ("year", "month", "day", "hour", "minute", "second"):
+    register(f"dt_{_n}", f"SELECT event_id, {_n}(ts)::INTEGER AS v FROM events", lambda t, f=_n: t.events.select("event_id", getattr(dt(t.events, "ts"), f).alias("v")))
+_PRIORITIES = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"]
+_RANK = "list_position(['" + "', '".join(_PRIORITIES) + "'], o_orderpriority) - 1"
+
+
+def _ranked(t: Tables) -> DataFrame:
+    return with_categories(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderpriority", _PRIORITIES, ordered=True)
+
+
+register("cat_codes", f"SELECT o_orderkey, coalesce({_RANK}, -1)::INTEGER AS v FROM orders", lambda t: _ranked(t).transform(lambda d: d.select("o_orderkey", cat(d, "o_orderpriority").codes.alias("v"))))
+register("cat_compare_eq", "SELECT o_orderkey, o_orderpriority = '2-HIGH' AS v FROM orders", lambda t: _ranked(t).transform(lambda d: d.select("o_orderkey", cat(d, "o_orderpriority").eq("2-HIGH").alias("v"))))
+register("cat_compare_lt", f"SELECT o_orderkey, {_RANK} < 3 AS v FROM orders", lambda t: _ranked(t).transform(lambda d: d.select("o_orderkey", cat(d, "o_orderpriority").lt("2-HIGH").alias("v"))))
+
+
+# -- functions of the user -------------------------------------------------------------------------
+def _net(price, discount, out, rate):
+    out[:] = np.round(price * (1 - discount) * rate, 4)
+
+
+register("apply_rows", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * 1.5 > 1000 AS big FROM lineitem", lambda t: od.apply_rows(t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount"), _net, {"l_extendedprice": "price", "l_discount": "discount"}, {"out": "float64"}, {"rate": 1.5}).select("l_orderkey", "l_linenumber", (F.col("out") > 1000).alias("big")))
+register("map_partitions", "SELECT event_id, value * 2 AS v FROM events", lambda t: od.map_partitions(t.events.select("event_id", "value"), lambda p: pd.DataFrame({"event_id": p["event_id"], "v": p["value"] * 2}), "event_id long, v double"))
+
+# -- files -----------------------------------------------------------------------------------------
+_SLICE = "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation"
+
+
+def _slice(t: Tables) -> DataFrame:
+    return t.nation.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")
+
+
+def _folder(t: Tables) -> str:
+    """A folder for files that are written and read again: in the checkpoint folder, else a temporary one."""
+    sc = t._spark.sparkContext
+    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return f"{named}/files-{np.random.default_rng().integers(2**62):x}"
+    out = tempfile.mkdtemp(prefix="quarry-")
+    atexit.register(shutil.rmtree, out, True)
+    return out
+
+
+def _again(t: Tables, kind: str, read: Callable[[str], DataFrame], df: DataFrame | None = None, **options) -> DataFrame:
+    path = f"{_folder(t)}/{kind}"
+    files.write(_slice(t).coalesce(2) if df is None else df, path, kind, **options)
+    return read(path)
+
+
+_TYPES = "n_nationkey BIGINT, n_name STRING"
+register("csv_roundtrip", _SLICE, lambda t: _again(t, "csv", lambda p: files.read_csv(t._spark, f"{p}/*.csv", schema=_TYPES)))
+register("csv_chunks", _SLICE, lambda t: _again(t, "csv", lambda p: files.read_csv(t._spark, f"{p}/*.csv", chunksize="50 B", schema=_TYPES)))
+register("csv_gzip", _SLICE, lambda t: _again(t, "csv", lambda p: files.read_csv_without_chunksize(t._spark, f"{p}/*.csv.gz", schema=_TYPES), compression="gzip"))
+register("json_lines", _SLICE, lambda t: _again(t, "json", lambda p: files.read_json(t._spark, f"{p}/*.json").select("n_nationkey", "n_name")))
+
+
+def _document(t: Tables, layout: str) -> DataFrame:
+    """One JSON document of the slice, as a one-row text frame."""
+    row = F.struct(F.col("n_nationkey"), F.col("n_name"))
+    rows = _slice(t).agg(F.array_sort(F.collect_list(row)).alias("r"))
+    cells = F.transform("r", lambda x: F.concat(F.lit("["), x["n_nationkey"].cast("string"), F.lit(","), F.to_json(F.array(x["n_name"])).substr(F.lit(2), F.lit(10_000))))
+    data = F.concat(F.lit("["), F.array_join(cells, ","), F.lit("]"))
+    label = lambda x: F.concat(F.lit("id"), x["n_nationkey"].cast("string"))
+    text = {
+        "records": F.to_json("r"),
+        "values": data,
+        "split": F.concat(F.lit('{"columns":["n_nationkey","n_name"],"index":[],"data":'), data, F.lit("}")),
+        "index": F.to_json(F.map_from_entries(F.transform("r", lambda x: F.struct(label(x), x)))),
+        "columns": F.to_json(F.struct(F.map_from_entries(F.transform("r", lambda x: F.struct(label(x), x["n_nationkey"]))).alias("n_nationkey"), F.map_from_entries(F.transform("r", lambda x: F.struct(label(x), x["n_name"]))).alias("n_name"))),
+    }[layout]
+    return rows.select(text.alias("value")).coalesce(1)
+
+
+for _n in ("records", "split", "index", "columns", "values"):
+    register(f"json_{_n}", _SLICE, lambda t, o=_n: _again(t, "text", lambda p: files.read_json(t._spark, f"{p}/*.txt", orient=o, lines=False).toDF(*(["n_nationkey", "n_name"] if o != "records" else ["n_name", "n_nationkey"])), _document(t, o)))
+register("orc_roundtrip", _SLICE, lambda t: _again(t, "orc", lambda p: files.read_orc(t._spark, p)))
+register("orc_columns", "SELECT n_name FROM nation", lambda t: _again(t, "orc", lambda p: files.read_orc(t._spark, p, columns=["n_name"])))
+register("parquet_list", _SLICE, lambda t: _again(t, "parquet", lambda p: files.read_parquet(t._spark, [p])))
+register("parquet_columns", "SELECT n_name FROM nation", lambda t: _again(t, "parquet", lambda p: files.read_parquet(t._spark, f"{p}/*.parquet", columns="n_name")))
+
+# -- extensions ------------------------------------------------------------------------------------
+register("drop_rename", "SELECT n_nationkey AS k, n_name FROM nation", lambda t: ex.rename(ex.drop(t.nation, ["n_regionkey"]), {"n_nationkey": "k"}))
+register("select_dtypes", "SELECT n_name FROM nation", lambda t: ex.select_dtypes(t.nation, "string"))
+register("fillna", "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'F'), 'X') AS s FROM orders", lambda t: ex.fillna(t.orders.select("o_orderkey", F.expr("nullif(o_orderstatus, 'F')").alias("s")), {"s": "X"}))
+register("dropna", "SELECT o_orderkey, o_orderstatus AS s FROM orders WHERE o_orderstatus <> 'F'", lambda t: ex.dropna(t.orders.select("o_orderkey", F.expr("nullif(o_orderstatus, 'F')").alias("s"))))
+register("where", "SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS v FROM supplier", lambda t: t.supplier.select("s_suppkey", ex.where("s_acctbal", F.col("s_acctbal") > 0).alias("v")))
+register("clip", "SELECT s_suppkey, least(greatest(s_acctbal, 0), 5000) AS v FROM supplier", lambda t: t.supplier.select("s_suppkey", ex.clip("s_acctbal", 0.0, 5000.0).alias("v")))
+register("drop_duplicates", "SELECT DISTINCT o_custkey, o_orderstatus FROM orders", lambda t: ex.drop_duplicates(t.orders.select("o_custkey", "o_orderstatus")))
+register("nunique", "SELECT count(DISTINCT o_custkey) AS o_custkey FROM orders", lambda t: ex.nunique(t.orders, "o_custkey"))
+register("value_counts", "SELECT event_type, count(*) AS count FROM events GROUP BY 1", lambda t: ex.value_counts(t.events, "event_type"))
+register("any_all", "SELECT bool_or(s_acctbal < 0) AS any_v, bool_and(s_acctbal > -2000) AS all_v FROM supplier", lambda t: t.supplier.agg(ex.any_(F.col("s_acctbal") < 0).alias("any_v"), ex.all_(F.col("s_acctbal") > -2000).alias("all_v")))
+register("quantile", "SELECT quantile_cont(value, 0.5) AS v FROM events", lambda t: ex.quantile(t.events, "value", 0.5).toDF("v"))
+register("corr_cov", "SELECT round(corr(l_quantity, l_extendedprice), 6) AS c, round(covar_samp(l_quantity, l_extendedprice), 2) AS v FROM lineitem", lambda t: t.lineitem.agg(_r(F.corr("l_quantity", "l_extendedprice"), 6).alias("c"), _r(F.covar_samp("l_quantity", "l_extendedprice"), 2).alias("v")))
+register("idxmax", "SELECT arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS v FROM orders", lambda t: ex.idxmax(t.orders, "o_totalprice", "o_orderkey").toDF("v"))
+for _n, _sql in (("cumsum", "round(sum(o_totalprice) OVER w, 2)"), ("cummax", "max(o_totalprice) OVER w"), ("cumcount", "count(*) OVER w - 1"), ("shift", "lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)"), ("diff", "round(o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 4)"), ("rolling_sum", "round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2)")):
+    register(_n, f"SELECT o_orderkey, {_sql} AS v FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)", lambda t, h=_n: t.orders.select("o_orderkey", (_r(c, 4 if h == "diff" else 2) if h in ("cumsum", "diff", "rolling_sum") else c).alias("v")) if (c := ex.running(h, "o_totalprice", "o_orderkey", "o_custkey")) is not None else None)
+register("tail", "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 5", lambda t: ex.tail(IndexedFrame(t.orders.select("o_orderkey"), "o_orderkey"), 5))
+register("intersect", "SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)", lambda t: t.orders.select(F.col("o_custkey").alias("k")).intersect(t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("k"))))
+register("union_distinct", "SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer", lambda t: od.concat([t.orders.select(F.col("o_custkey").alias("k")), t.customer.select(F.col("c_custkey").alias("k"))]).distinct())
+register("melt", "SELECT c_custkey, 'c_nationkey' AS variable, c_nationkey::DOUBLE AS value FROM customer UNION ALL SELECT c_custkey, 'c_acctbal', c_acctbal FROM customer", lambda t: ex.melt(t.customer.withColumn("c_nationkey", F.col("c_nationkey").cast("double")), ["c_custkey"], ["c_nationkey", "c_acctbal"]))
+register("pivot_table", "SELECT l_returnflag, round(sum(l_quantity) FILTER (l_linestatus = 'F'), 2) AS F, round(sum(l_quantity) FILTER (l_linestatus = 'O'), 2) AS O FROM lineitem GROUP BY 1", lambda t: ex.pivot_table(t.lineitem, "l_returnflag", "l_linestatus", "l_quantity", ["F", "O"]).select("l_returnflag", _r("F", 2).alias("F"), _r("O", 2).alias("O")))
+register("mod_abs", "SELECT s_suppkey, abs(s_acctbal) AS a, ((s_suppkey - 50) % 7 + 7) % 7 AS m FROM supplier", lambda t: t.supplier.select("s_suppkey", F.abs("s_acctbal").alias("a"), ar.mod(F.col("s_suppkey") - 50, F.lit(7)).alias("m")))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shipped value by order priority: scan, filter, join, group, sort."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter(F.col("l_shipdate") >= F.lit("1995-01-01").cast("timestamp_ntz"))
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
-    out = lines.join(orders, "l_orderkey").groupBy("o_orderpriority").agg(F.sum("l_extendedprice").alias("value"), F.count("l_quantity").alias("lines"))
-    return out.orderBy("o_orderpriority")
+    t = Tables(spark, sf_dir)
+    lines = query(t.lineitem, "l_shipdate >= @since", {"since": datetime(1995, 1, 1)}).select("l_orderkey", "l_extendedprice", "l_quantity")
+    orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
+    both = merge(lines, orders, on="l_orderkey", how="inner")
+    out = both.groupBy("o_orderpriority").agg(_r(F.sum("l_extendedprice"), 2).alias("value"), _r(F.avg("l_quantity"), 4).alias("quantity"), F.count("l_quantity").alias("lines"))
+    return od.sort_values(out, "o_orderpriority")
+
+
+_QUERIES["flagship"] = flagship
+_SQL["flagship"] = "SELECT o_orderpriority, round(sum(l_extendedprice), 2) AS value, round(avg(l_quantity), 4) AS quantity, count(l_quantity) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= TIMESTAMP '1995-01-01' GROUP BY 1"
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"flagship": flagship}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

@@ -1,0 +1 @@
+"""Streams: none of the operators here needs one; Spark's readStream and writeStream take their frames as they are."""
