@@ -22,15 +22,15 @@ from quarry.llm import winnow
 from quarry.llm.common import Scratch
 
 WINDOW = 200
-GRAM = 32
+GRAM = 64
 PERIOD = 32
 #: Windows of one context, at most; a longer run is cut.
 RUN = 512
 #: Bytes of contexts that are sorted at once.
-BLOCK = 3_000_000
+BLOCK = 1_500_000
 #: A bucket with more different contexts than this is resolved by its windows' hashes, dealt over all tasks.
 HOT_CONTEXTS = 20_000
-#: Depth in bytes to which sample suffixes are ranked: PERIOD doubled until it holds a window.
+#: Hashes of the byte values.
 _BYTE = winnow.mixed(np.arange(1, 257, dtype=np.uint64) * winnow.BASE)
 
 
@@ -43,26 +43,30 @@ def difference_cover(period: int) -> list[int]:
 class Block:
     """Bytes of contexts, laid end to end so that their anchors stand at multiples of ``PERIOD``."""
 
-    def __init__(self, contexts: list[bytes], shifts: list[int], depth: int):
-        room = [-(-len(c) // PERIOD) * PERIOD + PERIOD for c in contexts]
-        at = np.cumsum([0, *room])
-        self.begin = at[:-1] + np.asarray([-s % PERIOD for s in shifts], np.int64)
+    def __init__(self, contexts: list[bytes], shifts: np.ndarray, depth: int):
+        sizes = np.array([len(c) for c in contexts])
+        room = -(-sizes // PERIOD) * PERIOD + PERIOD
+        at = np.cumsum(np.append(0, room))
+        self.begin = at[:-1] + -shifts % PERIOD
         self.depth = depth
         self.size = int(at[-1])
         text = np.zeros(self.size + depth + 3 * PERIOD, np.uint8)
-        for c, a in zip(contexts, self.begin.tolist(), strict=True):
-            text[a : a + len(c)] = np.frombuffer(c, np.uint8)
+        whole = np.frombuffer(b"".join(contexts), np.uint8)
+        text[np.arange(len(whole)) + np.repeat(self.begin - (np.cumsum(sizes) - sizes), sizes)] = whole
         self.text = text
         self.eight = np.ndarray((len(text) - 7,), ">u8", text.data, strides=(1,))  # eight bytes from each place
 
     def key(self, at: np.ndarray) -> np.ndarray:
         return self.eight[at].astype(np.uint64)
 
-    def ranks(self, residues: list[int]) -> np.ndarray:
-        """Ranks, by the first ``depth`` bytes at least, of the suffixes at ``residues``; -1 elsewhere."""
+    def ranks(self, residues: list[int], suffixes: np.ndarray) -> np.ndarray:
+        """Ranks, by the first ``depth`` bytes at least, of the places at ``residues`` within ``depth`` bytes of a suffix; 0 elsewhere."""
         inside = np.zeros(PERIOD, bool)
         inside[residues] = True
-        sample = np.flatnonzero(np.tile(inside, self.size // PERIOD + 1)[: self.size])
+        near = np.zeros(self.size + self.depth + 1, np.int64)
+        near[: self.size] += np.bincount(suffixes, minlength=self.size)
+        near[self.depth :] -= np.bincount(suffixes, minlength=self.size + 1)
+        sample = np.flatnonzero((np.cumsum(near[: self.size]) > 0) & np.tile(inside, self.size // PERIOD + 1)[: self.size])
         rank = np.zeros(len(self.text) + 4 * self.depth, np.int64)
         full = len(residues) == PERIOD
         step = 8 if full else PERIOD
@@ -86,7 +90,7 @@ class Block:
         if len(suffixes) < 2:
             return out
         cover = difference_cover(PERIOD) if cover is None else cover
-        rank = self.ranks(cover)
+        rank = self.ranks(cover, suffixes)
         ahead = np.array([min((c - r) % PERIOD for c in cover) for r in range(PERIOD)])
         residue = suffixes % PERIOD
         tie = rank[suffixes + ahead[residue]]
@@ -120,14 +124,12 @@ def _utf8(texts) -> list[bytes]:
 
 
 def _laid(pdf: pd.DataFrame, window: int, gram: int):
-    sizes = [len(t) if isinstance(t, str) else 0 for t in pdf["text"]]
-    for a, b in winnow.laid(sizes):
-        some = pdf.iloc[a:b]
-        raw = _utf8(some["text"])
-        whole = b"".join(raw)
-        ends = np.cumsum([len(x) for x in raw])
+    texts = winnow.unzipped(pdf["z"])
+    for a, b in winnow.laid([len(t) for t in texts]):
+        whole = b"".join(texts[a:b])
+        ends = np.cumsum([len(x) for x in texts[a:b]])
         starts, prints, _ = winnow.fingerprints(_BYTE[np.frombuffer(whole, np.uint8)], ends, window, gram)
-        yield some, raw, whole, ends, starts, prints
+        yield pdf.iloc[a:b], whole, ends, starts, prints
 
 
 def _first_pass(window: int, gram: int):
@@ -142,53 +144,61 @@ def _first_pass(window: int, gram: int):
     return run
 
 
-def _contexts(window: int, gram: int, with_bytes: bool):
+def _places(window: int, gram: int):
     """A row for each run of windows with a repeated fingerprint; copies of a context have one name."""
     name = xxhash.xxh3_128_digest
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for some, _, whole, ends, starts, prints in _laid(pdf, window, gram):
+            for some, whole, ends, starts, prints in _laid(pdf, window, gram):
                 first, last = winnow.runs_of(starts, prints, RUN)
                 at, size = starts[first], last - first + window - 1
                 doc = np.searchsorted(ends, at, side="right")
                 edges = np.searchsorted(doc, np.arange(len(some) + 1))
-                keep = np.concatenate([np.isin(prints[first[a:b]], known) for a, b, known in zip(edges[:-1], edges[1:], some["prints"], strict=True)]) if len(some) else np.zeros(0, bool)
+                keep = np.concatenate([np.isin(prints[first[a:b]], known) for a, b, known in zip(edges[:-1], edges[1:], some["prints"], strict=True)])
                 at, size, doc, kept = at[keep], size[keep], doc[keep], prints[first[keep]]
-                rows = [whole[a : a + n] for a, n in zip(at.tolist(), size.tolist(), strict=True)]
-                names = [name(r) for r in rows]
-                if with_bytes:
-                    yield pd.DataFrame({"name": names, "print": kept, "bytes": rows})
-                else:
-                    begin = np.concatenate(([0], ends[:-1]))
-                    yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy()[doc], "key": some["key"].to_numpy()[doc], "start": (at - begin[doc]).astype(np.int32), "windows": (size - window + 1).astype(np.int32), "name": names})
+                names = [name(whole[a : a + n]) for a, n in zip(at.tolist(), size.tolist(), strict=True)]
+                begin = np.concatenate(([0], ends[:-1]))
+                yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy()[doc], "key": some["key"].to_numpy()[doc], "start": (at - begin[doc]).astype(np.int32), "windows": (size - window + 1).astype(np.int32), "print": kept, "name": names})
 
     return run
 
 
-def _anchor(context: bytes, window: int, gram: int, wanted: int) -> int:
-    """Where the gram with the context's fingerprint begins."""
-    h = winnow.mixed(winnow.Rolling(_BYTE[np.frombuffer(context, np.uint8)]).windows(gram)).view(np.int64)
-    return int((h == wanted).argmax())
+def _cut_out(window: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = winnow.unzipped(pdf["z"])
+            rows = [(w["print"], w["name"], text[w["start"] : w["start"] + w["windows"] + window - 1], w["n"]) for text, wanted in zip(texts, pdf["wanted"], strict=True) for w in wanted]
+            yield pd.DataFrame(rows, columns=["print", "name", "bytes", "n"])
+
+    return run
+
+
+def _anchors(contexts: list[bytes], prints: np.ndarray, gram: int) -> np.ndarray:
+    """Where in each context the first gram with its fingerprint begins."""
+    sizes = np.array([len(c) for c in contexts])
+    h = winnow.mixed(winnow.Rolling(_BYTE[np.frombuffer(b"".join(contexts), np.uint8)]).windows(gram)).view(np.int64)
+    found = np.flatnonzero(h == np.repeat(prints, sizes)[: len(h)])
+    begin = np.cumsum(sizes) - sizes
+    return found[np.searchsorted(found, begin)] - begin
 
 
 def _sorted_blocks(window: int, gram: int):
     """Sorted rows (print, name, bytes, n) to the runs of repeated windows of each context, a block at a time."""
 
     def solve(rows: list[tuple]) -> pd.DataFrame:
-        contexts = [r[2] for r in rows]
-        block = Block(contexts, [_anchor(r[2], window, gram, r[0]) for r in rows], window)
+        contexts, prints = [r[2] for r in rows], np.array([r[0] for r in rows], np.int64)
+        block = Block(contexts, _anchors(contexts, prints, gram), window)
         counts = np.array([len(c) - window + 1 for c in contexts])
         owner = np.repeat(np.arange(len(rows)), counts)
         offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        bucket = np.unique([r[0] for r in rows], return_inverse=True)[1]
+        bucket = np.unique(prints, return_inverse=True)[1]
         hit = block.repeated(block.begin[owner] + offset, bucket[owner])
-        edges = np.cumsum([0, *counts])
-        out = []
-        for k, r in enumerate(rows):
-            if r[3] == 1:  # copies of a context are repeats as a whole
-                out += [(r[1], int(a), int(b)) for a, b in winnow.spans_of(hit[edges[k] : edges[k + 1]])]
-        return pd.DataFrame(out, columns=["name", "a", "b"])
+        hit &= np.array([r[3] for r in rows])[owner] == 1  # copies of a context are repeats as a whole
+        first = np.flatnonzero(hit & np.concatenate(([True], ~hit[:-1] | (offset[1:] == 0))))
+        last = np.flatnonzero(hit & np.concatenate((~hit[1:] | (offset[1:] == 0), [True])))
+        names = [r[1] for r in rows]
+        return pd.DataFrame({"name": [names[k] for k in owner[first].tolist()], "a": offset[first], "b": offset[last] + 1})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
@@ -238,28 +248,36 @@ def removal_spans(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, id
     """
     scratch = Scratch(docs.sparkSession)
     rows = winnow.keyed(docs, id_col, text_col)
-    told, some = winnow.candidates(rows, scratch, _first_pass(window, gram), "n_bytes", F.col("n") > 1)
-    # copies of whole rows: some has each once, and all their windows repeat
-    copies = told.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("copies"))
-    places = some.mapInPandas(_contexts(window, gram, False), "doc_id long, key long, start int, windows int, name binary")
-    contexts = scratch.keep(some.mapInPandas(_contexts(window, gram, True), "name binary, print long, bytes binary").groupBy("name").agg(F.first("print").alias("print"), F.first("bytes").alias("bytes"), F.count(F.lit(1)).cast("int").alias("n")), "contexts")
-    sizes = contexts.groupBy("print").agg(F.count(F.lit(1)).alias("contexts"))
+    told, some = winnow.candidates(rows, scratch, _first_pass(window, gram), "n_bytes", lambda i: F.count(F.lit(1)) > 1)
+    # copies of whole rows: all their windows repeat
+    copies = told.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("doc_id", "key", F.array(F.struct(F.lit(0).alias("a"), F.lit(-1).alias("b"))).alias("runs"))
+    places = scratch.keep(some.mapInPandas(_places(window, gram), "doc_id long, key long, start int, windows int, print long, name binary"), "places")
+    first = F.min(F.struct("doc_id", "key", "start", "windows", "print")).alias("x")
+    names = scratch.keep(places.groupBy("name").agg(first, F.count(F.lit(1)).cast("int").alias("n")).select("name", "n", "x.*"), "names")
+    # contexts are needed of buckets with several, or with one that may repeat a window within itself
+    sizes = names.groupBy("print").agg(F.count(F.lit(1)).alias("contexts"), F.max("n").alias("most"), F.max("windows").alias("windows"))
+    needed = sizes.filter("contexts > 1 OR (most = 1 AND windows > 1)").select("print")
+    wanted = names.join(needed, "print").groupBy("doc_id", "key").agg(F.collect_list(F.struct("print", "name", "start", "windows", "n")).alias("wanted"))
+    texts = some.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "z")
+    of_row = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    contexts = scratch.keep(texts.join(wanted, of_row).select("z", "wanted").mapInPandas(_cut_out(window), "print long, name binary, bytes binary, n int"), "contexts")
     hot = scratch.keep(sizes.filter(F.col("contexts") > HOT_CONTEXTS).select("print"), "hot")
     plain = contexts.join(hot, "print", "left_anti").repartition("print").sortWithinPartitions("print", "name")
     runs = plain.select("print", "name", "bytes", "n").mapInPandas(_sorted_blocks(window, gram), "name binary, a int, b int")
     each = contexts.join(hot, "print", "left_semi").mapInPandas(_window_hashes(window), "name binary, a int, w binary, n int")
     again = each.groupBy("w").agg(F.sum("n").alias("times")).filter("times > 1").select("w")
     hot_runs = each.join(again, "w", "left_semi").select("name", "a", (F.col("a") + 1).alias("b"))
-    whole = contexts.filter("n > 1").select("name", F.lit(0).alias("a"), (F.length("bytes") - window + 1).cast("int").alias("b"))
+    whole = names.filter("n > 1").select("name", F.lit(0).alias("a"), F.col("windows").alias("b"))
     repeats = scratch.keep(runs.unionByName(hot_runs).unionByName(whole).groupBy("name").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "repeats")
     gone = places.join(repeats, "name").select("doc_id", "key", F.transform("runs", lambda r: F.struct((F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"]).alias("b"))).alias("runs"))
-    gone = gone.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("runs")).alias("runs")).unionByName(copies.filter("copies > 1").select("doc_id", "key", F.array(F.struct(F.lit(0).alias("a"), F.lit(-1).alias("b"))).alias("runs")))
-    gone = gone.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    gone = gone.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("runs")).alias("runs")).unionByName(copies)
+    gone = scratch.keep(gone.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("runs")).alias("runs")), "gone")
+    scratch.drop("places", "names", "contexts", "repeats")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             spans, shas = [], []
-            for text, found in zip(_utf8(pdf["text"]), pdf["runs"], strict=True):
+            for text, found in zip(winnow.unzipped(pdf["z"]), pdf["runs"], strict=True):
                 runs = np.array([(r["a"], r["b"] if r["b"] >= 0 else max(0, len(text) - window + 1)) for r in found], np.int64).reshape(-1, 2)
                 runs = runs[runs[:, 1] > runs[:, 0]]
                 own = winnow.spans_of(winnow.covered_by(len(text), runs[:, 0], runs[:, 1] + window - 1))
@@ -272,11 +290,10 @@ def removal_spans(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, id
                 shas.append(digest.hexdigest())
             yield pd.DataFrame({"_id": pdf["doc_id"], "_key": pdf["key"], "spans": spans, "cut_sha": shas})
 
-    texts = some.select(F.col("doc_id"), "key", "text")
-    changed = texts.join(gone.withColumnsRenamed({"doc_id": "_id", "key": "_key"}), (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "key", "text", "runs").mapInPandas(cut, "_id long, _key long, spans array<struct<start:int,end:int>>, cut_sha string")
+    changed = texts.join(gone, of_row).select("doc_id", "key", "z", "runs").mapInPandas(cut, "_id long, _key long, spans array<struct<start:int,end:int>>, cut_sha string").dropDuplicates(["_id", "_key"])
     out = told.join(changed, (told["key"] == changed["_key"]) & told["doc_id"].eqNullSafe(changed["_id"]), "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return out.select("doc_id", "key", "n_bytes", F.coalesce("spans", none).alias("spans"), F.coalesce("cut_sha", "sha").alias("kept_sha256"))
+    return scratch.finish(out.select("doc_id", "key", "n_bytes", F.coalesce("spans", none).alias("spans"), F.coalesce("cut_sha", "sha").alias("kept_sha256")))
 
 
 def remove_bytes(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
