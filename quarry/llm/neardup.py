@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
                 yield pd.DataFrame({"doc_id": some["doc_id"], "key": some["key"], "n_shingles": [len(s) for s in sets], "c": [_set_name(s) for s in sets], "sketch": [next(own).tobytes() if len(s) else None for s in sets]})
 
     told = scratch.keep(rows.mapInPandas(sketch, "doc_id long, key long, n_shingles long, c binary, sketch binary"), "told")
-    classes = scratch.keep(told.filter("c IS NOT NULL").groupBy("c").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    classes = scratch.keep(told.filter("c IS NOT NULL").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
     band = [F.xxhash64(F.lit(k), F.substring("sketch", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)]
     keys = classes.select("c", F.explode(F.array(*band)).alias("band"))
     leaders = keys.groupBy("band").agg(F.min("c").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "b")

@@ -28,12 +28,21 @@ def cut_pieces(ids: bytes, capacity: int) -> list[tuple[int, bytes]]:
     return [(k // 4, ids[k : k + 4 * capacity]) for k in range(0, len(ids), 4 * capacity)]
 
 
-def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+def fewest_bins(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The best of a few runs of ``best_two_fit`` that replace pieces only in gaps above a share of the capacity.
+
+    Closing small gaps can use up short pieces that long ones need later.
+    """
+    runs = [best_two_fit(counts, capacity, slack) for slack in (0, capacity // 256, capacity // 64, capacity // 16, capacity)]
+    return min(runs, key=lambda bins: sum(times for _, times in bins))
+
+
+def best_two_fit(counts: dict[int, int], capacity: int, slack: int = 0) -> list[tuple[tuple[int, ...], int]]:
     """Bins for ``counts`` (pieces by length), as (lengths from the largest, bins alike).
 
     A bin takes the longest piece that is left, then again the longest that fits. Then
     its smallest piece gives way to two unpacked pieces that together fill the gap and
-    the smallest piece's place more tightly, as long as there are such two. The choice
+    the smallest piece's place more tightly, as long as there are such two and the gap is over ``slack``. The choice
     depends only on which lengths are left, so a bin repeats until one of them runs out.
     """
     left = np.zeros(capacity + 1, dtype=np.int64)
@@ -52,7 +61,7 @@ def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int,
                 own[length] += n
                 room -= n * length
             there = there[: k - 1] if left[length] <= own[length] else there[:k]
-        while room:
+        while room > slack:
             small = min(x for x, n in own.items() if n)
             free = left.copy()
             for x, n in own.items():
@@ -135,7 +144,7 @@ def pack(docs: DataFrame, *, capacity: int = 2048, tokenizer: str | None = None,
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = by_part.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    table = places(best_two_fit(counts, capacity))
+    table = places(fewest_bins(counts, capacity))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
