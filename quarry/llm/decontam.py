@@ -8,16 +8,19 @@ document streams through all of them. Documents are never shuffled.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import ready
+from quarry.llm.common import Scratch, ready, tidied
 
 #: Words of items in one automaton (about 500 bytes each), on average.
 BLOCK_WORDS = 200_000
+#: Blocks, and so automata and Python workers of a task, in one pass over the documents; more take further passes.
+PASS_BLOCKS = 4
 #: Bytes of word characters map to themselves, A-Z to a-z, the rest to a space.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -136,7 +139,7 @@ def merge(spans: np.ndarray) -> np.ndarray:
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items in blocks of about ``block_words`` words; only one block is on the driver at a time."""
+    """Items in blocks of about ``block_words`` words."""
     own = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).cast("string").alias("t")).filter("t IS NOT NULL")
     total = own.agg(F.sum(F.size(F.split("t", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
     n = math.ceil(total / block_words)
@@ -148,69 +151,88 @@ def blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> It
 _BUILT: dict[str, SuffixAutomaton] = {}
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with n_words, hit_spans (word positions, end exclusive) and hit_items.
+ADDED = ("n_words", "hit_spans", "hit_items")
 
-    A window is ``window`` consecutive words of an item, or a whole shorter item. Null
-    texts have no words; null item ids count as ''. Repeated rows are judged each; without
-    items nothing is hit. Input columns of the added names give way.
-    """
-    import uuid
 
-    spark = ready(docs.sparkSession)
-    out = docs.drop("n_words", "hit_spans", "hit_items")
-    columns = out.columns
+def _streamed(docs: DataFrame, items: DataFrame | None, names: dict, last=None) -> DataFrame:
+    """``docs`` with what is hit, after all blocks of items; ``last`` maps local frames of that to frames like ``docs``.
+
+    ``last`` runs in the same pass as the last block: a task has one Python worker for each block.
+    """
+    ready(docs.sparkSession)
+    window, text_col = names["window"], names["text_col"]
+    out = docs.drop(*ADDED)
+    plain = out.schema
     out = out.withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast("array<struct<start:int,end:int>>"), "hit_items": F.array().cast("array<string>")})
 
-    def streamed(block: list[tuple[str, list[bytes]]], key: str):
+    def streamed(block: list[tuple[str, list[bytes]]], key: str, after):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if key not in _BUILT:
                 _BUILT.clear()
                 _BUILT[key] = SuffixAutomaton(block, window)
             automaton = _BUILT[key]
-            for pdf in batches:
-                counts, spans, names = [], [], []
+            for pdf in tidied(batches):
+                counts, spans, found = [], [], []
                 for text, old, known in zip(pdf[text_col], pdf["hit_spans"], pdf["hit_items"], strict=True):
                     words = norm_words(text)
-                    own, found = automaton.scan(words)
+                    own, there = automaton.scan(words)
                     if len(old) and len(own):
                         own = merge(np.concatenate([own, [(x["start"], x["end"]) for x in old]]))
                     counts.append(len(words))
                     spans.append([{"start": int(a), "end": int(b)} for a, b in own] if len(own) else old)
-                    names.append(sorted(found.union(known)) if found else known)
-                yield pdf.assign(n_words=counts, hit_spans=spans, hit_items=names)
+                    found.append(sorted(there.union(known)) if there else known)
+                pdf = pdf.assign(n_words=counts, hit_spans=spans, hit_items=found)
+                yield after(pdf) if after else pdf
 
         return run
 
-    for block in blocks(items, item_id_col, item_text_col, block_words) if items is not None else ():
-        out = out.mapInPandas(streamed(block, uuid.uuid4().hex), out.schema)
-    if not out.columns[: len(columns)] == columns:
-        out = out.select(*columns, "n_words", "hit_spans", "hit_items")
-    return out
+    parts = blocks(items, names["item_id_col"], names["item_text_col"], names["block_words"]) if items is not None else iter(())
+    block, k = next(parts, []), 0
+    while True:
+        following = next(parts, None)
+        after = last if following is None else None
+        out = out.mapInPandas(streamed(block, uuid.uuid4().hex, after), plain if after else out.schema)
+        if following is None:
+            return out
+        block, k = following, k + 1
+        if k % PASS_BLOCKS == 0:
+            out = Scratch(docs.sparkSession).keep(out, "scanned")
+
+
+def _names(window: int, id_col: str, text_col: str, item_id_col: str, item_text_col: str, block_words: int) -> dict:
+    return locals()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, min_span: int = 10, max_coverage: float = 0.5, text_col: str = "text", **names: str) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame | None, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` with n_words, hit_spans (word positions, end exclusive) and hit_items.
+
+    A window is ``window`` consecutive words of an item, or a whole shorter item. Null
+    texts have no words; null item ids count as ''. Repeated rows are judged each; without
+    items nothing is hit. Input columns of the added names give way.
+    """
+    return _streamed(docs, items, _names(window, id_col, text_col, item_id_col, item_text_col, block_words))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame | None, *, min_span: int = 10, max_coverage: float = 0.5, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without spans of ``min_span`` or more hit words, and without documents that are mostly hit.
 
     A document goes if more than ``max_coverage`` of its words are hit, or if nothing but
     hit spans was in it. A span's text goes from its first word's first character to its
     last word's last one. Columns stay as they are; documents that are not hit keep their text.
     """
-    found = contamination(docs, items, window=window, text_col=text_col, **names)
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts, stays = [], []
-            for text, n, spans in zip(pdf[text_col], pdf["n_words"], pdf["hit_spans"], strict=True):
-                spans = [(x["start"], x["end"]) for x in spans]
-                hit = sum(b - a for a, b in spans)
-                if hit:
-                    text = cut_spans(text, [s for s in spans if s[1] - s[0] >= min_span])
-                texts.append(text)
-                stays.append(not hit or (hit <= max_coverage * n and bool(norm_words(text))))
-            yield pdf.assign(**{text_col: texts})[stays].drop(columns=["n_words", "hit_spans", "hit_items"])
-
-    return found.mapInPandas(cut, found.drop("n_words", "hit_spans", "hit_items").schema)
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        texts, stays = [], []
+        for text, n, spans in zip(pdf[text_col], pdf["n_words"], pdf["hit_spans"], strict=True):
+            spans = [(x["start"], x["end"]) for x in spans]
+            hit = sum(b - a for a, b in spans)
+            if hit:
+                text = cut_spans(text, [s for s in spans if s[1] - s[0] >= min_span])
+            texts.append(text)
+            stays.append(not hit or (hit <= max_coverage * n and bool(norm_words(text))))
+        return pdf.assign(**{text_col: texts})[np.array(stays, bool)].drop(columns=list(ADDED))
+
+    return _streamed(docs, items, _names(window, id_col, text_col, item_id_col, item_text_col, block_words), cut)
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:

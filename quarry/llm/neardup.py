@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm import winnow
-from quarry.llm.common import Scratch, words_of
+from quarry.llm.common import Scratch, tidied, words_of
 from quarry.llm.substrings import hashes
 
 BANDS, ROWS = 40, 5
@@ -185,7 +185,7 @@ def forests(members: DataFrame, size, linked: Callable[[pd.DataFrame], np.ndarra
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         last = None
-        for pdf in batches:
+        for pdf in tidied(batches):
             if not len(pdf):
                 continue
             new = (pdf["family"] != pdf["family"].shift()) | (pdf["i"] != pdf["i"].shift()) | (pdf["j"] != pdf["j"].shift())
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
     rows = winnow.keyed(docs, id_col, text_col)
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in tidied(batches):
             for some, sets in _sets_of(pdf, shingle_words):
                 own = iter(registers(sets))
                 yield pd.DataFrame({"doc_id": some["doc_id"], "key": some["key"], "n_shingles": [len(s) for s in sets], "c": [_set_name(s) for s in sets], "sketch": [next(own).tobytes() if len(s) else None for s in sets]})
@@ -249,7 +249,7 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
     close = components(forests(members, F.length("sketch"), similar), scratch, "close")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in tidied(batches):
             for some, own in _sets_of(pdf, shingle_words):
                 yield pd.DataFrame({"family": some["family"], "c": some["c"], "hashes": [s.tobytes() for s in own]})
 

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quarry.llm.common import ready
+from quarry.llm.common import ready, tidied
 from quarry.llm.tokens import default_path, loaded
 
 #: Documents that a worker encodes at once.
@@ -113,7 +113,7 @@ def _tokenise(path: str, capacity: int, end_id: int):
         from pyspark import TaskContext
 
         part, ranks, bpe = TaskContext.get().partitionId(), Counter(), loaded(path)
-        for pdf in batches:
+        for pdf in tidied(batches):
             for k in range(0, len(pdf), BATCH):
                 some = pdf.iloc[k : k + BATCH]
                 rows = []
@@ -147,7 +147,7 @@ def pack(docs: DataFrame, *, capacity: int = 2048, tokenizer: str | None = None,
     table = places(fewest_bins(counts, capacity))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in tidied(batches):
             rank, length = (pdf["base"] + pdf["rank"]).to_numpy(), pdf["length"].to_numpy()
             sequence, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
             for x in np.unique(length):
@@ -168,7 +168,7 @@ def packed_ids(docs: DataFrame, placed: DataFrame, *, capacity: int = 2048, toke
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = loaded(path)
-        for pdf in batches:
+        for pdf in tidied(batches):
             for k in range(0, len(pdf), BATCH):
                 some = pdf.iloc[k : k + BATCH]
                 rows = [(d, i, np.frombuffer(own, "<i4")) for d, ids in zip(some["doc_id"], bpe.ids([t if isinstance(t, str) else "" for t in some["text"]]), strict=True) for i, (_, own) in enumerate(cut_pieces(ids + end, capacity))]

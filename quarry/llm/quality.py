@@ -110,10 +110,10 @@ def cutoffs(sketch: DataFrame) -> DataFrame:
     names = [f"{m}_{side}" for m in METRICS for side in ("lo", "hi")]
     own = wide.filter("level = 0")
     lang = wide.filter("level = 1").select("_lang", *[F.col(c).alias(f"lang_{c}") for c in ("docs", *names)])
-    every = wide.filter("level = 2").select(*[F.col(c).alias(f"all_{c}") for c in names])
+    every = wide.filter("level = 2").first()  # one row of numbers; none without documents
     enough = lambda c: F.coalesce(F.col(c), F.lit(0)) >= LEAST_DOCS
-    pick = [F.when(enough("docs"), F.col(c)).when(enough("lang_docs"), F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}")).alias(c) for c in names]
-    return own.join(lang, "_lang", "left").join(F.broadcast(every), F.lit(True)).select("_lang", "_source", *pick)  # `every` is one row
+    pick = [F.when(enough("docs"), F.col(c)).when(enough("lang_docs"), F.col(f"lang_{c}")).otherwise(F.lit(every[c] if every else None).cast("long")).alias(c) for c in names]
+    return own.join(lang, "_lang", "left").select("_lang", "_source", *pick)
 
 
 def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
@@ -136,7 +136,7 @@ def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
         joined = scored.join(F.broadcast(limits), ["_lang", "_source"], "left")
     else:
         salted = limits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = scored.withColumn("_salt", F.pmod(F.xxhash64(text_col), F.lit(SALTS)).cast("int")).join(salted, ["_lang", "_source", "_salt"], "left").drop("_salt")
+        joined = scored.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, ["_lang", "_source", "_salt"], "left").drop("_salt")
     inside = ~F.col("base_failed")
     for m, (_, _, _, _, both) in METRICS.items():
         inside &= (_metric(m) <= F.col(f"{m}_hi")) & ((_metric(m) >= F.col(f"{m}_lo")) if both else F.lit(True))

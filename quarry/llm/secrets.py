@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import ready
+from quarry.llm.common import ready, tidied
 from quarry.llm.tokens import default_path
 
 #: The base patterns, the least characters (of group 2 for ``assign``), in the order of kinds.
@@ -130,7 +130,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = dictionary(path)
-        for pdf in batches:
+        for pdf in tidied(batches):
             found = [[{"kind": k, "start": a, "end": b} for k, a, b in find(t, words, least)] if isinstance(t, str) else [] for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "secrets": found})
 

@@ -16,26 +16,23 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm import winnow
-from quarry.llm.common import Scratch
+from quarry.llm.common import Scratch, tidied
 
 WINDOW = 50
 #: Words of the grams whose least hash is a window's fingerprint.
 GRAM = 16
 #: Word hashes kept by a worker.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 _HASHES: dict[bytes, int] = {}
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words."""
-    there = set(words)
-    new = [w for w in there if w not in _HASHES]
-    if len(_HASHES) + len(new) > CACHE_WORDS:
-        _HASHES.clear()
-        new = list(there)
+    """64-bit hashes of words. Those of many rows of short lists are kept for the next call."""
     digest = xxhash.xxh3_64_intdigest
-    _HASHES.update({w: digest(w) for w in new})
+    if len(_HASHES) > CACHE_WORDS:
+        _HASHES.clear()
+    _HASHES.update({w: digest(w) for w in set(words) if w not in _HASHES})
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
@@ -57,7 +54,7 @@ def _laid(pdf: pd.DataFrame, window: int, gram: int):
 
 def _first_pass(window: int, gram: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in tidied(batches):
             for some, words, ends, starts, prints, _, _ in _laid(pdf, window, gram):
                 first, _ = winnow.runs_of(starts, prints)
                 own = np.searchsorted(starts[first], ends)
@@ -69,7 +66,7 @@ def _first_pass(window: int, gram: int):
 
 def _windows(window: int, gram: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in tidied(batches):
             for some, _, ends, starts, prints, rolling, units in _laid(pdf, window, gram):
                 doc = np.searchsorted(ends, starts, side="right")
                 keep = np.zeros(len(starts), bool)
@@ -110,7 +107,7 @@ def removal_spans(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, id
     scratch.drop("windows")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in tidied(batches):
             spans, shas = [], []
             for text, starts in zip(winnow.unzipped(pdf["z"]), pdf["starts"], strict=True):
                 words = text.split()

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm import winnow
-from quarry.llm.common import Scratch
+from quarry.llm.common import Scratch, tidied
 
 WINDOW = 200
 GRAM = 64
@@ -134,7 +134,7 @@ def _laid(pdf: pd.DataFrame, window: int, gram: int):
 
 def _first_pass(window: int, gram: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in tidied(batches):
             for a, b in winnow.laid([len(t) if isinstance(t, str) else 0 for t in pdf["text"]]):
                 some = pdf.iloc[a:b]
                 raw = _utf8(some["text"])
@@ -149,7 +149,7 @@ def _places(window: int, gram: int):
     name = xxhash.xxh3_128_digest
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in tidied(batches):
             for some, whole, ends, starts, prints in _laid(pdf, window, gram):
                 first, last = winnow.runs_of(starts, prints, RUN)
                 at, size = starts[first], last - first + window - 1
@@ -166,7 +166,7 @@ def _places(window: int, gram: int):
 
 def _cut_out(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in tidied(batches):
             texts = winnow.unzipped(pdf["z"])
             rows = [(w["print"], w["name"], text[w["start"] : w["start"] + w["windows"] + window - 1], w["n"]) for text, wanted in zip(texts, pdf["wanted"], strict=True) for w in wanted]
             yield pd.DataFrame(rows, columns=["print", "name", "bytes", "n"])
@@ -211,7 +211,7 @@ def _sorted_blocks(window: int, gram: int):
                 held.extend(bucket)
                 sizes.append(sum(len(r[2]) for r in bucket))
 
-        for pdf in batches:
+        for pdf in tidied(batches):
             for row in zip(pdf["print"], pdf["name"], pdf["bytes"], pdf["n"], strict=True):
                 if last and row[0] != last[0][0]:
                     hold(last)
@@ -231,7 +231,7 @@ def _sorted_blocks(window: int, gram: int):
 
 def _window_hashes(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in tidied(batches):
             for name, context, n in zip(pdf["name"], pdf["bytes"], pdf["n"], strict=True):
                 at = range(len(context) - window + 1)
                 yield pd.DataFrame({"name": name, "a": np.arange(len(at), dtype=np.int32), "w": [xxhash.xxh3_128_digest(context[k : k + window]) for k in at], "n": n})
@@ -275,7 +275,7 @@ def removal_spans(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, id
     scratch.drop("places", "names", "contexts", "repeats")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in tidied(batches):
             spans, shas = [], []
             for text, found in zip(winnow.unzipped(pdf["z"]), pdf["runs"], strict=True):
                 runs = np.array([(r["a"], r["b"] if r["b"] >= 0 else max(0, len(text) - window + 1)) for r in found], np.int64).reshape(-1, 2)
@@ -303,7 +303,7 @@ def remove_bytes(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", t
     joined = docs.withColumn("_key0", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))).join(spans, (F.col("_key0") == F.col("_key")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in tidied(batches):
             out = []
             for text, own in zip(pdf["_raw"], pdf["_spans"], strict=True):
                 parts, at = [], 0

@@ -29,7 +29,7 @@ _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 #: U+0130 becomes two characters in lower case.
 _OTHER = re.compile("[^\x00-įı-ſ]|<\\|")
 #: Words kept by a worker; beyond that the cache starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 350_000
 #: New words that are encoded as one text.
 ROW = 500
 

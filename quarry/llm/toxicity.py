@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.llm.common import ready
+from quarry.llm.common import ready, tidied
 
 #: Labelled rows that the model is fitted on, about, at most: a documented bound. More are sampled by a hash of their id.
 MAX_ROWS = 20_000
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, train: Column | None = None, max_
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "_id")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in tidied(batches):
             yield pd.DataFrame({"label": pdf["label"], "names": [sorted(of_words(words(t))) for t in pdf["text"]]})
 
     rate = toxic / max(total, 1)
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, train: Column | None = None, max_
     model = Model(names, float(np.log((toxic + 0.5) / (total - toxic + 4.5))))
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in tidied(batches):
             pairs = [[(model.codes(a), model.codes(b)) for a, b in swapped(t)] for t in pdf["text"]]
             yield pd.DataFrame({"id": pdf["_id"], "label": pdf["label"], "codes": [model.codes(words(t)) for t in pdf["text"]], "a": [[x for x, _ in p] for p in pairs], "b": [[y for _, y in p] for p in pairs]})
 
@@ -180,7 +180,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = sent.value
-        for pdf in batches:
+        for pdf in tidied(batches):
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": [own.score(words(t)) for t in pdf["text"]]})
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

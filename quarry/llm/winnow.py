@@ -15,7 +15,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import Scratch
+from quarry.llm.common import Scratch, tidied
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -132,7 +132,7 @@ def same_row(a: DataFrame, b: DataFrame):
 def _zip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Texts are shuffled as compressed bytes, at two thirds of what the shuffle's own codec gives."""
     pack = zstandard.ZstdCompressor(level=1).compress
-    for pdf in batches:
+    for pdf in tidied(batches):
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], "z": [pack(t.encode()) if isinstance(t, str) else None for t in pdf["text"]]})
 
 
