@@ -23,6 +23,8 @@ from quarry.llm.substrings import hashes
 
 BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
+#: Bands that are looked at before the others.
+FIRST_BANDS = 8
 MANTISSA = 10
 #: A link of similarity 0.8 has an estimate under this with a chance below 1e-15 (standard error 0.028).
 LEAST_ESTIMATE = 0.55
@@ -213,6 +215,28 @@ def _sets_of(pdf: pd.DataFrame, width: int):
         yield some, shingle_sets([words_of(t, lower=True) for t in some["text"]], width)
 
 
+def _stars(keys: DataFrame) -> DataFrame:
+    """Links (a, b) from the labels in a bucket of a band to its least label."""
+    leaders = keys.groupBy("band").agg(F.min("label").alias("b"), F.max("label").alias("most")).filter("b <> most").select("band", "b")
+    return keys.join(leaders, "band").select(F.col("label").alias("a"), "b").filter("a <> b").distinct()
+
+
+def _families(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(c, family) of classes that agree in a band with another one, directly or by others.
+
+    The first bands join most of a family; in the others it then counts as one label, so that
+    its members do not link to a leader in each of all bands.
+    """
+    band = lambda k: F.xxhash64(F.lit(k), F.substring("sketch", 2 * ROWS * k + 1, 2 * ROWS))
+    keys = lambda df, some: df.select("label", F.explode(F.array(*[band(k) for k in some])).alias("band"))
+    first = components(_stars(keys(classes.select(F.col("c").alias("label"), "sketch"), range(FIRST_BANDS))), scratch, "first")
+    rooted = classes.select("c", "sketch").join(first, "c", "left").select("c", "sketch", F.col("label").isNotNull().alias("linked"), F.coalesce("label", "c").alias("label"))
+    second = components(_stars(keys(rooted, range(FIRST_BANDS, BANDS))), scratch, "second")
+    top = second.select(F.col("c").alias("label"), F.col("label").alias("top"))
+    found = rooted.select("c", "label", "linked").join(top, "label", "left").filter("linked OR top IS NOT NULL")
+    return scratch.keep(found.select("c", F.coalesce("top", "label").alias("family")), "families")
+
+
 def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, key, n_shingles, component_id and kept.
 
@@ -235,17 +259,13 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
 
     told = scratch.keep(rows.mapInPandas(sketch, "doc_id long, key long, n_shingles long, c binary, sketch binary"), "told")
     classes = scratch.keep(told.filter("c IS NOT NULL").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    band = [F.xxhash64(F.lit(k), F.substring("sketch", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)]
-    keys = classes.select("c", F.explode(F.array(*band)).alias("band"))
-    leaders = keys.groupBy("band").agg(F.min("c").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "b")
-    stars = keys.join(leaders, "band").select(F.col("c").alias("a"), "b").filter("a <> b").distinct()
-    families = components(stars, scratch, "families")
+    families = _families(classes, scratch)
 
     def similar(pdf: pd.DataFrame) -> np.ndarray:
         sketches = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(len(pdf), -1)
         return estimates(sketches, pdf["n"].to_numpy()) >= LEAST_ESTIMATE
 
-    members = families.select("c", F.col("label").alias("family")).join(classes.select("c", "n", "sketch"), "c")
+    members = families.join(classes.select("c", "n", "sketch"), "c")
     close = components(forests(members, F.length("sketch"), similar), scratch, "close")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
