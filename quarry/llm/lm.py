@@ -23,23 +23,23 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.llm import winnow
-from quarry.llm.common import Scratch, crc_mod, parts_for
+from quarry.llm.common import Scratch, crc_mod, parts_for, tidied, words_of
 from quarry.llm.tokens import default_path
 
 VOCABULARY, END = 50_257, 50_256
 #: Classes: the most frequent subwords, and bins of the rest.
 SINGLE, BINS = 104, 24
 CLASSES = SINGLE + BINS
-WIDTH, HEAD = 24, 16
+WIDTH, HEAD = 16, 8
 #: Positions that a window scores, and the context before them that it sees as well.
-BLOCK, CONTEXT = 24, 24
+BLOCK, CONTEXT = 32, 16
 KEYS = BLOCK + CONTEXT
 #: Characters of a chunk of documents, about.
-CHUNK = 24_000_000
-CACHE_WORDS = 500_000
+CHUNK = 10_000_000
+CACHE_WORDS = 400_000
 #: Training: one training document in SHARE is used in each round.
-ROUNDS, SHARE = 2, 16
-STEP_BLOCKS, RATE = 48, 8e-3
+ROUNDS, SHARE = 2, 24
+STEP_BLOCKS, RATE = 36, 8e-3
 ALPHA, KAPPA = 0.05, 8.0
 #: Pair counts are kept of the most frequent subwords (before: PREVIOUS, next: NEXT), the last one standing for all others.
 PREVIOUS, NEXT = 2048, 4096
@@ -59,13 +59,16 @@ class Subwords:
         self.cache: dict[bytes, bytes] = {}
 
     def _words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words: encoded in rows of many, and cut where an id begins with a space."""
         out: list[bytes] = []
         for k in range(0, len(words), 500):
             row = words[k : k + 500]
-            ids = np.asarray(self.encode(" " + b" ".join(row).decode()), np.uint16)
-            cuts = [*np.flatnonzero(self.start[ids]), len(ids)]
-            if len(cuts) == len(row) + 1 and all(w.isascii() and w.isalnum() for w in row):
-                out += [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            text = " " + b" ".join(row).decode()
+            ids = np.asarray(self.encode(text), np.uint16)
+            cuts = np.append(np.flatnonzero(self.start[ids]), len(ids)) * 2
+            if len(cuts) == len(row) + 1 and len(text.split()) == len(row):  # else a word holds other white space
+                raw = ids.tobytes()
+                out += [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
             else:
                 out += [np.asarray(self.encode(" " + w.decode()), np.uint16).tobytes() for w in row]
         return out
@@ -75,10 +78,7 @@ class Subwords:
         new = [w for w in there if w not in self.cache]
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache, new = {}, list(there)
-        plain = [w for w in new if w.isascii() and w.isalnum()]
-        self.cache.update(zip(plain, self._words(plain), strict=True))
-        other = [w for w in new if not (w.isascii() and w.isalnum())]
-        self.cache.update((w, np.asarray(self.encode(" " + w.decode()), np.uint16).tobytes()) for w in other)
+        self.cache.update(zip(new, self._words(new), strict=True))
         end, get = np.asarray([END], np.uint16).tobytes(), self.cache.__getitem__
         return [b"".join(map(get, t)) + end for t in texts]
 
@@ -92,12 +92,15 @@ def subwords(path: str) -> Subwords:
     return _LOADED[path]
 
 
+_HASH = winnow.mixed(np.arange(1, 65_537, dtype=np.uint64))
+
+
 def word_hashes(ids: np.ndarray, start: np.ndarray) -> np.ndarray:
     """A hash of each word's ids; ``ids`` are whole words."""
     first = np.flatnonzero(start[ids])
     up, down = winnow._powers(len(ids) + 1)
     sums = np.zeros(len(ids) + 1, np.uint64)
-    np.cumsum(winnow.mixed(ids.astype(np.uint64) + np.uint64(1)) * down[: len(ids)], out=sums[1:], dtype=np.uint64)
+    np.cumsum(_HASH[ids] * down[: len(ids)], out=sums[1:], dtype=np.uint64)
     ends = np.append(first[1:], len(ids))
     return winnow.mixed((sums[ends] - sums[first]) * up[first])
 
@@ -115,27 +118,31 @@ def _chunked(path: str, buckets: int):
         columns = ["chunk", "doc_id", "held_out", "pick", "z", "bucket", "h", "n"]
 
         def flush() -> pd.DataFrame:
-            h = np.concatenate([x for x, _ in seen])
-            h, where = np.unique(h, return_inverse=True)
-            n = np.bincount(where, np.concatenate([y for _, y in seen])).astype(np.int64)
+            learnt, n = np.unique(np.concatenate([x for x, _ in seen]), return_counts=True)
+            other = np.unique(np.concatenate([y for _, y in seen]))
+            other = other[~np.isin(other, learnt, assume_unique=True)]
             seen.clear()
+            h, n = np.concatenate((learnt, other)), np.concatenate((n, np.zeros(len(other), np.int64)))
+            order = np.argsort(h)
+            h, n = h[order], n[order]
             own = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             cuts = np.searchsorted(own, np.arange(buckets + 1))
             rows = [(part + number, None, None, None, None, k, h[a:b].tobytes(), n[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
             return pd.DataFrame(rows, columns=columns)
 
-        for pdf in batches:
-            texts = [t.encode().lower() if isinstance(t, str) else b"" for t in pdf["text"]]
-            for a, b in winnow.laid([len(t) for t in texts], 1_000_000):
+        for pdf in tidied(batches):
+            sizes = [len(t) if isinstance(t, str) else 0 for t in pdf["text"]]
+            for a, b in winnow.laid(sizes, 1_000_000):
                 some = pdf.iloc[a:b]
-                ids = tool.ids([t.split() for t in texts[a:b]])
+                ids = tool.ids([words_of(t, lower=True) for t in some["text"]])
                 arrays = [np.frombuffer(x, np.uint16) for x in ids]
                 whole = np.concatenate(arrays)
                 held = np.repeat(some["held_out"].to_numpy().astype(bool), [len(x) for x in arrays])
-                seen.append((word_hashes(whole, tool.start), (~held[tool.start[whole]]).astype(np.float64)))
+                h, kept = word_hashes(whole, tool.start), held[tool.start[whole]]
+                seen.append((h[~kept], h[kept]))
                 grams += np.bincount(whole[~held], minlength=VOCABULARY)
                 yield pd.DataFrame({"chunk": part + number, "doc_id": some["doc_id"], "held_out": some["held_out"], "pick": some["pick"], "z": [pack(x) for x in ids], "bucket": None, "h": None, "n": None})[columns]
-                size += sum(len(t) for t in texts[a:b])
+                size += sum(sizes[a:b])
                 if size >= CHUNK:
                     yield flush()
                     number, size = number + 1, 0
@@ -250,7 +257,7 @@ class Model:
         logits += self.bigram[rows[at[inside]]]
         return (logits, at[inside], (cq, ck, q, k, v, a, inside, h, tables)) if keep else (logits, at[inside], None)
 
-    def scores(self, ids: np.ndarray, lengths: np.ndarray, blocks: int = 256) -> np.ndarray:
+    def scores(self, ids: np.ndarray, lengths: np.ndarray, blocks: int = 32) -> np.ndarray:
         """Natural log probability of every subword; documents laid end to end.
 
         The same as ``forward``, with fewer passes: no logit here can overflow a float, as
@@ -358,18 +365,19 @@ class Trainer:
 
 def _ids(column) -> list[np.ndarray]:
     unpack = zstandard.ZstdDecompressor().decompress
-    return [np.frombuffer(unpack(z), np.uint16).astype(np.int64) for z in column]
+    return [np.frombuffer(unpack(z), np.uint16) for z in column]
 
 
 def _pairs(model: Model):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(PREVIOUS * NEXT, np.int64)
-        for pdf in batches:
+        for pdf in tidied(batches):
             arrays = _ids(pdf["z"])
-            for a, b in winnow.laid([len(x) for x in arrays], 4_000_000):
-                ids = np.concatenate(arrays[a:b])
+            for a, b in winnow.laid([len(x) for x in arrays], 1_000_000):
+                ids = np.concatenate(arrays[a:b]).astype(np.int64)
                 before = np.concatenate(([END], ids[:-1]))  # documents end with END
-                seen += np.bincount(model.row[before] * NEXT + model.column[ids], minlength=len(seen))
+                cells, n = np.unique(model.row[before] * NEXT + model.column[ids], return_counts=True)
+                seen[cells] += n
         used = np.flatnonzero(seen)
         for k in range(0, len(used), 200_000):
             yield pd.DataFrame({"cell": used[k : k + 200_000], "n": seen[used[k : k + 200_000]]})
@@ -382,16 +390,33 @@ def _trained(model: Model):
         import copy
 
         own = Trainer(copy.deepcopy(model))
-        for pdf in batches:
+        for pdf in tidied(batches):
             arrays = _ids(pdf["z"])
             for a, b in winnow.laid([len(x) for x in arrays], 200_000):
-                own.learn(np.concatenate(arrays[a:b]), np.array([len(x) for x in arrays[a:b]]))
+                own.learn(np.concatenate(arrays[a:b]).astype(np.int64), np.array([len(x) for x in arrays[a:b]]))
         if own.steps:
             yield pd.DataFrame({"weights": [own.model.vector()], "steps": [own.steps]})
 
     return run
 
 
+class Places:
+    """Places of known values in a sorted array of hashes: a table by leading bits, then a few steps."""
+
+    def __init__(self, h: np.ndarray):
+        self.h = h
+        self.shift = np.uint64(64 - max(1, len(h).bit_length()))
+        self.first = np.searchsorted(h, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift)
+
+    def __call__(self, q: np.ndarray) -> np.ndarray:
+        at = self.first[q >> self.shift]
+        todo = np.flatnonzero(self.h[at] != q)
+        while len(todo):
+            at[todo] += 1
+            todo = todo[self.h[at[todo]] != q[todo]]
+        return at
+
+
 def _scored(sent, tokens: int, known: int, path: str):
     def run(docs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -402,14 +427,14 @@ def _scored(sent, tokens: int, known: int, path: str):
         c = np.concatenate([np.frombuffer(x, np.int64) for x in counts["c"]])
         order = np.argsort(h)
         h, c = h[order], c[order]
-        base = np.log10((c + 1) / (tokens + known + 1))
+        base, places = np.log10((c + 1) / (tokens + known + 1)), Places(h)
         arrays, out = _ids(docs["z"]), []
-        for a, b in winnow.laid([len(x) for x in arrays], 500_000):
-            ids = np.concatenate(arrays[a:b])
+        for a, b in winnow.laid([len(x) for x in arrays], 250_000):
+            ids = np.concatenate(arrays[a:b]).astype(np.int64)
             lengths = np.array([len(x) for x in arrays[a:b]])
             doc = np.repeat(np.arange(b - a), lengths)
             words = doc[start[ids]]
-            at = np.searchsorted(h, word_hashes(ids.astype(np.uint16), start))
+            at = places(word_hashes(ids.astype(np.uint16), start))
             out.append(
                 pd.DataFrame(
                     {
@@ -446,7 +471,7 @@ def score(docs: DataFrame, *, held_out: Column | None = None, vocabulary: str |
     tokens, known = totals[0] or 0, totals[1] or 0
 
     def spread_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in tidied(batches):
             for h, n in zip(pdf["h"], pdf["n"], strict=True):
                 yield pd.DataFrame({"id": np.frombuffer(h, np.int64), "n": np.frombuffer(n, np.int64)})
 
