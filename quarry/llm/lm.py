@@ -5,8 +5,8 @@ from the subword before; within a class, the share follows counts after that sub
 Classes are single subwords for the most frequent ones and bins of equal mass for the rest,
 so the distribution over the whole vocabulary sums to one. Counts cover every training
 document. The attention weights start from zero effect and are trained in rounds: each
-partition takes gradient steps on a fixed share of its training documents, and Spark
-averages the weights.
+partition takes gradient steps on its training documents of that round, and Spark averages
+the weights. Over the rounds every training document is used once.
 
 Base scores need the count of each word of each document. Documents are held in chunks of
 bounded size; a chunk sends each of its words once, and gets each count back once.
@@ -30,15 +30,15 @@ VOCABULARY, END = 50_257, 50_256
 #: Classes: the most frequent subwords, and bins of the rest.
 SINGLE, BINS = 104, 24
 CLASSES = SINGLE + BINS
-WIDTH, HEAD = 16, 8
+WIDTH, HEAD = 24, 16
 #: Positions that a window scores, and the context before them that it sees as well.
-BLOCK, CONTEXT = 32, 16
+BLOCK, CONTEXT = 32, 32
 KEYS = BLOCK + CONTEXT
 #: Characters of a chunk of documents, about.
 CHUNK = 10_000_000
 CACHE_WORDS = 400_000
-#: Training: one training document in SHARE is used in each round.
-ROUNDS, SHARE = 2, 24
+#: Training: every training document is used in one of the rounds.
+ROUNDS = 2
 STEP_BLOCKS, RATE = 36, 8e-3
 ALPHA, KAPPA = 0.05, 8.0
 #: Pair counts are kept of the most frequent subwords (before: PREVIOUS, next: NEXT), the last one standing for all others.
@@ -464,7 +464,7 @@ def score(docs: DataFrame, *, held_out: Column | None = None, vocabulary: str |
     path = vocabulary or default_path("byte_bpe_50k.tiktoken")
     held = held_out if held_out is not None else crc_mod(id_col, 7) == 2
     buckets = 4 * parts_for(docs)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held, F.lit(False)).alias("held_out"), F.pmod(F.xxhash64(id_col, text_col), F.lit(SHARE)).cast("int").alias("pick"))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held, F.lit(False)).alias("held_out"), F.pmod(F.xxhash64(id_col, text_col), F.lit(ROUNDS)).cast("int").alias("pick"))
     made = scratch.keep(slim.mapInPandas(_chunked(path, buckets), "chunk long, doc_id long, held_out boolean, pick int, z binary, bucket int, h binary, n binary"), "chunks")
     counted = scratch.keep(made.filter("bucket >= 0").select("chunk", "bucket", "h", "n").groupBy("bucket").applyInPandas(_counted, "chunk long, h binary, c binary, tokens long, known long"), "counted")
     totals = counted.filter("chunk = -1").agg(F.sum("tokens"), F.sum("known")).first()

@@ -1,4 +1,6 @@
 import math
+import pickle
+import uuid
 import zlib
 from collections import Counter
 
@@ -103,6 +105,40 @@ def test_training_helps():
     assert m.scores(ids[-3050:], lengths[-50:]).sum() > plain + 500
 
 
+def test_every_training_document_is_learnt_once(docs, rows, monkeypatch, tmp_path):
+    trained = lm._trained
+
+    def watched(model):
+        run = trained(model)
+
+        def watch(batches):
+            def noted():
+                for pdf in batches:
+                    (tmp_path / uuid.uuid4().hex).write_bytes(pickle.dumps([x.tobytes() for x in lm._ids(pdf["z"])]))
+                    yield pdf
+
+            yield from run(noted())
+
+        return watch
+
+    monkeypatch.setattr(lm, "_trained", watched)
+    lm.score(docs).count()
+    learnt = Counter(z for p in tmp_path.iterdir() for z in pickle.loads(p.read_bytes()))
+    held = lambda r: r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2
+    tool = lm.subwords(default_path("byte_bpe_50k.tiktoken"))
+    assert learnt == Counter(tool.ids([(r[1] or "").encode().lower().split() for r in rows if not held(r)]))
+
+
+def test_attention_sees_32_subwords_before():
+    """Each subword's score depends on the one 32 places before it, wherever it lies in its window."""
+    m, ids, lengths = model()
+    far = m.scores(ids, lengths)
+    for k in range(150, 150 + lm.BLOCK):
+        changed = ids.copy()
+        changed[k - 32] = next(x for x in range(3000) if m.cls[x] != m.cls[ids[k - 32]])
+        assert m.scores(changed, lengths)[k] != far[k]
+
+
 def test_words_of_ids():
     tool = lm.subwords(default_path("byte_bpe_50k.tiktoken"))
     words = [b"the", b"an\xc3\xa9e,", "a b".encode(), b"'s", b"(x", b"12", b"the"]
