@@ -2,7 +2,8 @@
 
 The guess cost of a value is the least sum over its segmentations into dictionary words,
 dates, repeats, keyboard walks or sequences, and brute-force characters, in powers of ten.
-Values that a guesser would not soon reach are reported as spans of kind ``guess``.
+Values that a guesser would not soon reach, and short ones (from six characters) that only
+brute force finds, are reported as spans of kind ``guess``.
 """
 
 from __future__ import annotations
@@ -28,8 +29,11 @@ KINDS = ("assign", "access", "hex", "guess")
 _HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"auth", b"login")
 #: Where a value is a credential: a name, then ``:``, ``=``, ``=>`` or "is".
 CONTEXT = re.compile(r"(?ai:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret)[\x20_-]?key|credentials?|auth|login)\b)[\"']?\x20*(?::=|=>|[:=]|\bis\b)\x20*[\"']?([^\s\"'<>,;|(){}\[\]]{6,})")
-#: Values that take 10**GUESSES guesses or more are secrets.
-GUESSES = 10.0
+#: Values that take 10**GUESSES guesses or more are secrets, and shorter ones that are (nearly) all brute force,
+#: which costs 1 a character: at least BRUTE a character.
+GUESSES, BRUTE = 10.0, 0.9
+#: Punctuation of a sentence that may follow a value.
+AFTER = ".:!?"
 SEGMENT = math.log10(2)
 #: Neighbours on a keyboard, and characters that stand for letters.
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890")
@@ -99,6 +103,12 @@ def guess_cost(value: str, words: dict[str, int]) -> float:
     return min(done[n], brute[n])
 
 
+def _value(raw: str) -> str:
+    """A value without the sentence's punctuation, unless that leaves too little of what is no plain word."""
+    bare = raw.rstrip(AFTER)
+    return raw if len(bare) < 6 and not bare.isalpha() else bare
+
+
 def find(text: str, words: dict[str, int], least: float = GUESSES) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) of a text in code points, by start and then kind."""
     raw = text.encode()
@@ -113,8 +123,8 @@ def find(text: str, words: dict[str, int], least: float = GUESSES) -> list[tuple
         base = list(spans)
         for m in CONTEXT.finditer(text):
             a = m.start(1)
-            b = a + len(m[1].rstrip(".:!?"))
-            if b - a >= 6 and not any(x < b and a < y for _, x, y in base) and guess_cost(text[a:b], words) >= least:
+            b = a + len(_value(m[1]))
+            if b - a >= 6 and not any(x < b and a < y for _, x, y in base) and guess_cost(text[a:b], words) >= min(least, BRUTE * (b - a)):
                 spans.append(("guess", a, b))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 

@@ -69,6 +69,16 @@ def test_values_in_context():
     assert kinds("tr7#Kp!9zQw2 alone") == []
 
 
+def test_short_values_in_context():
+    words = secrets.dictionary(default_path("byte_bpe_50k.json"))
+    kinds = lambda t: [(k, t[a:b]) for k, a, b in secrets.find(t, words)]
+    for random in ("k#9Xq@", "aX9#k!", "Q7$kz@w", "Xk9#mQ2@", "v!7Rq#2Lx"):  # 6 to 9 characters
+        assert kinds(f"password: {random}") == [("guess", random)], random
+    assert kinds("password: Xk9#mQ2!") == [("guess", "Xk9#mQ2")]
+    for weak in ("monkey", "hunter2", "iloveyou", "qwerty", "abc123", "aaaaaa", "dragon7", "1987", "hello.", "welcome!", "p@ss!", "monkey#"):
+        assert kinds(f"auth: {weak}") == [], weak
+
+
 def test_secrets_empty(nothing):
     assert secrets.scan_secrets(nothing).count() == 0
 
