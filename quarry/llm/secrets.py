@@ -27,13 +27,23 @@ ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 KINDS = ("assign", "access", "hex", "guess")
 #: Every assign match and every context has one of these in lower case.
 _HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"auth", b"login")
-#: Where a value is a credential: a name, then ``:``, ``=``, ``=>`` or "is".
-CONTEXT = re.compile(r"(?ai:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|secret)[\x20_-]?key|credentials?|auth|login)\b)[\"']?\x20*(?::=|=>|[:=]|\bis\b)\x20*[\"']?([^\s\"'<>,;|(){}\[\]]{6,})")
+# Names of credentials: the long ones anywhere in an identifier, the others where a part of one begins ("db_pass", "dbPass").
+_PART = r"(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])))"
+_NAME = rf"(?:pass(?:word|wd|phrase|code)|secret|token|(?:api|access|private|secret)[\x20_-]?key|{_PART}(?:pass|pwd|credential|auth|login))"
+#: Where a value is a credential: a name, as the last one of an identifier that may go on after it ("token_v2",
+#: "passwordProd", not "author"), then ``:``, ``=``, ``=>`` or "is". Quoted values go up to the closing quote in the
+#: line, others up to white space, or, after a quoted name, up to a comma before the next one.
+CONTEXT = re.compile(
+    rf"(?ai:{_NAME}s?(?:(?:[0-9_-]|(?-i:(?<=[a-z])[A-Z]))(?:(?!{_NAME})[A-Za-z0-9_-])*+)?(?![A-Za-z0-9_-]))"
+    r"(?P<quote>[\"'])?\x20*(?::=|=>|[:=]|\b(?ai:is)\b)\x20*"
+    r"(?:\"(?P<double>(?:\\.|[^\"\\\n]){6,})\"|'(?P<single>(?:\\.|[^'\\\n]){6,})'|(?:\"(?!(?:\\.|[^\"\\\n])*\")|'(?!(?:\\.|[^'\\\n])*'))?"
+    r"(?P<bare>[^\s\"'](?:(?(quote)(?![,;][\"'])|)\S){5,}))"
+)
 #: Values that take 10**GUESSES guesses or more are secrets, and shorter ones that are (nearly) all brute force,
 #: which costs 1 a character: at least BRUTE a character.
 GUESSES, BRUTE = 10.0, 0.9
-#: Punctuation of a sentence that may follow a value.
-AFTER = ".:!?"
+#: Punctuation of a sentence, brackets and quotes that may follow a value without quotes.
+AFTER = ".:!?,;|)]}>\"'"
 SEGMENT = math.log10(2)
 #: Neighbours on a keyboard, and characters that stand for letters.
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890")
@@ -122,8 +132,8 @@ def find(text: str, words: dict[str, int], least: float = GUESSES) -> list[tuple
     if any(h in low for h in _HINTS):
         base = list(spans)
         for m in CONTEXT.finditer(text):
-            a = m.start(1)
-            b = a + len(_value(m[1]))
+            a = m.start(m.lastgroup)
+            b = a + len(_value(m["bare"]) if m["bare"] else m[m.lastgroup])
             if b - a >= 6 and not any(x < b and a < y for _, x, y in base) and guess_cost(text[a:b], words) >= min(least, BRUTE * (b - a)):
                 spans.append(("guess", a, b))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))

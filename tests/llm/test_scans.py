@@ -1,6 +1,7 @@
 """Secrets, toxicity, decontamination."""
 
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -79,6 +80,35 @@ def test_short_values_in_context():
         assert kinds(f"auth: {weak}") == [], weak
 
 
+def test_names_and_ends_of_values():
+    words = secrets.dictionary(default_path("byte_bpe_50k.json"))
+    values = lambda t: [t[a:b] for k, a, b in secrets.find(t, words) if k == "guess"]
+    assert values("DB_PASSWORD=p@5$w0rd!Zq9#x7L") == ["p@5$w0rd!Zq9#x7L"]
+    assert values("user_password: x!K9#mQ2$vB7z") == ["x!K9#mQ2$vB7z"]
+    assert values("client_secret = 'q@7!Zx#9Lm%2Vt'") == ["q@7!Zx#9Lm%2Vt"]
+    assert values("password=x9,k!Q2#vB7zLm@") == ["x9,k!Q2#vB7zLm@"]
+    random = "x!(9#m;2$v|7z"
+    for name in ("TOKEN_V2", "my-api-key-prod", "dbPass", "DB_PASS", "passwordProd", "old_passwords", "mypassword", "secret_token_3", '"login"', "$auth", "password1"):
+        assert values(f"a {name}: {random}, and") == [random], name
+    assert values(f'(pwd="{random} x.", b)') == [f"{random} x."]
+    assert values(f"pwd='{random}\\'\"!' b") == [f"{random}\\'\"!"]
+    assert values(f"pwd='{random} b\n'") == [random]  # no closing quote in the line
+    assert values(f"(pwd={random}).") == [random]
+    for json in ('{"auth":true,"user":"bob@exam.org"}', '{"auth":"abc","user":"bob@exam.org"}'):
+        assert values(json) == [], json
+    for other in ("author", "compass", "authority_x", "tokenizer", "passenger", "blogin", "secretary"):
+        assert values(f"{other}: {random}") == [], other
+    assert values("a secret_is kept, the token is (information), auth = password1; b") == []
+
+
+def test_long_identifiers_take_linear_time():
+    words = secrets.dictionary(default_path("byte_bpe_50k.json"))
+    for part in ("token_", "token", "a_", "pass-", "auth" + " " * 9, "token='", 'token="\\'):
+        start = time.process_time()
+        secrets.find(part * 20_000, words)
+        assert time.process_time() - start < 20, part
+
+
 def test_secrets_empty(nothing):
     assert secrets.scan_secrets(nothing).count() == 0
 
