@@ -31,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark spans of ten words or more removed; documents that are mostly such spans go."""
+    """Benchmark spans of ten words or more and whole shorter items removed; documents that are mostly such spans go."""
     clean = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 

@@ -214,8 +214,9 @@ def contamination(docs: DataFrame, items: DataFrame | None, *, window: int = 10,
 
 
 def decontaminate(docs: DataFrame, items: DataFrame | None, *, min_span: int = 10, max_coverage: float = 0.5, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` without spans of ``min_span`` or more hit words, and without documents that are mostly hit.
+    """``docs`` without spans of ``min_span`` or more hit words or of whole shorter items, and without documents that are mostly hit.
 
+    A span of fewer than ``window`` words is made of whole items, and goes whatever ``min_span`` is.
     A document goes if more than ``max_coverage`` of its words are hit, or if nothing but
     hit spans was in it. A span's text goes from its first word's first character to its
     last word's last one. Columns stay as they are; documents that are not hit keep their text.
@@ -227,7 +228,7 @@ def decontaminate(docs: DataFrame, items: DataFrame | None, *, min_span: int = 1
             spans = [(x["start"], x["end"]) for x in spans]
             hit = sum(b - a for a, b in spans)
             if hit:
-                text = cut_spans(text, [s for s in spans if s[1] - s[0] >= min_span])
+                text = cut_spans(text, [s for s in spans if not window <= s[1] - s[0] < min_span])
             texts.append(text)
             stays.append(not hit or (hit <= max_coverage * n and bool(norm_words(text))))
         return pdf.assign(**{text_col: texts})[np.array(stays, bool)].drop(columns=list(ADDED))

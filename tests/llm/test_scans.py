@@ -218,3 +218,19 @@ def test_decontaminate(spark):
     assert got == {1: "Before that. ! After (that) there is a good deal more of quite other text, which stays here.", 4: "clean", 5: None, 6: ""}
     assert decontam.decontaminate(docs, bench.limit(0)).count() == 6
     assert decontam.decontaminate(docs.limit(0), bench).count() == 0
+
+
+def test_decontaminate_short_items(spark):
+    """Items of fewer words than a window are cut from long documents too; parts of them stay."""
+    long = "here is a good deal of quite other text, which stays, "
+    rows = [(1, f"{long}What is, the answer? {long}forty two! {long}"), (2, f"{long}what is the {long}"), (3, "What is the answer, forty two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "What is the answer?"), (2, "Forty-two.")], "item_id long, text string")
+    want = {1: f"{long}? {long}! {long}", 2: rows[1][1]}
+    for block_words in (200_000, 3):
+        got = decontam.decontaminate(docs, bench, block_words=block_words)
+        assert {r["doc_id"]: r["text"] for r in got.collect()} == want
+    item = " ".join(f"w{k}" for k in range(30))
+    partly = spark.createDataFrame([(1, f"{long}w3 w4 w5 w6 w7 w8 {long}"), (2, f"{long}w3 w4 w5 {long}")], "doc_id long, text string")
+    got = decontam.decontaminate(partly, spark.createDataFrame([(1, item)], "item_id long, text string"), window=4)
+    assert got.count() == 2 and {r["text"] for r in got.collect()} == {r["text"] for r in partly.collect()}  # a piece under min_span
