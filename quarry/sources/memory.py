@@ -26,7 +26,7 @@ def from_pandas(spark: SparkSession, pdf: pd.DataFrame | pd.Series, *, npartitio
     categories = {c: pdf[c].cat for c in pdf.columns if isinstance(pdf[c].dtype, pd.CategoricalDtype)}
     own = pdf.astype({c: object for c in categories})
     if len(own):
-        inferred = spark.createDataFrame(own.head(1000)).schema if len(own.columns) else T.StructType()
+        inferred = spark.createDataFrame(own).schema if len(own.columns) else T.StructType()
         schema = T.StructType([T.StructField(f.name, T.TimestampNTZType() if isinstance(f.dataType, T.TimestampType) and own[f.name].dt.tz is None else f.dataType) for f in inferred])
     else:
         kinds = {"i": T.LongType(), "f": T.DoubleType(), "b": T.BooleanType(), "M": T.TimestampNTZType()}

@@ -119,6 +119,14 @@ def test_from_pandas(spark):
     assert len(memory.compute(df)) == 4
 
 
+def test_from_pandas_late_values(spark):
+    """A column whose first values are null gets its type from later ones."""
+    late = [None] * 1000 + list("ab") * 250
+    df = memory.from_pandas(spark, pd.DataFrame({"s": pd.Series(late, dtype=object), "c": pd.Categorical(late)}))
+    assert dict(df.dtypes) == {"s": "string", "c": "string"}
+    assert df.filter("s = 'b' AND c = 'b'").count() == 250 and df.filter("s IS NULL AND c IS NULL").count() == 1000
+
+
 def test_from_parts(spark):
     parts = [spark.createDataFrame([(k, 0)], "x long, i long") for k in range(3)]
     assert rows(memory.from_parts(spark, parts)) == [(0, 0), (1, 0), (2, 0)]
