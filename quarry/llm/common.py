@@ -80,9 +80,11 @@ class Scratch:
         self.spark = ready(spark)
         self.base = f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """``df``, written and read again; ``by``: a column with few values, a folder for each."""
         path = f"{self.base}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def finish(self, df: DataFrame) -> DataFrame:

@@ -1,15 +1,20 @@
 """Language-model scores from a causal self-attention model trained in numpy on subword ids.
 
-The model gives the class of the next subword from attention over a window of classes and
-from the subword before; within a class, the share follows counts after that subword.
-Classes are single subwords for the most frequent ones and bins of equal mass for the rest,
-so the distribution over the whole vocabulary sums to one. Counts cover every training
-document. The attention weights start from zero effect and are trained in rounds: each
-partition takes gradient steps on its training documents of that round, and Spark averages
-the weights. Over the rounds every training document is used once.
-
-Base scores need the count of each word of each document. Documents are held in chunks of
-bounded size; a chunk sends each of its words once, and gets each count back once.
+A word is its subword ids, an end is one more word. Before each word the model attends over
+the words before it, each embedded as the sum of its subwords' vectors, and gives the class
+of the word's first subword. What is left of the word follows counts: its own count among
+words with that first subword (absolute discounting), and below that the counts of subword
+pairs. All three multiply to one distribution over words.
+
+Subword vectors are the leading singular vectors of the counts of what follows a subword.
+The attention is trained by synchronous gradient steps: a step is the summed gradient over
+one share of the training documents, shares are taken by a hash of the document, and every
+training document is in one of them. So the result does not depend on how rows are
+dealt, but for rounding.
+
+Counts cover every training document and grow with the corpus: documents are held in
+chunks of bounded size; a chunk sends each of its words and subword pairs once, and gets
+each total back once.
 """
 
 from __future__ import annotations
@@ -27,22 +32,28 @@ from quarry.llm.common import Scratch, crc_mod, parts_for, tidied, words_of
 from quarry.llm.tokens import default_path
 
 VOCABULARY, END = 50_257, 50_256
-#: Classes: the most frequent subwords, and bins of the rest.
+#: Classes of first subwords: the most frequent ones, and bins of the rest.
 SINGLE, BINS = 104, 24
 CLASSES = SINGLE + BINS
 WIDTH, HEAD = 24, 16
-#: Positions that a window scores, and the context before them that it sees as well.
+#: Words that a window scores, and the words before them that it sees as well.
 BLOCK, CONTEXT = 32, 32
 KEYS = BLOCK + CONTEXT
+#: Windows that are worked on at once.
+WINDOWS = 24
 #: Characters of a chunk of documents, about.
 CHUNK = 10_000_000
+#: Bytes of text for each bucket of word counts: some 4 bytes in 10 are sent.
+BUCKET_TEXT = 64_000_000
 CACHE_WORDS = 400_000
-#: Training: every training document is used in one of the rounds.
-ROUNDS = 2
-STEP_BLOCKS, RATE = 36, 8e-3
-ALPHA, KAPPA = 0.05, 8.0
-#: Pair counts are kept of the most frequent subwords (before: PREVIOUS, next: NEXT), the last one standing for all others.
-PREVIOUS, NEXT = 2048, 4096
+#: Training: steps, each over its own share of the training documents.
+ROUNDS = 16
+RATE = 0.05
+ALPHA, SHRINK = 0.05, 20.0
+#: Vectors of subwords are of spread 1 in each direction, and held within this.
+LIMIT = 4.0
+#: Ids in a block of the table of what follows each id.
+ROWS = 64
 
 
 class Subwords:
@@ -105,114 +116,220 @@ def word_hashes(ids: np.ndarray, start: np.ndarray) -> np.ndarray:
     return winnow.mixed((sums[ends] - sums[first]) * up[first])
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """An array of whole numbers, narrow and compressed."""
+    kind = np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32 if x.max() < 1 << 32 else np.uint64
+    return bytes([np.dtype(kind).itemsize]) + zstandard.ZstdCompressor(level=1).compress(x.astype(kind).tobytes())
+
+
+def _unpack(z: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(z[1:]), f"<u{z[0]}").astype(np.int64)
+
+
+def _slices(lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places of the items that begin at ``at`` and have ``lengths`` places each, one after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(at - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def pairs_of(spelt: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of words spelt one after another: each subword, what follows it in its word (VOCABULARY: nothing), its word."""
+    after = np.append(spelt[1:], 0)
+    after[np.cumsum(lengths) - 1] = VOCABULARY
+    return spelt, after, np.repeat(np.arange(len(lengths)), lengths)
+
+
+def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """A key of each pair; different pairs have different keys."""
+    return winnow.mixed((before * (VOCABULARY + 1) + after + 1).astype(np.uint64) * winnow.BASE)
+
+
+CHUNKED = "chunk long, ids array<long>, sizes binary, words binary, own binary, spelt binary, lengths binary, bucket int, h binary, n binary, s binary, part int"
+#: Parts of that table: a round's training documents by number, then these.
+HELD, ITEMS, GRAMS = -1, -2, -3
+
+
+def _frame(rows: list[dict], schema: str) -> pd.DataFrame:
+    """Rows as a local frame of the schema's columns; what a row lacks is null."""
+    return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in (x.split()[0] for x in schema.split(", "))})
+
+
 def _chunked(path: str, buckets: int):
-    """Documents as packed ids, and for each chunk its words by hash with their counts in training documents."""
+    """Documents as numbers of their chunk's words; and for each chunk its words and subword pairs with their counts in training documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        tool, pack = subwords(path), zstandard.ZstdCompressor(level=1).compress
-        part, number, size = TaskContext.get().partitionId() << 24, 0, 0
-        seen: list[tuple[np.ndarray, np.ndarray]] = []
-        grams = np.zeros(VOCABULARY, np.int64)
-        columns = ["chunk", "doc_id", "held_out", "pick", "z", "bucket", "h", "n"]
+        tool = subwords(path)
+        task, number, size = TaskContext.get().partitionId() << 24, 0, 0
+        held: list[tuple[object, int, np.ndarray]] = []  # id, part and ids of each document
+        grams = np.zeros((2, VOCABULARY), np.int64)
 
-        def flush() -> pd.DataFrame:
-            learnt, n = np.unique(np.concatenate([x for x, _ in seen]), return_counts=True)
-            other = np.unique(np.concatenate([y for _, y in seen]))
-            other = other[~np.isin(other, learnt, assume_unique=True)]
-            seen.clear()
-            h, n = np.concatenate((learnt, other)), np.concatenate((n, np.zeros(len(other), np.int64)))
-            order = np.argsort(h)
-            h, n = h[order], n[order]
+        def sent(kind: int, h: np.ndarray, n: np.ndarray, s: np.ndarray) -> list[dict]:
+            """Rows for the buckets of sorted keys."""
             own = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             cuts = np.searchsorted(own, np.arange(buckets + 1))
-            rows = [(part + number, None, None, None, None, k, h[a:b].tobytes(), n[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-            return pd.DataFrame(rows, columns=columns)
+            return [{"bucket": kind * buckets + k, "h": h[a:b].tobytes(), "n": n[a:b].astype(np.int64).tobytes(), "s": s[a:b].astype(np.uint16).tobytes(), "part": ITEMS} for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+
+        def flush() -> pd.DataFrame:
+            whole, parts = np.concatenate([x for *_, x in held]), np.array([p for _, p, _ in held])
+            begin = np.flatnonzero(tool.start[whole])
+            h = word_hashes(whole, tool.start)
+            order = np.argsort(h)
+            new = np.append(True, h[order[1:]] != h[order[:-1]])
+            word = np.empty(len(h), np.int64)
+            word[order] = np.cumsum(new) - 1
+            sizes = np.diff(np.searchsorted(begin, np.cumsum([0, *[len(x) for *_, x in held]])))
+            part = np.repeat(parts, sizes)
+            n = np.bincount(word, part >= 0, int(new.sum())).astype(np.int64)
+            first = order[new]
+            lengths = np.diff(np.append(begin, len(whole)))[first]
+            spelt = whole[_slices(lengths, begin[first])].astype(np.int64)
+            at = np.cumsum(lengths) - lengths
+            before, after, owner = pairs_of(spelt, lengths)
+            keys, which = np.unique(pair_keys(before, after), return_inverse=True)
+            pair_n, pair_s = np.bincount(which, n[owner], len(keys)), np.empty(len(keys), np.int64)
+            pair_s[which] = before
+            grams[0] += np.bincount(spelt[at], n, VOCABULARY).astype(np.int64)
+            grams[1] += np.bincount(spelt, n[owner], VOCABULARY).astype(np.int64)
+            rows = sent(0, h[first], n, spelt[at]) + sent(1, keys, pair_n, pair_s)
+            offsets = np.cumsum(sizes) - sizes
+            for p in np.unique(parts):
+                docs = np.flatnonzero(parts == p)
+                words = word[_slices(sizes[docs], offsets[docs])]
+                there = np.zeros(len(first), bool)
+                there[words] = True
+                own = np.flatnonzero(there)
+                rows.append({"ids": [held[d][0] for d in docs], "sizes": _pack(sizes[docs]), "words": _pack((np.cumsum(there) - 1)[words]), "own": _pack(own), "spelt": _pack(spelt[_slices(lengths[own], at[own])]), "lengths": _pack(lengths[own]), "part": int(p)})
+            held.clear()
+            return _frame([r | {"chunk": task + number} for r in rows], CHUNKED)
 
         for pdf in tidied(batches):
-            sizes = [len(t) if isinstance(t, str) else 0 for t in pdf["text"]]
-            for a, b in winnow.laid(sizes, 1_000_000):
+            texts = pdf["text"].tolist()
+            for a, b in winnow.laid([len(t) if isinstance(t, str) else 0 for t in texts], 1_000_000):
                 some = pdf.iloc[a:b]
-                ids = tool.ids([words_of(t, lower=True) for t in some["text"]])
-                arrays = [np.frombuffer(x, np.uint16) for x in ids]
-                whole = np.concatenate(arrays)
-                held = np.repeat(some["held_out"].to_numpy().astype(bool), [len(x) for x in arrays])
-                h, kept = word_hashes(whole, tool.start), held[tool.start[whole]]
-                seen.append((h[~kept], h[kept]))
-                grams += np.bincount(whole[~held], minlength=VOCABULARY)
-                yield pd.DataFrame({"chunk": part + number, "doc_id": some["doc_id"], "held_out": some["held_out"], "pick": some["pick"], "z": [pack(x) for x in ids], "bucket": None, "h": None, "n": None})[columns]
-                size += sum(sizes[a:b])
+                ids = tool.ids([words_of(t, lower=True) for t in texts[a:b]])
+                doc_ids = [None if pd.isna(x) else int(x) for x in some["doc_id"]]
+                held += zip(doc_ids, some["part"].tolist(), [np.frombuffer(x, np.uint16) for x in ids], strict=True)
+                size += sum(len(t) if isinstance(t, str) else 0 for t in texts[a:b])
                 if size >= CHUNK:
                     yield flush()
                     number, size = number + 1, 0
-        if seen:
+        if held:
             yield flush()
-        if grams.any():
-            used = np.flatnonzero(grams)
-            yield pd.DataFrame([(None, None, None, None, None, -1, used.astype(np.int64).tobytes(), grams[used].tobytes())], columns=columns)
+        used = np.flatnonzero(grams.any(0))
+        if len(used):
+            yield _frame([{"h": used.tobytes(), "n": grams[0, used].tobytes(), "s": grams[1, used].tobytes(), "part": GRAMS}], CHUNKED)
 
     return run
 
 
+COUNTED = "chunk long, bucket int, c binary, tokens long, known long, once long, twice long, ids binary, types binary"
+
+
 def _counted(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Counts of a bucket's words over all chunks, for each chunk; and the bucket's tokens and known words."""
-    h = [np.frombuffer(x, np.uint64) for x in pdf["h"]]
-    words, where = np.unique(np.concatenate(h), return_inverse=True)
+    """Totals of a bucket's words or pairs for each chunk, in the chunk's order; and what the bucket adds to the totals of all."""
+    h, s = [np.frombuffer(x, np.uint64) for x in pdf["h"]], np.concatenate([np.frombuffer(x, np.uint16) for x in pdf["s"]])
+    _, first, where = np.unique(np.concatenate(h), return_index=True, return_inverse=True)
     total = np.bincount(where, np.concatenate([np.frombuffer(x, np.int64) for x in pdf["n"]])).astype(np.int64)
     cuts = np.cumsum([0, *[len(x) for x in h]])
-    c = [total[where[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    out = pd.DataFrame({"chunk": pdf["chunk"], "h": pdf["h"], "c": c, "tokens": 0, "known": 0})
-    return pd.concat([out, pd.DataFrame([(-1, b"", b"", int(total.sum()), int((total > 0).sum()))], columns=out.columns)])
+    rows = [{"chunk": chunk, "bucket": bucket, "c": _pack(total[where[a:b]])} for chunk, bucket, a, b in zip(pdf["chunk"], pdf["bucket"], cuts[:-1], cuts[1:], strict=True)]
+    types = np.bincount(s[first[total > 0]], minlength=1)
+    ids = np.flatnonzero(types)
+    numbers = {"tokens": int(total.sum()), "known": int((total > 0).sum()), "once": int((total == 1).sum()), "twice": int((total == 2).sum())}
+    return _frame([*rows, {"bucket": pdf["bucket"].iat[0], "ids": ids.tobytes(), "types": types[ids].tobytes(), **numbers}], COUNTED)
+
+
+def _vectors(df: DataFrame, *columns: str) -> list[np.ndarray]:
+    """Sums by id, as arrays over the vocabulary, of packed columns: the first has ids, the others numbers."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in tidied(batches):
+            for row in pdf.itertuples(index=False):
+                yield pd.DataFrame({f"c{k}": np.frombuffer(x, np.int64) for k, x in enumerate(row)})
 
+    schema = ", ".join(f"c{k} long" for k in range(len(columns)))
+    rows = df.select(*columns).mapInPandas(spread, schema).groupBy("c0").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(1, len(columns))]).toPandas()  # at most VOCABULARY rows
+    out = []
+    for k in range(1, len(columns)):
+        own = np.zeros(VOCABULARY)
+        own[rows["c0"].to_numpy(np.int64)] = rows[f"c{k}"].to_numpy(np.float64)
+        out.append(own)
+    return out
 
-def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each subword, and its rank by count."""
+
+def classes(counts: np.ndarray) -> np.ndarray:
+    """Class of each subword as the first one of a word."""
     order = np.argsort(-counts, kind="stable")
-    cls, rank = np.zeros(VOCABULARY, np.int64), np.zeros(VOCABULARY, np.int64)
-    rank[order] = np.arange(VOCABULARY)
+    cls = np.zeros(VOCABULARY, np.int64)
     cls[order[:SINGLE]] = np.arange(SINGLE)
-    rest = order[SINGLE:]
-    mass = np.cumsum(counts[rest] + ALPHA)
-    cls[rest] = SINGLE + np.minimum((mass - 1e-9) / mass[-1] * BINS, BINS - 1).astype(np.int64)
-    cls[order[NEXT - 1 :]] = CLASSES - 1  # all that share the last column are of one class
-    return cls, rank
+    mass = np.cumsum(counts[order[SINGLE:]] + ALPHA)
+    cls[order[SINGLE:]] = SINGLE + np.minimum((mass - 1e-9) / mass[-1] * BINS, BINS - 1).astype(np.int64)
+    return cls
+
+
+def discount(once: int, twice: int) -> float:
+    """What absolute discounting takes from each count."""
+    return float(np.clip(once / (once + 2 * twice), 0.05, 0.95)) if once else 0.5
+
+
+class Counts:
+    """Sums over the training documents: of first subwords, all subwords, and different words and pairs by subword."""
+
+    def __init__(self, first: np.ndarray, every: np.ndarray, word_types: np.ndarray, pair_types: np.ndarray, word_discount: float = 0.5, pair_discount: float = 0.5):
+        self.first, self.every, self.word_types, self.pair_types = first, every, word_types, pair_types
+        self.word_discount, self.pair_discount = word_discount, pair_discount
+        inner = np.append(every - first, first.sum()) + ALPHA  # the last: a word ends
+        self.after = inner / inner.sum()
+
+    def rest(self, c: np.ndarray, spelt: np.ndarray, lengths: np.ndarray, pair_counts) -> np.ndarray:
+        """Natural log probability of words given their first subword. ``c``: their counts; ``pair_counts``: of pair keys."""
+        before, after, owner = pairs_of(spelt, lengths)
+        n, d = self.every[before], self.pair_discount
+        seen = (np.maximum(pair_counts(pair_keys(before, after)) - d, 0) + d * self.pair_types[before] * self.after[after]) / np.maximum(n, 1)
+        spelled = np.bincount(owner, np.log(np.where(n > 0, seen, self.after[after])), len(lengths))
+        first = spelt[np.cumsum(lengths) - lengths]
+        n, d = self.first[first], self.word_discount
+        with np.errstate(divide="ignore"):
+            own = np.log(np.maximum(c - d, 0) / np.maximum(n, 1))
+            other = np.log(np.where(n > 0, d * self.word_types[first] / np.maximum(n, 1), 1.0)) + spelled
+        return np.logaddexp(own, other)
 
 
 class Model:
-    """Parameters of the attention, and the count tables it stands on."""
-
-    SHAPES = {"E": (CLASSES, WIDTH), "Wq": (WIDTH, HEAD), "Wk": (WIDTH, HEAD), "Wv": (WIDTH, WIDTH), "r": (KEYS,), "U": (WIDTH, CLASSES), "M": (WIDTH, WIDTH)}
-
-    def __init__(self, counts: np.ndarray):
-        smooth = counts + ALPHA
-        self.cls, rank = classes(counts)
-        self.row, self.column = np.minimum(rank, PREVIOUS - 1), np.minimum(rank, NEXT - 1)
-        self.unigram = np.bincount(self.column, smooth, NEXT) / smooth.sum()
-        self.share = np.log(smooth / smooth.sum() / self.unigram[self.column]).astype(np.float32)  # within a column
-        self.of_column = np.zeros(NEXT, np.int64)
-        self.of_column[self.column] = self.cls
-        self.bigram = np.zeros((PREVIOUS, CLASSES), np.float32)
-        self.within: np.ndarray | None = None
+    """Parameters of the attention, on fixed vectors of the subwords."""
+
+    SHAPES = {"Wq": (WIDTH, HEAD), "Wk": (WIDTH, HEAD), "Wv": (WIDTH, WIDTH), "M": (WIDTH, WIDTH), "r": (KEYS,), "U": (WIDTH, CLASSES), "b": (CLASSES,)}
+
+    def __init__(self, first: np.ndarray, follows: np.ndarray | None = None):
+        """``first``: counts of first subwords; ``follows``: by id, how often each class follows a word with it."""
+        smooth = first + ALPHA
+        self.cls = classes(first)
+        mass = np.bincount(self.cls, smooth, CLASSES)
+        self.share = np.log(smooth / mass[self.cls]).astype(np.float32)  # within a class
+        self.vectors = np.zeros((VOCABULARY, WIDTH), np.float32)
         rng = np.random.default_rng(17)
-        self.p = {k: rng.normal(0, 0.3 if k == "E" else 1 / np.sqrt(s[0]), s).astype(np.float32) for k, s in self.SHAPES.items()}
-        self.p["U"][:] = 0
-        self.p["r"][:] = 0
-
-    def set_pairs(self, cells: np.ndarray, n: np.ndarray) -> None:
-        """``cells``: row of the subword before * NEXT + column of the next, with their counts ``n``."""
-        self.within = np.empty((PREVIOUS, NEXT), np.float32)
-        order = np.argsort(cells)
-        cells, n = cells[order], n[order]
-        edges = np.searchsorted(cells, np.arange(PREVIOUS + 1) * NEXT)
-        by_class = lambda x: np.bincount(self.of_column, x, CLASSES)
-        for k in range(PREVIOUS):  # a row at a time: bounded memory
-            row = KAPPA * self.unigram
-            own = slice(edges[k], edges[k + 1])
-            row[cells[own] - k * NEXT] += n[own]
-            total = by_class(row)
-            self.bigram[k] = np.log(np.maximum(total, 1e-30) / row.sum())
-            self.within[k] = np.log(row / total[self.of_column])
+        self.p = {k: np.zeros(s) for k, s in self.SHAPES.items()}
+        self.p |= {k: rng.normal(0, 0.2 / np.sqrt(WIDTH), self.SHAPES[k]) for k in ("Wq", "Wk")}
+        self.p |= {"Wv": np.eye(WIDTH) * 0.5, "M": np.eye(WIDTH) * 0.1, "b": np.log(mass / mass.sum())}
+        if follows is not None and follows.any():
+            self._embed(follows)
+        self.p = {k: x.astype(np.float32) for k, x in self.p.items()}
+
+    def _embed(self, follows: np.ndarray) -> None:
+        """Vectors of ids, by what follows them: singular vectors of the departures from independence."""
+        n, share = follows.sum(1), follows.sum(0) / follows.sum()
+        scale = np.sqrt(np.maximum(share, 1e-9))
+        apart = follows / np.maximum(n, 1)[:, None] - share
+        apart[n == 0] = 0
+        apart /= scale
+        _, axes = np.linalg.eigh(apart.T @ (apart * n[:, None]))
+        axes = axes[:, ::-1][:, :WIDTH]
+        axes *= np.where(axes[np.abs(axes).argmax(0), np.arange(WIDTH)] < 0, -1, 1)
+        vectors = apart @ axes * (n / (n + SHRINK))[:, None]
+        spread = np.sqrt((n[:, None] * vectors**2).sum(0) / n.sum()) + 1e-9
+        self.vectors = np.clip(vectors / np.maximum(spread, 0.05 * spread[0]), -LIMIT, LIMIT).astype(np.float32)
+        self.p["U"] = (axes * spread).T / scale * (share / (share + 1e-4))
 
     def vector(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in self.SHAPES]).astype(np.float64)
@@ -224,272 +341,275 @@ class Model:
             self.p[k] = np.asarray(v[at : at + n], np.float32).reshape(s)
             at += n
 
-    def windows(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For documents of inputs laid end to end: (first query of each window, its document's start and end)."""
-        ends = np.cumsum(lengths)
-        blocks = -(-lengths // BLOCK)
-        start = np.repeat(ends - lengths, blocks)
-        number = np.arange(len(start)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        return start + number * BLOCK, start, np.repeat(ends, blocks)
+    def embedded(self, spelt: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Vectors of words: sums of their subwords' ones, by the root of their number."""
+        x = np.add.reduceat(self.vectors[spelt], np.cumsum(lengths) - lengths) if len(lengths) else np.zeros((0, WIDTH), np.float32)
+        x /= np.sqrt(lengths, dtype=np.float32)[:, None]
+        return x
+
+    def start(self) -> np.ndarray:
+        """The vector that stands before a document's first word."""
+        return self.vectors[END]
 
-    def forward(self, c: np.ndarray, rows: np.ndarray, first: np.ndarray, start: np.ndarray, end: np.ndarray, keep: bool = False):
-        """Logits of the next class for queries that lie in their document, and these queries' places."""
+    def forward(self, x: np.ndarray, first: np.ndarray, start: np.ndarray, end: np.ndarray):
+        """Powers of the classes at queries that lie in their document, these queries' places, and what the gradient needs.
+
+        Attention logits are held within 60, those of classes to 80 at most: no power overflows.
+        """
         p = self.p
         at = first[:, None] + np.arange(BLOCK)
-        keys = first[:, None] + np.arange(-CONTEXT, BLOCK)
-        there = (keys >= start[:, None]) & (keys < end[:, None])
-        cq, ck = c[np.minimum(at, len(c) - 1)], c[np.clip(keys, 0, len(c) - 1)]
-        tables = {k: p["E"] @ p[w] for k, w in (("q", "Wq"), ("k", "Wk"), ("v", "Wv"))}
-        q, k, v = tables["q"][cq], tables["k"][ck], tables["v"][ck]
-        distance = np.arange(CONTEXT, KEYS)[:, None] - np.arange(KEYS)
-        bias = np.where(distance >= 0, p["r"][np.maximum(distance, 0)], np.float32(-1e9)).astype(np.float32)
+        xk = x[first[:, None] + np.arange(KEYS)]  # rows of x are CONTEXT places late
+        xq = xk[:, CONTEXT:]
+        flat = xk.reshape(-1, WIDTH)
+        q = (xq.reshape(-1, WIDTH) @ (p["Wq"] * np.float32(HEAD**-0.5))).reshape(len(first), BLOCK, HEAD)
+        k = (flat @ p["Wk"]).reshape(len(first), KEYS, HEAD)
+        v = (flat @ p["Wv"]).reshape(len(first), KEYS, WIDTH)
         a = q @ k.transpose(0, 2, 1)
-        a *= np.float32(1 / np.sqrt(HEAD))
-        a += bias
-        a[~np.broadcast_to(there[:, None, :], a.shape)] = -1e9
-        a -= a.max(-1, keepdims=True)
+        a += p["r"][np.maximum(_DISTANCE, 0)]
+        np.clip(a, np.float32(-60), np.float32(60), out=a)
         np.exp(a, out=a)
+        a *= _SEEN
+        for e in np.flatnonzero(first - CONTEXT < start).tolist():  # keys before the document
+            a[e, :, : CONTEXT - (first[e] - start[e])] = 0
         a /= a.sum(-1, keepdims=True)
         inside = at < end[:, None]
-        mix = (a @ v)[inside]
-        h = np.tanh(p["E"][cq[inside]] @ p["M"] + mix)
-        logits = h @ p["U"]
-        logits += self.bigram[rows[at[inside]]]
-        return (logits, at[inside], (cq, ck, q, k, v, a, inside, h, tables)) if keep else (logits, at[inside], None)
-
-    def scores(self, ids: np.ndarray, lengths: np.ndarray, blocks: int = 32) -> np.ndarray:
-        """Natural log probability of every subword; documents laid end to end.
+        h = a @ v
+        h += (xq.reshape(-1, WIDTH) @ p["M"]).reshape(h.shape)
+        h = np.tanh(h[inside])
+        out = h @ p["U"]
+        out += p["b"]
+        np.minimum(out, np.float32(80), out=out)
+        np.exp(out, out=out)
+        return out, at[inside], (xk, xq, q, k, v, a, inside, h)
+
+    def logs(self, x: np.ndarray, target: np.ndarray, windows) -> np.ndarray:
+        """Natural log probability of the class of each place."""
+        out = np.zeros(len(target), np.float32)
+        for k in range(0, len(windows[0]), WINDOWS):
+            powers, at, _ = self.forward(x, *[w[k : k + WINDOWS] for w in windows])
+            out[at] = np.log(powers[np.arange(len(at)), target[at]] / powers.sum(-1))
+        return out
 
-        The same as ``forward``, with fewer passes: no logit here can overflow a float, as
-        tanh bounds the state, and attention logits are clipped at 60.
-        """
-        p = self.p
-        ends = np.cumsum(lengths)
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[(ends - lengths)[lengths > 0]] = END
-        c, rows, target = self.cls[before], self.row[before], self.cls[ids]
-        place = np.zeros(len(ids), np.float32)
-        first, start, end = self.windows(lengths)
-        tq = (p["E"] @ p["Wq"]) * np.float32(1 / np.sqrt(HEAD))
-        tk = p["E"] @ p["Wk"]
-        tv = np.concatenate((p["E"] @ p["Wv"], np.ones((CLASSES, 1), np.float32)), 1)  # the last column sums the weights
-        tm = p["E"] @ p["M"]
-        shares = np.exp(self.bigram)
-        distance = np.arange(CONTEXT, KEYS)[:, None] - np.arange(KEYS)
-        bias = np.where(distance >= 0, p["r"][np.maximum(distance, 0)], np.float32(-1e9)).astype(np.float32)
-        padded = np.concatenate((np.zeros(CONTEXT, np.int64), c, np.zeros(BLOCK, np.int64)))
-        for k in range(0, len(first), blocks):
-            own = first[k : k + blocks]
-            at = own[:, None] + np.arange(BLOCK)
-            ck = padded[own[:, None] + np.arange(KEYS)]  # from CONTEXT places before
-            a = tq[ck[:, CONTEXT:]] @ tk[ck].transpose(0, 2, 1)
-            a += bias
-            early = np.flatnonzero(own - CONTEXT < start[k : k + blocks])  # keys before the document
-            for e in early.tolist():
-                a[e, :, : CONTEXT - (own[e] - start[k + e])] = -1e9
-            np.minimum(a, np.float32(60), out=a)
-            np.exp(a, out=a)
-            mix = a @ tv[ck]
-            mix = mix[..., :-1] / mix[..., -1:]
-            inside = at < end[k : k + blocks, None]
-            at = at[inside]
-            h = np.tanh(tm[c[at]] + mix[inside])
-            odds = h @ p["U"]
-            place[at] = odds[np.arange(len(at)), target[at]]
-            np.exp(odds, out=odds)
-            place[at] -= np.log(np.einsum("ij,ij->i", odds, shares[rows[at]]))
-        return place + self.bigram[rows, target] + self.within[rows, self.column[ids]] + self.share[ids]
-
-    def gradients(self, c: np.ndarray, before: np.ndarray, target: np.ndarray, first, start, end) -> tuple[float, dict[str, np.ndarray]]:
+    def gradients(self, x: np.ndarray, target: np.ndarray, windows) -> tuple[float, dict[str, np.ndarray]]:
+        """Loss and its gradient, summed over the places of some windows."""
         p = self.p
-        logits, at, (cq, ck, q, k, v, a, inside, h, tables) = self.forward(c, before, first, start, end, keep=True)
-        logits -= logits.max(-1, keepdims=True)
-        prob = np.exp(logits)
-        prob /= prob.sum(-1, keepdims=True)
-        rows = np.arange(len(at))
-        loss = -float(np.log(prob[rows, target[at]] + 1e-30).mean())
-        prob[rows, target[at]] -= 1
-        prob /= len(at)
-        g = {"U": h.T @ prob}
-        dpre = (prob @ p["U"].T) * (1 - h * h)
-        cin = cq[inside]
-        em = p["E"][cin]
-        g["M"] = em.T @ dpre
-        by_class = lambda codes, x: np.stack([np.bincount(codes, x[:, d], CLASSES) for d in range(x.shape[1])], 1).astype(np.float32)
-        dE = by_class(cin, dpre @ p["M"].T)
-        dmix = np.zeros((*inside.shape, WIDTH), np.float32)
-        dmix[inside] = dpre
-        dv = a.transpose(0, 2, 1) @ dmix
-        da = dmix @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
-        distance = np.arange(CONTEXT, KEYS)[:, None] - np.arange(KEYS)
-        g["r"] = np.bincount(np.maximum(distance, 0).ravel(), (ds.sum(0) * (distance >= 0)).ravel(), KEYS)
-        ds *= np.float32(1 / np.sqrt(HEAD))
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        for codes, d, w in ((cq, dq, "Wq"), (ck, dk, "Wk"), (ck, dv, "Wv")):
-            table = by_class(codes.ravel(), d.reshape(-1, d.shape[-1]))
-            g[w] = p["E"].T @ table
-            dE += table @ p[w].T
-        g["E"] = dE
+        out, at, (xk, xq, q, k, v, a, inside, h) = self.forward(x, *windows)
+        out /= out.sum(-1, keepdims=True)
+        rows, target = np.arange(len(at)), target[at]
+        loss = -float(np.log(out[rows, target] + 1e-30).sum())
+        out[rows, target] -= 1
+        g = {"U": h.T @ out, "b": out.sum(0)}
+        d = np.zeros((*inside.shape, WIDTH), out.dtype)
+        d[inside] = (out @ p["U"].T) * (1 - h * h)
+        flat, flat_q, flat_d = xk.reshape(-1, WIDTH).T, xq.reshape(-1, WIDTH).T, d.reshape(-1, WIDTH)
+        g["M"] = flat_q @ flat_d
+        g["Wv"] = flat @ (a.transpose(0, 2, 1) @ d).reshape(-1, WIDTH)
+        s = d @ v.transpose(0, 2, 1)
+        s -= np.einsum("ijk,ijk->ij", s, a)[..., None]
+        s *= a
+        g["r"] = np.bincount(np.maximum(_DISTANCE, 0).ravel(), s.sum(0).ravel(), KEYS)
+        g["Wq"] = flat_q @ (s @ k).reshape(-1, HEAD) * np.float32(HEAD**-0.5)
+        g["Wk"] = flat @ (s.transpose(0, 2, 1) @ q).reshape(-1, HEAD)
         return loss, g
 
+    def gradient(self, x: np.ndarray, target: np.ndarray, windows) -> tuple[float, np.ndarray]:
+        """Loss and its gradient over all windows, as one vector."""
+        total, loss = np.zeros(len(self.vector())), 0.0
+        for k in range(0, len(windows[0]), WINDOWS):
+            own, g = self.gradients(x, target, [w[k : k + WINDOWS] for w in windows])
+            loss += own
+            total += np.concatenate([g[k].ravel() for k in self.SHAPES])
+        return loss, total
+
+
+#: By query and key of a window: how many places before the query the key is, and whether it is not after it.
+_DISTANCE = np.arange(CONTEXT, KEYS)[:, None] - np.arange(KEYS)
+_SEEN = (_DISTANCE >= 0).astype(np.float32)
+
+
+def windows_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For documents of words laid end to end: (first place of each window, its document's start and end)."""
+    ends = np.cumsum(sizes)
+    blocks = -(-sizes // BLOCK)
+    start = np.repeat(ends - sizes, blocks)
+    number = np.arange(len(start)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    return start + number * BLOCK, start, np.repeat(ends, blocks)
+
+
+class Text:
+    """Documents of one part of a chunk: ``words`` are numbers of ``spelt`` ones."""
+
+    def __init__(self, row):
+        self.sizes, self.words, self.spelt, self.lengths = (_unpack(x) for x in (row.sizes, row.words, row.spelt, row.lengths))
+        self.first = self.spelt[np.cumsum(self.lengths) - self.lengths]
+
+    def slabs(self, words: int = 200_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Documents of about so many words: (first document, last, their words, their sizes)."""
+        at = np.append(0, np.cumsum(self.sizes))
+        for a, b in winnow.laid(self.sizes.tolist(), words):
+            yield a, b, self.words[at[a] : at[b]], self.sizes[a:b]
+
+    def inputs(self, model: Model, known: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """What stands before each word, CONTEXT rows late and BLOCK rows on."""
+        x = np.zeros((CONTEXT + len(words) + BLOCK, WIDTH), np.float32)
+        x[CONTEXT + 1 : CONTEXT + len(words)] = known[words[:-1]]
+        x[CONTEXT + np.cumsum(sizes) - sizes] = model.start()
+        return x
+
+
+def _follows(cls: np.ndarray):
+    """By block of ids: how often each class follows a word with that id, in the documents of a task."""
 
-class Trainer:
-    """Adam steps of one partition."""
-
-    def __init__(self, model: Model):
-        self.model, self.m, self.v, self.steps = model, {}, {}, 0
-
-    def learn(self, ids: np.ndarray, lengths: np.ndarray) -> list[float]:
-        model, losses = self.model, []
-        ends = np.cumsum(lengths)
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[ends - lengths] = END
-        c, rows, target = model.cls[before], model.row[before], model.cls[ids]
-        first, start, end = model.windows(lengths)
-        order = np.random.default_rng(len(first)).permutation(len(first))
-        for k in range(0, len(order), STEP_BLOCKS):
-            some = order[k : k + STEP_BLOCKS]
-            loss, g = model.gradients(c, rows, target, first[some], start[some], end[some])
-            losses.append(loss)
-            self.steps += 1
-            for name, x in g.items():
-                m = self.m[name] = 0.9 * self.m.get(name, 0) + 0.1 * x
-                v = self.v[name] = 0.99 * self.v.get(name, 0) + 0.01 * x * x
-                step = RATE * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.99**self.steps)) + 1e-8)
-                model.p[name] -= step.astype(np.float32)
-        return losses
-
-
-def _ids(column) -> list[np.ndarray]:
-    unpack = zstandard.ZstdDecompressor().decompress
-    return [np.frombuffer(unpack(z), np.uint16) for z in column]
-
-
-def _pairs(model: Model):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(PREVIOUS * NEXT, np.int64)
+        seen = np.zeros((VOCABULARY, CLASSES), np.int64)
         for pdf in tidied(batches):
-            arrays = _ids(pdf["z"])
-            for a, b in winnow.laid([len(x) for x in arrays], 1_000_000):
-                ids = np.concatenate(arrays[a:b]).astype(np.int64)
-                before = np.concatenate(([END], ids[:-1]))  # documents end with END
-                cells, n = np.unique(model.row[before] * NEXT + model.column[ids], return_counts=True)
-                seen[cells] += n
-        used = np.flatnonzero(seen)
-        for k in range(0, len(used), 200_000):
-            yield pd.DataFrame({"cell": used[k : k + 200_000], "n": seen[used[k : k + 200_000]]})
+            for row in pdf.itertuples(index=False):
+                text = Text(row)
+                of = cls[text.first]
+                for _, _, words, sizes in text.slabs():
+                    ends = np.cumsum(sizes)
+                    last = np.zeros(len(words), bool)
+                    last[ends - 1] = True
+                    seen[END] += np.bincount(of[words[ends - sizes]], minlength=CLASSES)
+                    code, n = np.unique(words[:-1][~last[:-1]] * CLASSES + of[words[1:]][~last[:-1]], return_counts=True)
+                    word, then = code // CLASSES, code % CLASSES
+                    at = np.cumsum(text.lengths) - text.lengths
+                    ids = text.spelt[_slices(text.lengths[word], at[word])]
+                    cells, of_cell = np.unique(ids * CLASSES + np.repeat(then, text.lengths[word]), return_inverse=True)
+                    seen.reshape(-1)[cells] += np.bincount(of_cell, np.repeat(n, text.lengths[word])).astype(np.int64)
+        used = np.flatnonzero(seen.any(1))
+        for b in np.unique(used // ROWS):
+            yield pd.DataFrame({"block": [b], "n": [_pack(seen[b * ROWS : (b + 1) * ROWS].ravel())]})
 
     return run
 
 
-def _trained(model: Model):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import copy
+def _added(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"block": pdf["block"].iloc[:1], "n": [_pack(sum(_unpack(x) for x in pdf["n"]))]})
+
+
+def follows(learn: DataFrame, cls: np.ndarray) -> np.ndarray:
+    """How often each class follows a word with each id, over all training documents."""
+    each = learn.select("sizes", "words", "spelt", "lengths").mapInPandas(_follows(cls), "block int, n binary")
+    some = each.withColumn("salt", F.spark_partition_id() % 32).groupBy("block", "salt").applyInPandas(_added, "block int, n binary")
+    out = np.zeros((VOCABULARY, CLASSES))
+    for row in some.groupBy("block").applyInPandas(_added, "block int, n binary").collect():  # at most VOCABULARY / ROWS rows of some 10 KB
+        own = _unpack(row["n"]).reshape(-1, CLASSES)
+        out[row["block"] * ROWS :][: len(own)] = own
+    return out
+
+
+def _gradient(sent, v: np.ndarray):
+    """The gradient over the documents of a task."""
 
-        own = Trainer(copy.deepcopy(model))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, total, words_seen = sent.value, 0, 0
+        model.set_vector(v)
         for pdf in tidied(batches):
-            arrays = _ids(pdf["z"])
-            for a, b in winnow.laid([len(x) for x in arrays], 200_000):
-                own.learn(np.concatenate(arrays[a:b]).astype(np.int64), np.array([len(x) for x in arrays[a:b]]))
-        if own.steps:
-            yield pd.DataFrame({"weights": [own.model.vector()], "steps": [own.steps]})
+            for row in pdf.itertuples(index=False):
+                text = Text(row)
+                known, target = model.embedded(text.spelt, text.lengths), model.cls[text.first]
+                for _, _, words, sizes in text.slabs():
+                    total = total + model.gradient(text.inputs(model, known, words, sizes), target[words], windows_of(sizes))[1]
+                    words_seen += len(words)
+        if words_seen:
+            yield pd.DataFrame({"g": [total], "n": [words_seen]})
 
     return run
 
 
-class Places:
-    """Places of known values in a sorted array of hashes: a table by leading bits, then a few steps."""
+class Steps:
+    """Adam on summed gradients."""
+
+    def __init__(self, rounds: int):
+        self.rounds, self.k, self.m, self.s = rounds, 0, 0.0, 0.0
+
+    def next(self, v: np.ndarray, g: np.ndarray) -> np.ndarray:
+        rate = RATE * (1 - 0.8 * self.k / self.rounds)
+        self.k += 1
+        self.m, self.s = 0.8 * self.m + 0.2 * g, 0.9 * self.s + 0.1 * g * g
+        return v - rate * (self.m / (1 - 0.8**self.k)) / (np.sqrt(self.s / (1 - 0.9**self.k)) + 1e-8)
+
+
+def train(model: Model, learn: DataFrame, rounds: int) -> None:
+    """Gradient steps, the k-th over the training documents of part k."""
+    sc, steps = learn.sparkSession.sparkContext, Steps(rounds)
+    sent = sc.broadcast(model)  # 5 MB, whatever the input
+    for k in range(rounds):
+        turn = learn.filter(F.col("part") == k).select("sizes", "words", "spelt", "lengths").mapInPandas(_gradient(sent, model.vector()), "g array<double>, n long")
+        mean = turn.select("n", F.posexplode("g").alias("i", "g")).groupBy("i").agg((F.sum("g") / F.sum("n")).alias("g")).toPandas().sort_values("i")
+        if len(mean):
+            model.set_vector(steps.next(model.vector(), mean["g"].to_numpy(np.float64)))
+    sent.unpersist()
 
-    def __init__(self, h: np.ndarray):
-        self.h = h
-        self.shift = np.uint64(64 - max(1, len(h).bit_length()))
-        self.first = np.searchsorted(h, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift)
 
-    def __call__(self, q: np.ndarray) -> np.ndarray:
-        at = self.first[q >> self.shift]
-        todo = np.flatnonzero(self.h[at] != q)
-        while len(todo):
-            at[todo] += 1
-            todo = todo[self.h[at[todo]] != q[todo]]
-        return at
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scored(sent, tokens: int, known: int, path: str):
+def _scored(sent, tokens: int, known: int, buckets: int):
     def run(docs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        columns = [c.split()[0] for c in SCORED.split(", ")]
         if not len(docs):
             return pd.DataFrame(columns=columns)
-        model, start = sent.value, subwords(path).start
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in counts["h"]])
-        c = np.concatenate([np.frombuffer(x, np.int64) for x in counts["c"]])
-        order = np.argsort(h)
-        h, c = h[order], c[order]
-        base, places = np.log10((c + 1) / (tokens + known + 1)), Places(h)
-        arrays, out = _ids(docs["z"]), []
-        for a, b in winnow.laid([len(x) for x in arrays], 250_000):
-            ids = np.concatenate(arrays[a:b]).astype(np.int64)
-            lengths = np.array([len(x) for x in arrays[a:b]])
-            doc = np.repeat(np.arange(b - a), lengths)
-            words = doc[start[ids]]
-            at = places(word_hashes(ids.astype(np.uint16), start))
-            out.append(
-                pd.DataFrame(
-                    {
-                        "n_tokens": np.bincount(words, minlength=b - a),
-                        "n_known": np.bincount(words, c[at] > 0, b - a).astype(np.int64),
-                        "base_score": np.bincount(words, base[at], b - a),
-                        "score": np.bincount(doc, model.scores(ids, lengths).astype(np.float64), b - a) / np.log(10),
-                    }
-                )
-            )
-        out = pd.concat(out, ignore_index=True)
-        return out.assign(doc_id=docs["doc_id"].to_numpy(), held_out=docs["held_out"].to_numpy().astype(bool), train_tokens=tokens)[columns]
+        model, sums = sent.value
+        counts = counts.sort_values("bucket")
+        c, pairs = (np.concatenate([np.zeros(0, np.int64), *[_unpack(x) for x in counts["c"][(counts["bucket"] >= buckets) == side]]]) for side in (False, True))
+        texts, owns = [Text(row) for row in docs.itertuples(index=False)], [_unpack(x) for x in docs["own"]]
+        lengths = np.zeros(len(c), np.int64)
+        for text, own in zip(texts, owns, strict=True):
+            lengths[own] = text.lengths
+        at = np.cumsum(lengths) - lengths
+        spelt = np.zeros(lengths.sum(), np.int64)
+        for text, own in zip(texts, owns, strict=True):
+            spelt[_slices(text.lengths, at[own])] = text.spelt
+        keys = np.unique(pair_keys(*pairs_of(spelt, lengths)[:2]))
+        rest = sums.rest(c, spelt, lengths, lambda k: pairs[np.searchsorted(keys, k)]) + model.share[spelt[at]]
+        base, vectors, cls = np.log10((c + 1) / (tokens + known + 1)), model.embedded(spelt, lengths), model.cls[spelt[at]]
+        out = []
+        for text, own, ids, part in zip(texts, owns, docs["ids"], docs["part"], strict=True):
+            for a, b, words, sizes in text.slabs():
+                doc, word = np.repeat(np.arange(b - a), sizes), own[words]
+                by_doc = lambda x: np.bincount(doc, x, b - a)  # noqa: B023, E731
+                first = model.logs(text.inputs(model, vectors, word, sizes), cls[word], windows_of(sizes))
+                out.append(pd.DataFrame({"doc_id": list(ids[a:b]), "held_out": part == HELD, "n_tokens": sizes, "n_known": by_doc(c[word] > 0).astype(np.int64), "train_tokens": tokens, "base_score": by_doc(base[word]), "score": by_doc(first + rest[word]) / np.log(10)}))
+        return pd.concat(out, ignore_index=True).astype({"doc_id": "Int64"})[columns]
 
     return run
 
 
-def score(docs: DataFrame, *, held_out: Column | None = None, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, *, held_out: Column | None = None, vocabulary: str | None = None, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Learns from documents where ``held_out`` is not true (default: crc32 of the id as text,
     modulo 7, is 2). A text is its words, A-Z lower-cased, and an end; null text is only
     an end. ``score`` is the model's log10 probability of that, ``base_score`` the smoothed
-    unigram one. Null ids are trained on. Repeated rows count each; further columns are ignored.
+    unigram one. Null ids are trained on. Repeated rows count each; further columns are ignored;
+    an empty table gives no rows. ``rounds`` is the number of gradient steps, each over its own share of the
+    training documents; with 0 the attention stays as it starts.
     """
     scratch = Scratch(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     path = vocabulary or default_path("byte_bpe_50k.tiktoken")
-    held = held_out if held_out is not None else crc_mod(id_col, 7) == 2
-    buckets = 4 * parts_for(docs)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held, F.lit(False)).alias("held_out"), F.pmod(F.xxhash64(id_col, text_col), F.lit(ROUNDS)).cast("int").alias("pick"))
-    made = scratch.keep(slim.mapInPandas(_chunked(path, buckets), "chunk long, doc_id long, held_out boolean, pick int, z binary, bucket int, h binary, n binary"), "chunks")
-    counted = scratch.keep(made.filter("bucket >= 0").select("chunk", "bucket", "h", "n").groupBy("bucket").applyInPandas(_counted, "chunk long, h binary, c binary, tokens long, known long"), "counted")
-    totals = counted.filter("chunk = -1").agg(F.sum("tokens"), F.sum("known")).first()
-    tokens, known = totals[0] or 0, totals[1] or 0
-
-    def spread_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in tidied(batches):
-            for h, n in zip(pdf["h"], pdf["n"], strict=True):
-                yield pd.DataFrame({"id": np.frombuffer(h, np.int64), "n": np.frombuffer(n, np.int64)})
-
-    grams = made.filter("bucket = -1").select("h", "n").mapInPandas(spread_out, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most VOCABULARY rows
-    counts = np.zeros(VOCABULARY)
-    counts[grams["id"].to_numpy(np.int64)] = grams["n"].to_numpy(np.float64)
-    model = Model(counts)
-    texts = made.filter("bucket IS NULL")
-    learn = texts.filter("NOT held_out")
-    cells = learn.select("z").mapInPandas(_pairs(model), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most PREVIOUS * NEXT rows, of 16 bytes
-    model.set_pairs(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.float64))
-    within, model.within = model.within, None
-    for k in range(ROUNDS):
-        turn = learn.filter(F.col("pick") == k).select("z").mapInPandas(_trained(model), "weights array<double>, steps long")
-        mean = turn.select("steps", F.posexplode("weights").alias("i", "w")).groupBy("i").agg((F.sum(F.col("w") * F.col("steps")) / F.sum("steps")).alias("w")).orderBy("i").toPandas()
-        if len(mean):
-            model.set_vector(mean["w"].to_numpy(np.float64))
-    model.within = within
-    sent = sc.broadcast(model)  # 35 MB, whatever the input
-    rows = texts.select("chunk", "doc_id", "held_out", "z").groupBy("chunk").cogroup(counted.filter("chunk >= 0").select("chunk", "h", "c").groupBy("chunk"))
-    return scratch.finish(rows.applyInPandas(_scored(sent, tokens, known, path), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+    held = F.coalesce(held_out if held_out is not None else crc_mod(id_col, 7) == 2, F.lit(False))
+    text = F.col(text_col).cast("string")
+    length = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(4 * parts_for(docs), length // BUCKET_TEXT)
+    part = F.when(held, F.lit(HELD)).otherwise(F.pmod(F.xxhash64(id_col, text_col), F.lit(max(rounds, 1)))).cast("int")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), part.alias("part"))
+    made = scratch.keep(slim.mapInPandas(_chunked(path, buckets), CHUNKED), "chunks", by="part")
+    items = made.filter(F.col("part") == ITEMS).select("chunk", "bucket", "h", "n", "s")
+    counted = scratch.keep(items.groupBy("bucket").applyInPandas(_counted, COUNTED), "counted")
+    every = counted.filter("chunk IS NULL").withColumn("kind", F.col("bucket") >= buckets)
+    totals = {r["kind"]: r for r in every.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("tokens", "known", "once", "twice")]).collect()}
+    words = totals.get(False)
+    tokens, known = (words["tokens"], words["known"]) if words else (0, 0)
+    first, all_ids = _vectors(made.filter(F.col("part") == GRAMS), "h", "n", "s")
+    types = [_vectors(every.filter(F.col("kind") == k), "ids", "types")[0] for k in (False, True)]
+    sums = Counts(first, all_ids, *types, *[discount(totals[k]["once"], totals[k]["twice"]) if k in totals else 0.5 for k in (False, True)])
+    learn = made.filter(F.col("part") >= 0)
+    model = Model(first, follows(learn, classes(first)))
+    train(model, learn, rounds)
+    sent = sc.broadcast((model, sums))  # 8 MB, whatever the input
+    rows = made.filter(F.col("part") >= HELD).select("chunk", "ids", "sizes", "words", "own", "spelt", "lengths", "part").groupBy("chunk")
+    back = counted.filter("chunk IS NOT NULL").select("chunk", "bucket", "c").groupBy("chunk")
+    return scratch.finish(rows.cogroup(back).applyInPandas(_scored(sent, tokens, known, buckets), SCORED))
