@@ -40,20 +40,22 @@ WIDTH, HEAD = 24, 16
 BLOCK, CONTEXT = 32, 32
 KEYS = BLOCK + CONTEXT
 #: Windows that are worked on at once.
-WINDOWS = 24
+WINDOWS = 48
 #: Characters of a chunk of documents, about.
-CHUNK = 10_000_000
+CHUNK = 4_000_000
 #: Bytes of text for each bucket of word counts: some 4 bytes in 10 are sent.
 BUCKET_TEXT = 64_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 #: Training: steps, each over its own share of the training documents.
-ROUNDS = 16
-RATE = 0.05
+ROUNDS = 8
+RATE = 0.08
 ALPHA, SHRINK = 0.05, 20.0
 #: Vectors of subwords are of spread 1 in each direction, and held within this.
 LIMIT = 4.0
 #: Ids in a block of the table of what follows each id.
-ROWS = 64
+ROWS = 4096
+#: Subwords of a word that are summed for many words at once.
+FEW = 12
 
 
 class Subwords:
@@ -84,14 +86,27 @@ class Subwords:
                 out += [np.asarray(self.encode(" " + w.decode()), np.uint16).tobytes() for w in row]
         return out
 
-    def ids(self, texts: list[list[bytes]]) -> list[bytes]:
-        there = set().union(*texts)
-        new = [w for w in there if w not in self.cache]
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, as unsigned 16-bit numbers."""
+        new = [w for w in words if w not in self.cache]
         if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache, new = {}, list(there)
+            self.cache, new = {}, words
         self.cache.update(zip(new, self._words(new), strict=True))
-        end, get = np.asarray([END], np.uint16).tobytes(), self.cache.__getitem__
-        return [b"".join(map(get, t)) + end for t in texts]
+        return [*map(self.cache.__getitem__, words)]
+
+
+class Numbers(dict):
+    """Numbers words as they come. The end of a document has number 0."""
+
+    def __init__(self):
+        self[None] = 0
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, [*words, None]), np.int32, len(words) + 1)
 
 
 _LOADED: dict[str, Subwords] = {}
@@ -106,14 +121,13 @@ def subwords(path: str) -> Subwords:
 _HASH = winnow.mixed(np.arange(1, 65_537, dtype=np.uint64))
 
 
-def word_hashes(ids: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """A hash of each word's ids; ``ids`` are whole words."""
-    first = np.flatnonzero(start[ids])
-    up, down = winnow._powers(len(ids) + 1)
-    sums = np.zeros(len(ids) + 1, np.uint64)
-    np.cumsum(_HASH[ids] * down[: len(ids)], out=sums[1:], dtype=np.uint64)
-    ends = np.append(first[1:], len(ids))
-    return winnow.mixed((sums[ends] - sums[first]) * up[first])
+def word_hashes(spelt: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A hash of each word's ids; ``spelt`` has the words' ids one after another."""
+    up, down = winnow._powers(len(spelt) + 1)
+    sums = np.zeros(len(spelt) + 1, np.uint64)
+    np.cumsum(_HASH[spelt] * down[: len(spelt)], out=sums[1:], dtype=np.uint64)
+    ends = np.cumsum(lengths)
+    return winnow.mixed((sums[ends] - sums[ends - lengths]) * up[ends - lengths])
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -162,29 +176,27 @@ def _chunked(path: str, buckets: int):
 
         tool = subwords(path)
         task, number, size = TaskContext.get().partitionId() << 24, 0, 0
-        held: list[tuple[object, int, np.ndarray]] = []  # id, part and ids of each document
+        numbers, held = Numbers(), []  # of the documents: id, part and words by number
         grams = np.zeros((2, VOCABULARY), np.int64)
 
         def sent(kind: int, h: np.ndarray, n: np.ndarray, s: np.ndarray) -> list[dict]:
             """Rows for the buckets of sorted keys."""
             own = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             cuts = np.searchsorted(own, np.arange(buckets + 1))
-            return [{"bucket": kind * buckets + k, "h": h[a:b].tobytes(), "n": n[a:b].astype(np.int64).tobytes(), "s": s[a:b].astype(np.uint16).tobytes(), "part": ITEMS} for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            return [{"bucket": kind * buckets + k, "h": h[a:b].tobytes(), "n": _pack(n[a:b]), "s": s[a:b].astype(np.uint16).tobytes(), "part": ITEMS} for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
 
         def flush() -> pd.DataFrame:
-            whole, parts = np.concatenate([x for *_, x in held]), np.array([p for _, p, _ in held])
-            begin = np.flatnonzero(tool.start[whole])
-            h = word_hashes(whole, tool.start)
+            parts, sizes = np.array([p for _, p, _ in held]), np.array([len(x) for *_, x in held])
+            ids = [np.asarray([END], np.uint16).tobytes(), *tool.ids([*numbers][1:])]
+            lengths = np.array([len(x) // 2 for x in ids])
+            spelt = np.frombuffer(b"".join(ids), np.uint16).astype(np.int64)
+            h = word_hashes(spelt, lengths)
             order = np.argsort(h)
-            new = np.append(True, h[order[1:]] != h[order[:-1]])
-            word = np.empty(len(h), np.int64)
-            word[order] = np.cumsum(new) - 1
-            sizes = np.diff(np.searchsorted(begin, np.cumsum([0, *[len(x) for *_, x in held]])))
-            part = np.repeat(parts, sizes)
-            n = np.bincount(word, part >= 0, int(new.sum())).astype(np.int64)
-            first = order[new]
-            lengths = np.diff(np.append(begin, len(whole)))[first]
-            spelt = whole[_slices(lengths, begin[first])].astype(np.int64)
+            h, spelt, lengths = h[order], spelt[_slices(lengths[order], (np.cumsum(lengths) - lengths)[order])], lengths[order]
+            place = np.empty(len(h), np.int64)
+            place[order] = np.arange(len(h))
+            word = place[np.concatenate([x for *_, x in held])]
+            n = np.bincount(word, np.repeat(parts >= 0, sizes), len(h)).astype(np.int64)
             at = np.cumsum(lengths) - lengths
             before, after, owner = pairs_of(spelt, lengths)
             keys, which = np.unique(pair_keys(before, after), return_inverse=True)
@@ -192,26 +204,24 @@ def _chunked(path: str, buckets: int):
             pair_s[which] = before
             grams[0] += np.bincount(spelt[at], n, VOCABULARY).astype(np.int64)
             grams[1] += np.bincount(spelt, n[owner], VOCABULARY).astype(np.int64)
-            rows = sent(0, h[first], n, spelt[at]) + sent(1, keys, pair_n, pair_s)
+            rows = sent(0, h, n, spelt[at]) + sent(1, keys, pair_n, pair_s)
             offsets = np.cumsum(sizes) - sizes
             for p in np.unique(parts):
                 docs = np.flatnonzero(parts == p)
                 words = word[_slices(sizes[docs], offsets[docs])]
-                there = np.zeros(len(first), bool)
+                there = np.zeros(len(h), bool)
                 there[words] = True
                 own = np.flatnonzero(there)
                 rows.append({"ids": [held[d][0] for d in docs], "sizes": _pack(sizes[docs]), "words": _pack((np.cumsum(there) - 1)[words]), "own": _pack(own), "spelt": _pack(spelt[_slices(lengths[own], at[own])]), "lengths": _pack(lengths[own]), "part": int(p)})
             held.clear()
+            numbers.clear()
+            numbers[None] = 0
             return _frame([r | {"chunk": task + number} for r in rows], CHUNKED)
 
         for pdf in tidied(batches):
-            texts = pdf["text"].tolist()
-            for a, b in winnow.laid([len(t) if isinstance(t, str) else 0 for t in texts], 1_000_000):
-                some = pdf.iloc[a:b]
-                ids = tool.ids([words_of(t, lower=True) for t in texts[a:b]])
-                doc_ids = [None if pd.isna(x) else int(x) for x in some["doc_id"]]
-                held += zip(doc_ids, some["part"].tolist(), [np.frombuffer(x, np.uint16) for x in ids], strict=True)
-                size += sum(len(t) if isinstance(t, str) else 0 for t in texts[a:b])
+            for doc_id, text, part in zip(pdf["doc_id"], pdf["text"], pdf["part"], strict=True):
+                held.append((None if pd.isna(doc_id) else int(doc_id), part, numbers.of(words_of(text, lower=True))))
+                size += len(text) if isinstance(text, str) else 0
                 if size >= CHUNK:
                     yield flush()
                     number, size = number + 1, 0
@@ -231,7 +241,7 @@ def _counted(pdf: pd.DataFrame) -> pd.DataFrame:
     """Totals of a bucket's words or pairs for each chunk, in the chunk's order; and what the bucket adds to the totals of all."""
     h, s = [np.frombuffer(x, np.uint64) for x in pdf["h"]], np.concatenate([np.frombuffer(x, np.uint16) for x in pdf["s"]])
     _, first, where = np.unique(np.concatenate(h), return_index=True, return_inverse=True)
-    total = np.bincount(where, np.concatenate([np.frombuffer(x, np.int64) for x in pdf["n"]])).astype(np.int64)
+    total = np.bincount(where, np.concatenate([_unpack(x) for x in pdf["n"]])).astype(np.int64)
     cuts = np.cumsum([0, *[len(x) for x in h]])
     rows = [{"chunk": chunk, "bucket": bucket, "c": _pack(total[where[a:b]])} for chunk, bucket, a, b in zip(pdf["chunk"], pdf["bucket"], cuts[:-1], cuts[1:], strict=True)]
     types = np.bincount(s[first[total > 0]], minlength=1)
@@ -343,7 +353,13 @@ class Model:
 
     def embedded(self, spelt: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Vectors of words: sums of their subwords' ones, by the root of their number."""
-        x = np.add.reduceat(self.vectors[spelt], np.cumsum(lengths) - lengths) if len(lengths) else np.zeros((0, WIDTH), np.float32)
+        at = np.cumsum(lengths) - lengths
+        x = self.vectors[spelt[at]]
+        for k in range(1, FEW):
+            some = np.flatnonzero(lengths > k)
+            x[some] += self.vectors[spelt[at[some] + k]]
+        for w in np.flatnonzero(lengths > FEW).tolist():
+            x[w] += self.vectors[spelt[at[w] + FEW : at[w] + lengths[w]]].sum(0)
         x /= np.sqrt(lengths, dtype=np.float32)[:, None]
         return x
 
@@ -362,8 +378,8 @@ class Model:
         xq = xk[:, CONTEXT:]
         flat = xk.reshape(-1, WIDTH)
         q = (xq.reshape(-1, WIDTH) @ (p["Wq"] * np.float32(HEAD**-0.5))).reshape(len(first), BLOCK, HEAD)
-        k = (flat @ p["Wk"]).reshape(len(first), KEYS, HEAD)
-        v = (flat @ p["Wv"]).reshape(len(first), KEYS, WIDTH)
+        both = (flat @ np.concatenate((p["Wk"], p["Wv"]), 1)).reshape(len(first), KEYS, HEAD + WIDTH)
+        k, v = both[..., :HEAD], both[..., HEAD:]
         a = q @ k.transpose(0, 2, 1)
         a += p["r"][np.maximum(_DISTANCE, 0)]
         np.clip(a, np.float32(-60), np.float32(60), out=a)
@@ -371,7 +387,7 @@ class Model:
         a *= _SEEN
         for e in np.flatnonzero(first - CONTEXT < start).tolist():  # keys before the document
             a[e, :, : CONTEXT - (first[e] - start[e])] = 0
-        a /= a.sum(-1, keepdims=True)
+        a *= 1 / _sums(a)[..., None]
         inside = at < end[:, None]
         h = a @ v
         h += (xq.reshape(-1, WIDTH) @ p["M"]).reshape(h.shape)
@@ -387,14 +403,14 @@ class Model:
         out = np.zeros(len(target), np.float32)
         for k in range(0, len(windows[0]), WINDOWS):
             powers, at, _ = self.forward(x, *[w[k : k + WINDOWS] for w in windows])
-            out[at] = np.log(powers[np.arange(len(at)), target[at]] / powers.sum(-1))
+            out[at] = np.log(powers[np.arange(len(at)), target[at]] / _sums(powers))
         return out
 
     def gradients(self, x: np.ndarray, target: np.ndarray, windows) -> tuple[float, dict[str, np.ndarray]]:
         """Loss and its gradient, summed over the places of some windows."""
         p = self.p
         out, at, (xk, xq, q, k, v, a, inside, h) = self.forward(x, *windows)
-        out /= out.sum(-1, keepdims=True)
+        out *= 1 / _sums(out)[:, None]
         rows, target = np.arange(len(at)), target[at]
         loss = -float(np.log(out[rows, target] + 1e-30).sum())
         out[rows, target] -= 1
@@ -403,13 +419,14 @@ class Model:
         d[inside] = (out @ p["U"].T) * (1 - h * h)
         flat, flat_q, flat_d = xk.reshape(-1, WIDTH).T, xq.reshape(-1, WIDTH).T, d.reshape(-1, WIDTH)
         g["M"] = flat_q @ flat_d
-        g["Wv"] = flat @ (a.transpose(0, 2, 1) @ d).reshape(-1, WIDTH)
+        dv = a.transpose(0, 2, 1) @ d
         s = d @ v.transpose(0, 2, 1)
         s -= np.einsum("ijk,ijk->ij", s, a)[..., None]
         s *= a
         g["r"] = np.bincount(np.maximum(_DISTANCE, 0).ravel(), s.sum(0).ravel(), KEYS)
         g["Wq"] = flat_q @ (s @ k).reshape(-1, HEAD) * np.float32(HEAD**-0.5)
-        g["Wk"] = flat @ (s.transpose(0, 2, 1) @ q).reshape(-1, HEAD)
+        both = flat @ np.concatenate((s.transpose(0, 2, 1) @ q, dv), -1).reshape(-1, HEAD + WIDTH)
+        g["Wk"], g["Wv"] = both[:, :HEAD], both[:, HEAD:]
         return loss, g
 
     def gradient(self, x: np.ndarray, target: np.ndarray, windows) -> tuple[float, np.ndarray]:
@@ -427,6 +444,11 @@ _DISTANCE = np.arange(CONTEXT, KEYS)[:, None] - np.arange(KEYS)
 _SEEN = (_DISTANCE >= 0).astype(np.float32)
 
 
+def _sums(a: np.ndarray) -> np.ndarray:
+    """Sums over the last axis."""
+    return a @ np.ones(a.shape[-1], a.dtype)
+
+
 def windows_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For documents of words laid end to end: (first place of each window, its document's start and end)."""
     ends = np.cumsum(sizes)
@@ -461,10 +483,11 @@ def _follows(cls: np.ndarray):
     """By block of ids: how often each class follows a word with that id, in the documents of a task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros((VOCABULARY, CLASSES), np.int64)
+        seen, used = np.zeros((VOCABULARY, CLASSES), np.int64), np.zeros(VOCABULARY, bool)
         for pdf in tidied(batches):
             for row in pdf.itertuples(index=False):
                 text = Text(row)
+                used[text.spelt] = used[END] = True
                 of = cls[text.first]
                 for _, _, words, sizes in text.slabs():
                     ends = np.cumsum(sizes)
@@ -477,25 +500,32 @@ def _follows(cls: np.ndarray):
                     ids = text.spelt[_slices(text.lengths[word], at[word])]
                     cells, of_cell = np.unique(ids * CLASSES + np.repeat(then, text.lengths[word]), return_inverse=True)
                     seen.reshape(-1)[cells] += np.bincount(of_cell, np.repeat(n, text.lengths[word])).astype(np.int64)
-        used = np.flatnonzero(seen.any(1))
-        for b in np.unique(used // ROWS):
-            yield pd.DataFrame({"block": [b], "n": [_pack(seen[b * ROWS : (b + 1) * ROWS].ravel())]})
+        ids = np.flatnonzero(used)
+        own = [x for x in np.split(ids, np.searchsorted(ids, np.arange(ROWS, VOCABULARY, ROWS))) if len(x)]
+        yield pd.DataFrame({"block": [int(x[0]) // ROWS for x in own], "ids": [_pack(x) for x in own], "n": [_pack(seen[x].ravel()) for x in own]})
 
     return run
 
 
+FOLLOWS = "block int, ids binary, n binary"
+
+
 def _added(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"block": pdf["block"].iloc[:1], "n": [_pack(sum(_unpack(x) for x in pdf["n"]))]})
+    """Sums of the tables of a block of ids."""
+    block, seen = int(pdf["block"].iat[0]), np.zeros((ROWS, CLASSES), np.int64)
+    for ids, n in zip(pdf["ids"], pdf["n"], strict=True):
+        seen[_unpack(ids) - block * ROWS] += _unpack(n).reshape(-1, CLASSES)
+    used = np.flatnonzero(seen.any(1))
+    return pd.DataFrame({"block": [block], "ids": [_pack(used + block * ROWS)], "n": [_pack(seen[used].ravel())]})
 
 
 def follows(learn: DataFrame, cls: np.ndarray) -> np.ndarray:
     """How often each class follows a word with each id, over all training documents."""
-    each = learn.select("sizes", "words", "spelt", "lengths").mapInPandas(_follows(cls), "block int, n binary")
-    some = each.withColumn("salt", F.spark_partition_id() % 32).groupBy("block", "salt").applyInPandas(_added, "block int, n binary")
+    each = learn.select("sizes", "words", "spelt", "lengths").coalesce(parts_for(learn)).mapInPandas(_follows(cls), FOLLOWS)
+    some = each.withColumn("salt", F.spark_partition_id() % 16).groupBy("block", "salt").applyInPandas(_added, FOLLOWS)
     out = np.zeros((VOCABULARY, CLASSES))
-    for row in some.groupBy("block").applyInPandas(_added, "block int, n binary").collect():  # at most VOCABULARY / ROWS rows of some 10 KB
-        own = _unpack(row["n"]).reshape(-1, CLASSES)
-        out[row["block"] * ROWS :][: len(own)] = own
+    for row in some.groupBy("block").applyInPandas(_added, FOLLOWS).collect():  # at most VOCABULARY / ROWS rows, packed
+        out[_unpack(row["ids"])] = _unpack(row["n"]).reshape(-1, CLASSES)
     return out
 
 
@@ -543,6 +573,23 @@ def train(model: Model, learn: DataFrame, rounds: int) -> None:
     sent.unpersist()
 
 
+class Places:
+    """Places of known values in a sorted array of hashes: a table by leading bits, then a few steps."""
+
+    def __init__(self, h: np.ndarray):
+        self.h = h
+        self.shift = np.uint64(64 - max(1, len(h).bit_length()))
+        self.first = np.searchsorted(h, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift)
+
+    def __call__(self, q: np.ndarray) -> np.ndarray:
+        at = self.first[q >> self.shift]
+        todo = np.flatnonzero(self.h[at] != q)
+        while len(todo):
+            at[todo] += 1
+            todo = todo[self.h[at[todo]] != q[todo]]
+        return at
+
+
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -562,16 +609,17 @@ def _scored(sent, tokens: int, known: int, buckets: int):
         spelt = np.zeros(lengths.sum(), np.int64)
         for text, own in zip(texts, owns, strict=True):
             spelt[_slices(text.lengths, at[own])] = text.spelt
-        keys = np.unique(pair_keys(*pairs_of(spelt, lengths)[:2]))
-        rest = sums.rest(c, spelt, lengths, lambda k: pairs[np.searchsorted(keys, k)]) + model.share[spelt[at]]
+        places = Places(np.unique(pair_keys(*pairs_of(spelt, lengths)[:2])))
+        rest = sums.rest(c, spelt, lengths, lambda k: pairs[places(k)]) + model.share[spelt[at]]
         base, vectors, cls = np.log10((c + 1) / (tokens + known + 1)), model.embedded(spelt, lengths), model.cls[spelt[at]]
         out = []
         for text, own, ids, part in zip(texts, owns, docs["ids"], docs["part"], strict=True):
+            near, of, seen, low, left = vectors[own], cls[own], c[own] > 0, base[own], rest[own]
             for a, b, words, sizes in text.slabs():
-                doc, word = np.repeat(np.arange(b - a), sizes), own[words]
+                doc = np.repeat(np.arange(b - a), sizes)
                 by_doc = lambda x: np.bincount(doc, x, b - a)  # noqa: B023, E731
-                first = model.logs(text.inputs(model, vectors, word, sizes), cls[word], windows_of(sizes))
-                out.append(pd.DataFrame({"doc_id": list(ids[a:b]), "held_out": part == HELD, "n_tokens": sizes, "n_known": by_doc(c[word] > 0).astype(np.int64), "train_tokens": tokens, "base_score": by_doc(base[word]), "score": by_doc(first + rest[word]) / np.log(10)}))
+                first = model.logs(text.inputs(model, near, words, sizes), of[words], windows_of(sizes))
+                out.append(pd.DataFrame({"doc_id": list(ids[a:b]), "held_out": part == HELD, "n_tokens": sizes, "n_known": by_doc(seen[words]).astype(np.int64), "train_tokens": tokens, "base_score": by_doc(low[words]), "score": by_doc(first + left[words]) / np.log(10)}))
         return pd.concat(out, ignore_index=True).astype({"doc_id": "Int64"})[columns]
 
     return run
