@@ -119,9 +119,10 @@ def groupby(df: DataFrame, keys: str | Sequence[str], *, dropna: bool = False) -
 
 
 def tree_reduction(df: DataFrame, chunk: Callable[..., pd.DataFrame], aggregate: Callable[..., pd.DataFrame], schema: T.StructType | str, *, combine: Callable[..., pd.DataFrame] | None = None, partial_schema: T.StructType | str | None = None, split_every: int | bool | None = None, chunk_kwargs: dict | None = None, combine_kwargs: dict | None = None, aggregate_kwargs: dict | None = None) -> DataFrame:
-    """``chunk`` on each batch of a partition, ``combine`` on groups of ``split_every`` partials, ``aggregate`` on what is left.
+    """``chunk`` on each partition, ``combine`` on groups of ``split_every`` partials, ``aggregate`` on what is left.
 
-    Each function maps a local frame to a local frame. Partials have ``partial_schema`` (default: ``schema``).
+    Each function maps a local frame to a local frame; a partition must fit in a task's memory. An empty
+    partition gives no partial, but for the first one: so a frame without rows is reduced too. Partials have ``partial_schema`` (default: ``schema``).
     ``split_every`` is 8 by default; False makes one step of it.
     """
     if combine is None and combine_kwargs:
@@ -131,15 +132,19 @@ def tree_reduction(df: DataFrame, chunk: Callable[..., pd.DataFrame], aggregate:
         raise ValueError("split_every must be False or an integer of 2 or more")
     combine, combine_kwargs = combine or aggregate, combine_kwargs if combine else aggregate_kwargs
     spark = df.sparkSession
+    if df.rdd.getNumPartitions() == 0:
+        df = df.repartition(1)
+    empty = df.limit(0).toPandas()
     partial = spark.createDataFrame([], partial_schema if partial_schema is not None else schema).schema
     numbered = T.StructType([*partial.fields, T.StructField("_part", T.LongType())])
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        for pdf in batches:
-            yield chunk(pdf, **(chunk_kwargs or {})).assign(_part=part)
+        part, all_rows = TaskContext.get().partitionId(), [pdf for pdf in batches if len(pdf)]
+        if all_rows or part == 0:
+            whole = pd.concat(all_rows, ignore_index=True) if all_rows else empty
+            yield chunk(whole, **(chunk_kwargs or {})).assign(_part=part)
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         part = int(pdf["_part"].iloc[0]) // every

@@ -90,8 +90,10 @@ def describe(df: DataFrame, *statistics: str) -> DataFrame:
 
 
 def idxmax(df: DataFrame, column: str, label: str) -> DataFrame:
-    """The label of the largest value; the smallest label among equals."""
-    return df.agg(F.max_by(F.col(label), F.struct(F.col(column), -F.col(label))).alias(label))
+    """The label of the largest value; the smallest label among equals. NaN counts as no value."""
+    value = F.nanvl(F.col(column), F.lit(None)) if dict(df.dtypes)[column] in ("float", "double") else F.col(column)
+    top = df.agg(F.max(value).alias("top"))  # one row
+    return df.join(F.broadcast(top), value == F.col("top")).agg(F.min(label).alias(label))
 
 
 def idxmin(df: DataFrame, column: str, label: str) -> DataFrame:
@@ -118,6 +120,22 @@ def running(how: str, column: str, order_by: str, partition_by: str | None = Non
     return made[how]()
 
 
+def size(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
+    """Rows of each group, as ``size``; a null key is a group."""
+    return df.groupBy(*([keys] if isinstance(keys, str) else keys)).agg(F.count(F.lit(1)).alias("size"))
+
+
+def first_last(df: DataFrame, keys: str | Sequence[str], column: str, order_by: str) -> DataFrame:
+    """The column's first and last value of each group, in the order of ``order_by``, as <column>_first and <column>_last."""
+    own = [F.min_by(column, order_by).alias(f"{column}_first"), F.max_by(column, order_by).alias(f"{column}_last")]
+    return df.groupBy(*([keys] if isinstance(keys, str) else keys)).agg(*own)
+
+
+def except_all(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of the left frame less those of the right one, each as often as it is there."""
+    return left.exceptAll(right.select(*left.columns))
+
+
 def tail(frame: IndexedFrame, n: int = 5) -> DataFrame:
     """The last ``n`` rows in the order of the frame, last first."""
     return frame.df.orderBy(*[F.desc_nulls_first(c) for c in frame.order_by]).limit(n)

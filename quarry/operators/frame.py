@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from quarry.functions import arithmetic
 
 
 @dataclass(frozen=True)
@@ -92,7 +95,53 @@ class IndexedFrame:
         return self.df.count()
 
     def __repr__(self) -> str:
-        return f"<quarry.IndexedFrame | index {', '.join(self.index)} | {self.df.select(*self.columns).schema.simpleString()}>"
+        return f"<quarry.IndexedFrame | {self.npartitions} partitions | index {', '.join(self.index)} | {self.df.select(*self.columns).schema.simpleString()}>"
+
+    def name(self) -> str:
+        """A name of what the frame computes: the same for the same plan."""
+        return f"frame-{self.df.semanticHash() & 0xFFFFFFFF:08x}"
+
+    def _binary(self, op: Callable, other) -> IndexedFrame:
+        """``op`` with a value, for every numeric column; or with the columns of equal name of another frame, by index: labels of both, null where one lacks them."""
+        numeric = [f.name for f in self.df.schema if isinstance(f.dataType, T.NumericType) and f.name in self.columns]
+        if not isinstance(other, IndexedFrame):
+            return IndexedFrame(self.df.select(*self.index, *[op(F.col(c), other).alias(c) for c in numeric]), self.index)
+        both = [c for c in numeric if c in other.columns]
+        left, right = self.df.select(*self.index, *both), other.df.select(*other.index, *both).withColumnsRenamed({c: f"{c}__other" for c in both} | dict(zip(other.index, self.index, strict=True)))
+        return IndexedFrame(left.join(right, list(self.index), "full").select(*self.index, *[op(F.col(c), F.col(f"{c}__other")).alias(c) for c in both]), self.index)
+
+    def __add__(self, other):
+        return self._binary(arithmetic.add, other)
+
+    def __sub__(self, other):
+        return self._binary(arithmetic.sub, other)
+
+    def __mul__(self, other):
+        return self._binary(arithmetic.mul, other)
+
+    def __truediv__(self, other):
+        return self._binary(arithmetic.truediv, other)
+
+    def __floordiv__(self, other):
+        return self._binary(arithmetic.floordiv, other)
+
+    def __mod__(self, other):
+        return self._binary(arithmetic.mod, other)
+
+    def __pow__(self, other):
+        return self._binary(arithmetic.power, other)
+
+    def __lt__(self, other):
+        return self._binary(arithmetic.lt, other)
+
+    def __gt__(self, other):
+        return self._binary(arithmetic.gt, other)
+
+    def __le__(self, other):
+        return self._binary(arithmetic.le, other)
+
+    def __ge__(self, other):
+        return self._binary(arithmetic.ge, other)
 
     def _repr_html_(self) -> str:
         import html

@@ -47,12 +47,20 @@ def _join(left: DataFrame, right: DataFrame, on: list[str], how: str, null_safe:
 def merge(left: DataFrame | IndexedFrame, right: DataFrame | IndexedFrame, on: str | Sequence[str] | None = None, how: str = "left", left_index: bool = False, right_index: bool = False, suffixes: tuple[str, str] = ("_x", "_y"), *, null_safe: bool = False) -> DataFrame | IndexedFrame:
     """Joins on equal keys: ``on``, else all common columns in the left one's order.
 
+    With both ``left_index`` and ``right_index`` the indexes are the keys; with one of them, that frame's index
+    and the other frame's columns ``on``, whose names the keys then have.
     Only equal names of columns that are not keys get suffixes. Null keys match nothing unless
     ``null_safe``. A small side is broadcast where the kind of join allows that.
     """
-    if left_index or right_index:
-        if not (left_index and right_index and isinstance(left, IndexedFrame) and isinstance(right, IndexedFrame)):
-            raise ValueError("left_index and right_index go together, between frames with an index")
+    if left_index != right_index:
+        frame, keys = (left if left_index else right), [on] if isinstance(on, str) else list(on or ())
+        if not isinstance(frame, IndexedFrame) or len(keys) != len(frame.index):
+            raise ValueError("an index is merged with as many columns of the other frame, given by `on`")
+        named = frame.df.withColumnsRenamed(dict(zip(frame.index, keys, strict=True)))
+        left, right = (named, right) if left_index else (left, named)
+    elif left_index:
+        if not (isinstance(left, IndexedFrame) and isinstance(right, IndexedFrame)):
+            raise ValueError("left_index and right_index are for frames with an index")
         return index_join(left, right, how=how, lsuffix=suffixes[0], rsuffix=suffixes[1])
     left, right = (x.df if isinstance(x, IndexedFrame) else x for x in (left, right))
     keys = [on] if isinstance(on, str) else list(on) if on is not None else [c for c in left.columns if c in right.columns]

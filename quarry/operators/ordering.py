@@ -7,11 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from quarry.functions.accessors import KEY
 from quarry.operators.frame import IndexedFrame
+from quarry.operators.held import free, held
 
 
 def _names(by: str | Sequence[str]) -> list[str]:
@@ -41,20 +41,20 @@ def nsmallest(df: DataFrame, n: int, by: str, ties: Sequence[str] = ()) -> DataF
 def with_positions(df: DataFrame, order_by: str | Sequence[str], name: str = "index") -> DataFrame:
     """``df`` with the place of each row, 0..n-1, in the order of ``order_by``.
 
-    Two passes over the sorted rows, which are held for that (in the checkpoint folder if
-    there is one): rows are numbered within partitions, and a row per partition says
-    where it begins. ``order_by`` should tell rows apart.
+    Two passes over the sorted rows, which are held for that in the checkpoint folder:
+    rows are numbered within partitions, and a row per partition says where it begins.
+    ``order_by`` should tell rows apart.
     """
     by = _names(order_by)
     if not by:
         raise ValueError("positions need an order")
-    ordered = df.drop(name).orderBy(*[F.asc_nulls_last(c) for c in by]).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
-    held = ordered.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else ordered.persist(StorageLevel.MEMORY_AND_DISK)
-    parts = held.groupBy("_part").agg(F.min("_row").alias("_least"), F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select("_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_least")).alias("_shift"))
-    place = (F.col("_row") + F.col("_shift")).alias(name)
-    return held.join(F.broadcast(starts), "_part").select(place, *[c for c in df.columns if c != name])  # a row per partition
+    part, row, shift = (free(df, x) for x in ("_part", "_row", "_shift"))
+    sorted_rows = held(df.orderBy(*[F.asc_nulls_last(c) for c in by]).withColumns({part: F.spark_partition_id(), row: F.monotonically_increasing_id()}))
+    parts = sorted_rows.groupBy(part).agg(F.min(row).alias("least"), F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(part, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("least")).alias(shift))
+    place = (F.col(row) + F.col(shift)).alias(name)
+    return sorted_rows.join(F.broadcast(starts), part).select(place, *[c for c in df.columns if c != name])  # a row per partition
 
 
 def reset_index(frame: IndexedFrame, name: str = "index", *, drop: bool = True) -> DataFrame:

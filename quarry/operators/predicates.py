@@ -8,14 +8,16 @@ from __future__ import annotations
 import ast
 import io
 import tokenize
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quarry.functions import arithmetic
 
 _LOCAL = "__local_"
 _COMPARE = {ast.Eq: lambda a, b: a == b, ast.NotEq: lambda a, b: a != b, ast.Lt: lambda a, b: a < b, ast.LtE: lambda a, b: a <= b, ast.Gt: lambda a, b: a > b, ast.GtE: lambda a, b: a >= b}
+#: The same with NaN as dataframes have it: unequal to all, and not in any order.
+_FLOAT = {ast.Eq: arithmetic.eq, ast.NotEq: arithmetic.ne, ast.Lt: arithmetic.lt, ast.LtE: arithmetic.le, ast.Gt: arithmetic.gt, ast.GtE: arithmetic.ge}
 _ARITHMETIC = {ast.Add: arithmetic.add, ast.Sub: arithmetic.sub, ast.Mult: arithmetic.mul, ast.Div: arithmetic.truediv, ast.FloorDiv: arithmetic.floordiv, ast.Mod: arithmetic.mod, ast.Pow: arithmetic.power}
 
 
@@ -32,10 +34,24 @@ def _python(text: str) -> str:
     return " ".join(x for x in out if x.strip())
 
 
-def parse(text: str, local_dict: Mapping[str, object] | None = None) -> Column:
-    """The condition ``text`` as a Column; ``@name`` is a value of ``local_dict``."""
+def parse(text: str, local_dict: Mapping[str, object] | None = None, floats: Collection[str] | None = None) -> Column:
+    """The condition ``text`` as a Column; ``@name`` is a value of ``local_dict``.
+
+    ``floats`` names the columns that may hold NaN (default: all). Comparisons without any
+    of them are plain ones, which scans can take over.
+    """
     given = dict(local_dict or {})
 
+    def may_be_nan(node: ast.AST) -> bool:
+        for x in ast.walk(node):
+            if isinstance(x, ast.BinOp) and isinstance(x.op, (ast.Div, ast.FloorDiv, ast.Pow)):
+                return True
+            if isinstance(x, ast.Name):
+                own = given.get(x.id[len(_LOCAL) :]) if x.id.startswith(_LOCAL) else None
+                if isinstance(own, float) and own != own or not x.id.startswith(_LOCAL) and (floats is None or x.id in floats):
+                    return True
+        return False
+
     def value(node: ast.AST):
         if isinstance(node, ast.Constant):
             return F.lit(node.value)
@@ -64,15 +80,23 @@ def parse(text: str, local_dict: Mapping[str, object] | None = None) -> Column:
                     own = value(left).isin(items(right))
                     own = ~own if isinstance(op, ast.NotIn) else own
                 else:
-                    own = _COMPARE[type(op)](value(left), value(right))
+                    own = (_FLOAT if may_be_nan(left) or may_be_nan(right) else _COMPARE)[type(op)](value(left), value(right))
                 out = own if out is None else out & own
                 left = right
             return out
         raise ValueError(f"not understood in a condition: {ast.dump(node)[:80]}")
 
+    def item(node: ast.AST):
+        if isinstance(node, ast.Name) and node.id.startswith(_LOCAL):
+            return given[node.id[len(_LOCAL) :]]
+        try:
+            return ast.literal_eval(node)
+        except ValueError:
+            raise ValueError("`in` needs a list of values") from None
+
     def items(node: ast.AST) -> list:
         if isinstance(node, (ast.List, ast.Tuple, ast.Set)):
-            return [x.value for x in node.elts]
+            return [item(x) for x in node.elts]
         if isinstance(node, ast.Name) and node.id.startswith(_LOCAL):
             return list(given[node.id[len(_LOCAL) :]])
         raise ValueError("`in` needs a list")
@@ -81,5 +105,5 @@ def parse(text: str, local_dict: Mapping[str, object] | None = None) -> Column:
 
 
 def query(df: DataFrame, text: str, local_dict: Mapping[str, object] | None = None) -> DataFrame:
-    """Rows for which the condition is true; null counts as false."""
-    return df.filter(parse(text, local_dict))
+    """Rows for which the condition is true; null counts as false, as does a comparison with NaN other than ``!=``."""
+    return df.filter(parse(text, local_dict, [f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))]))

@@ -7,19 +7,20 @@ cast on both sides where the engines' own differ.
 from __future__ import annotations
 
 import atexit
-import shutil
-import tempfile
+import contextlib
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quarry.functions import arithmetic as ar
 from quarry.functions.accessors import cat, dt, with_categories
 from quarry.operators import aggregates as ag, extensions as ex, ordering as od
 from quarry.operators.frame import IndexedFrame
+from quarry.operators.held import shared_folder
 from quarry.operators.joins import anti, index_join, merge, semi
 from quarry.operators.predicates import query
 from quarry.sources import files, memory
@@ -64,6 +65,19 @@ register("astype_float", "SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS v FROM
 register("astype_int", "SELECT o_orderkey, CAST(trunc(o_totalprice) AS BIGINT) AS v FROM orders", lambda t: t.orders.select("o_orderkey", F.col("o_totalprice").cast("long").alias("v")))
 register("numeric_columns", "SELECT c_custkey, c_nationkey, c_acctbal FROM customer", lambda t: t.customer.select(*ar.numeric_columns(t.customer)))
 
+# -- NaN and lists in predicates
+_RATIO = "SELECT event_id, value, CASE WHEN event_type = 'click' THEN 'nan'::DOUBLE ELSE value END AS x FROM events"
+
+
+def _ratio(t: Tables) -> DataFrame:
+    return t.events.select("event_id", "value", F.when(F.col("event_type") == "click", float("nan")).otherwise(F.col("value")).alias("x"))
+
+
+register("query_nan_greater", f"SELECT event_id FROM ({_RATIO}) WHERE NOT isnan(x) AND x > 2", lambda t: query(_ratio(t), "x > 2").select("event_id"))
+register("query_nan_unequal", f"SELECT event_id FROM ({_RATIO}) WHERE isnan(x)", lambda t: query(_ratio(t), "x != x").select("event_id"))
+register("query_nan_equal", f"SELECT event_id FROM ({_RATIO}) WHERE NOT isnan(x) AND x = value", lambda t: query(_ratio(t), "x == value").select("event_id"))
+register("query_negative_list", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber - 3 IN (-1, 2, 3)", lambda t: query(t.lineitem, "l_linenumber - 3 in [-1, 2, @n]", {"n": 3}).select("l_orderkey", "l_linenumber"))
+
 # -- predicates and selection ----------------------------------------------------------------------
 register("query_simple", "SELECT event_id, value FROM events WHERE value > 2", lambda t: query(t.events, "value > 2").select("event_id", "value"))
 register("query_params", "SELECT event_id, value FROM events WHERE value > 10 AND event_type = 'click'", lambda t: query(t.events, "value > @low & event_type == @kind", {"low": 10, "kind": "click"}).select("event_id", "value"))
@@ -97,23 +111,35 @@ register("merge_broadcast", "SELECT n_nationkey, c_custkey, n_name FROM (SELECT
 _FLAG = "nullif(o_orderstatus, 'F')"
 for _n, _safe, _on in (("null_keys", False, "a.s = b.s"), ("null_safe", True, "a.s IS NOT DISTINCT FROM b.s")):
     register(f"merge_{_n}", f"SELECT a.s, a.o_orderkey, b.n FROM (SELECT {_FLAG} AS s, o_orderkey FROM orders) a LEFT JOIN (SELECT {_FLAG} AS s, count(*) AS n FROM orders GROUP BY 1) b ON {_on}", lambda t, safe=_safe: merge(t.orders.select(F.expr(_FLAG).alias("s"), "o_orderkey"), t.orders.groupBy(F.expr(_FLAG).alias("s")).agg(F.count(F.lit(1)).alias("n")), on="s", null_safe=safe))
-_SPEND = "SELECT o_custkey AS c_custkey, round(sum(o_totalprice), 2) AS spent FROM orders GROUP BY 1"
+_URGENT = "o_orderpriority = '1-URGENT' AND o_orderstatus = 'O'"  # not every customer has such an order
+_SPEND = f"SELECT o_custkey AS c_custkey, round(sum(o_totalprice), 2) AS spent FROM orders WHERE {_URGENT} GROUP BY 1"
 
 
 def _spend(t: Tables) -> IndexedFrame:
-    return IndexedFrame(t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(_r(F.sum("o_totalprice"), 2).alias("spent")), "c_custkey")
+    return IndexedFrame(t.orders.filter(_URGENT).groupBy(F.col("o_custkey").alias("c_custkey")).agg(_r(F.sum("o_totalprice"), 2).alias("spent")), "c_custkey")
 
 
 def _named(t: Tables) -> IndexedFrame:
-    return IndexedFrame(t.customer.select("c_custkey", "c_name").filter("c_custkey % 3 > 0"), "c_custkey")
+    return IndexedFrame(t.customer.filter("c_acctbal > 2000").select("c_custkey", "c_name"), "c_custkey")
 
 
 for _how, _word in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN")):
-    register(f"index_join_{_how}", f"SELECT c_custkey, c_name, spent FROM (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 > 0) {_word} ({_SPEND}) USING (c_custkey)", lambda t, h=_how: index_join(_named(t), _spend(t), how=h).ordered())
+    register(f"index_join_{_how}", f"SELECT c_custkey, c_name, spent FROM (SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 2000) {_word} ({_SPEND}) USING (c_custkey)", lambda t, h=_how: index_join(_named(t), _spend(t), how=h).ordered())
 for _how, _word in (("inner", "JOIN"), ("left", "LEFT JOIN")):
-    register(f"index_merge_{_how}", f"SELECT c_custkey, c_name, spent FROM (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 > 0) {_word} ({_SPEND}) USING (c_custkey)", lambda t, h=_how: merge(_named(t), _spend(t), how=h, left_index=True, right_index=True).df)
-register("semi_join", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)", lambda t: semi(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey"))
-register("anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", lambda t: anti(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey"))
+    register(f"index_merge_{_how}", f"SELECT c_custkey, c_name, spent FROM (SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 2000) {_word} ({_SPEND}) USING (c_custkey)", lambda t, h=_how: merge(_named(t), _spend(t), how=h, left_index=True, right_index=True).df)
+for _how, _word in (("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
+    register(
+        f"merge_{_how}_unmatched",
+        f"SELECT k, o_orderkey, o_totalprice, c_name FROM ({_ORDERS} WHERE {_URGENT}) {_word} ({_CUSTOMERS}) USING (k)",
+        lambda t, h=_how: merge(t.orders.filter(_URGENT).select(F.col("o_custkey").alias("k"), "o_orderkey", "o_totalprice"), _customers(t), on="k", how=h),
+    )
+register(
+    "merge_index_with_column",
+    f"SELECT o_custkey, o_orderkey, c_name FROM orders JOIN (SELECT c_custkey AS o_custkey, c_name FROM customer WHERE c_acctbal > 2000) USING (o_custkey)",
+    lambda t: merge(_named(t), t.orders.select("o_custkey", "o_orderkey"), on="o_custkey", how="inner", left_index=True).select("o_custkey", "o_orderkey", "c_name"),
+)
+register("semi_join", f"SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE {_URGENT})", lambda t: semi(t.customer.select("c_custkey"), t.orders.filter(_URGENT).select(F.col("o_custkey").alias("c_custkey")), "c_custkey"))
+register("anti_join", f"SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE {_URGENT})", lambda t: anti(t.customer.select("c_custkey"), t.orders.filter(_URGENT).select(F.col("o_custkey").alias("c_custkey")), "c_custkey"))
 
 # -- reductions and group-by -----------------------------------------------------------------------
 for _n, _sql in (("sum", "round(sum(value), 2)"), ("count", "count(value)"), ("mean", "round(avg(value), 4)"), ("min", "min(value)"), ("max", "max(value)"), ("var", "round(var_samp(value), 4)"), ("std", "round(stddev_samp(value), 4)")):
@@ -124,6 +150,7 @@ register("frame_mean", "SELECT round(avg(c_custkey), 4) AS c_custkey, round(avg(
 register("frame_var", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(var_samp({c}), 2) AS var FROM customer" for c in ("c_custkey", "c_nationkey", "c_acctbal")), lambda t: ag.frame_var(t.customer).withColumn("var", _r("var", 2)))
 register("row_var", "SELECT c_custkey, round((SELECT var_samp(x) FROM unnest([c_custkey::DOUBLE, c_nationkey::DOUBLE, c_acctbal]) AS u(x)), 2) AS var FROM customer", lambda t: ag.frame_var(t.customer, axis=1).select("c_custkey", _r("var", 2).alias("var")))
 register("unique_k", "SELECT DISTINCT event_type FROM events", lambda t: ag.unique_k(t.events, "event_type", 1000))
+register("unique_k_few", "SELECT 3::BIGINT AS n, 3::BIGINT AS known", lambda t: ag.unique_k(t.events, "event_type", 3).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_type").alias("known")))
 register("unique_values", "SELECT DISTINCT o_orderpriority FROM orders", lambda t: ag.unique(t.orders, "o_orderpriority"))
 register("sum_of_squares", "SELECT round(sum(value * value), 2) AS v FROM events", lambda t: t.events.agg(_r(ag.sum_of_squares("value"), 2).alias("v")))
 register("tree_reduction", "SELECT round(sum(value), 2) AS s, count(value) AS n FROM events", lambda t: ag.tree_reduction(t.events.select("value").repartition(20), lambda p: pd.DataFrame({"s": [p["value"].sum()], "n": [p["value"].count()]}), lambda p: p.sum().to_frame().T.astype({"n": "int64"}), "s double, n long").withColumn("s", _r("s", 2)))
@@ -148,7 +175,7 @@ register("index_values", "SELECT o_orderkey FROM orders", lambda t: IndexedFrame
 register("repartition_count", "SELECT count(*) AS n, 7::BIGINT AS parts FROM orders", lambda t: od.repartition(t.orders.select("o_orderkey"), 7).withColumn("p", F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p").alias("parts")))
 register("hash_partition", "SELECT DISTINCT o_custkey, 1::BIGINT AS parts FROM orders", lambda t: od.hash_partition(t.orders.select("o_custkey"), "o_custkey", 5).withColumn("p", F.spark_partition_id()).groupBy("o_custkey").agg(F.countDistinct("p").alias("parts")))
 register("repartition_by_frequency", "SELECT DISTINCT date_trunc('month', o_orderdate) AS month, 1::BIGINT AS parts FROM orders", lambda t: od.repartition_by_frequency(t.orders.select("o_orderdate"), "o_orderdate", "month", 6).withColumn("p", F.spark_partition_id()).groupBy(F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("month")).agg(F.countDistinct("p").alias("parts")))
-register("concat_frames", "SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey < 100", lambda t: od.concat([t.orders.select("o_orderkey", "o_custkey"), t.orders.select("o_custkey", "o_orderkey").filter("o_orderkey < 100")]))
+register("concat_frames", "SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT o_orderkey, o_custkey FROM orders", lambda t: od.concat([t.orders.select("o_orderkey", "o_custkey"), t.orders.select("o_custkey", "o_orderkey")]))
 register("concat_series", "SELECT o_orderkey AS k FROM orders UNION ALL SELECT c_custkey FROM customer", lambda t: od.concat([t.orders.select(F.col("o_orderkey").alias("k")), t.customer.select(F.col("c_custkey").alias("k"))]))
 register("from_parts", "SELECT count(*) AS n FROM orders", lambda t: memory.from_parts(t._spark, [t.orders.filter(f"o_orderkey % 3 = {k}") for k in range(3)]).agg(F.count(F.lit(1)).alias("n")))
 
@@ -171,6 +198,13 @@ def _ranked(t: Tables) -> DataFrame:
 
 
 register("cat_codes", f"SELECT o_orderkey, coalesce({_RANK}, -1)::INTEGER AS v FROM orders", lambda t: _ranked(t).transform(lambda d: d.select("o_orderkey", cat(d, "o_orderpriority").codes.alias("v"))))
+_KNOWN = _PRIORITIES[:3]
+register(
+    "cat_codes_unknown",
+    f"SELECT o_orderkey, coalesce(list_position({_KNOWN!r}, o_orderpriority) - 1, -1)::INTEGER AS v FROM orders",
+    lambda t: with_categories(t.orders, "o_orderpriority", _KNOWN).transform(lambda d: d.select("o_orderkey", cat(d, "o_orderpriority").codes.alias("v"))),
+)
+register("cat_categories", f"SELECT unnest({_PRIORITIES!r}) AS category, TRUE AS ordered", lambda t: _ranked(t).transform(lambda d: d.sparkSession.createDataFrame([(c, cat(d, "o_orderpriority").ordered) for c in cat(d, "o_orderpriority").categories], "category string, ordered boolean")))
 register("cat_compare_eq", "SELECT o_orderkey, o_orderpriority = '2-HIGH' AS v FROM orders", lambda t: _ranked(t).transform(lambda d: d.select("o_orderkey", cat(d, "o_orderpriority").eq("2-HIGH").alias("v"))))
 register("cat_compare_lt", f"SELECT o_orderkey, {_RANK} < 3 AS v FROM orders", lambda t: _ranked(t).transform(lambda d: d.select("o_orderkey", cat(d, "o_orderpriority").lt("2-HIGH").alias("v"))))
 
@@ -192,27 +226,49 @@ def _slice(t: Tables) -> DataFrame:
 
 
 def _folder(t: Tables) -> str:
-    """A folder for files that are written and read again: in the checkpoint folder, else a temporary one."""
-    sc = t._spark.sparkContext
-    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return f"{named}/files-{np.random.default_rng().integers(2**62):x}"
-    out = tempfile.mkdtemp(prefix="quarry-")
-    atexit.register(shutil.rmtree, out, True)
+    """A folder for files that are written and read again, within the checkpoint folder; it goes when the process ends."""
+    spark = t._spark
+    out = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+    def clear() -> None:
+        with contextlib.suppress(Exception):  # the session may have ended
+            path = spark._jvm.org.apache.hadoop.fs.Path(out)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    atexit.register(clear)
     return out
 
 
 def _again(t: Tables, kind: str, read: Callable[[str], DataFrame], df: DataFrame | None = None, **options) -> DataFrame:
+    """What ``read`` gives of files that were written: of all orders, in five files, if no frame is given."""
     path = f"{_folder(t)}/{kind}"
-    files.write(_slice(t).coalesce(2) if df is None else df, path, kind, **options)
+    files.write(_pairs(t).repartition(5) if df is None else df, path, kind, **options)
     return read(path)
 
 
-_TYPES = "n_nationkey BIGINT, n_name STRING"
-register("csv_roundtrip", _SLICE, lambda t: _again(t, "csv", lambda p: files.read_csv(t._spark, f"{p}/*.csv", schema=_TYPES)))
-register("csv_chunks", _SLICE, lambda t: _again(t, "csv", lambda p: files.read_csv(t._spark, f"{p}/*.csv", chunksize="50 B", schema=_TYPES)))
-register("csv_gzip", _SLICE, lambda t: _again(t, "csv", lambda p: files.read_csv_without_chunksize(t._spark, f"{p}/*.csv.gz", schema=_TYPES), compression="gzip"))
-register("json_lines", _SLICE, lambda t: _again(t, "json", lambda p: files.read_json(t._spark, f"{p}/*.json").select("n_nationkey", "n_name")))
+_PAIRS = "SELECT o_orderkey::BIGINT AS k, o_orderpriority AS v FROM orders"
+
+
+def _pairs(t: Tables) -> DataFrame:
+    return t.orders.select(F.col("o_orderkey").cast("long").alias("k"), F.col("o_orderpriority").alias("v"))
+
+
+_TYPES = "k BIGINT, v STRING"
+register("csv_roundtrip", _PAIRS, lambda t: _again(t, "csv", lambda p: files.read_csv(t._spark, f"{p}/*.csv", schema=_TYPES)))
+register("csv_chunks", _PAIRS, lambda t: _again(t, "csv", lambda p: files.read_csv(t._spark, f"{p}/*.csv", chunksize="20 kB", schema=_TYPES)))
+register("csv_gzip", _PAIRS, lambda t: _again(t, "csv", lambda p: files.read_csv_without_chunksize(t._spark, f"{p}/*.csv.gz", schema=_TYPES), compression="gzip"))
+register("csv_file_partitions", "SELECT 5::BIGINT AS files, count(*) AS n FROM orders", lambda t: _again(t, "csv", lambda p: files.read_csv(t._spark, f"{p}/*.csv", chunksize=None, schema=_TYPES)).withColumn("p", F.spark_partition_id()).agg(F.countDistinct("p").alias("files"), F.count(F.lit(1)).alias("n")))
+register(
+    "csv_bad_records",
+    "SELECT o_orderkey::BIGINT AS k, 1::INTEGER AS v FROM orders WHERE o_orderpriority <> '5-LOW'",
+    lambda t: _again(
+        t,
+        "text",
+        lambda p: files.read_csv(t._spark, f"{p}/*.txt", schema="k BIGINT, v INT", mode="DROPMALFORMED", header=False),
+        _pairs(t).select(F.concat_ws(",", "k", F.when(F.col("v") == "5-LOW", "none").otherwise("1"))),
+    ),
+)
+register("json_lines", _PAIRS, lambda t: _again(t, "json", lambda p: files.read_json(t._spark, f"{p}/*.json").select("k", "v")))
 
 
 def _document(t: Tables, layout: str) -> DataFrame:
@@ -232,12 +288,62 @@ def _document(t: Tables, layout: str) -> DataFrame:
     return rows.select(text.alias("value")).coalesce(1)
 
 
+def _split(t: Tables) -> str:
+    """Customers in a folder for each nation, by key: nation=0, nation=1, nation=2, ..., nation=10, ..."""
+    path = f"{_folder(t)}/split"
+    t.customer.select(F.col("c_nationkey").alias("nation"), "c_custkey").repartition("nation").sortWithinPartitions("nation", "c_custkey").write.partitionBy("nation").parquet(path)
+    return f"{path}/nation=*"
+
+
+def _with_text(t: Tables, path: str) -> str:
+    """A file that is no Parquet file."""
+    t._spark.createDataFrame([("x",)], "value string").write.text(path)
+    return path
+
+
 for _n in ("records", "split", "index", "columns", "values"):
     register(f"json_{_n}", _SLICE, lambda t, o=_n: _again(t, "text", lambda p: files.read_json(t._spark, f"{p}/*.txt", orient=o, lines=False).toDF(*(["n_nationkey", "n_name"] if o != "records" else ["n_name", "n_nationkey"])), _document(t, o)))
-register("orc_roundtrip", _SLICE, lambda t: _again(t, "orc", lambda p: files.read_orc(t._spark, p)))
-register("orc_columns", "SELECT n_name FROM nation", lambda t: _again(t, "orc", lambda p: files.read_orc(t._spark, p, columns=["n_name"])))
-register("parquet_list", _SLICE, lambda t: _again(t, "parquet", lambda p: files.read_parquet(t._spark, [p])))
-register("parquet_columns", "SELECT n_name FROM nation", lambda t: _again(t, "parquet", lambda p: files.read_parquet(t._spark, f"{p}/*.parquet", columns="n_name")))
+for _n, _cells in (("index", "{{\"r{0}\":{{\"n_nationkey\":{0}}},\"s{0}\":{{\"n_name\":\"{1}\"}}}}"), ("columns", "{{\"n_nationkey\":{{\"r{0}\":{0}}},\"n_name\":{{\"s{0}\":\"{1}\"}}}}")):
+    # each file has one nation, in two rows that each lack a column
+    register(
+        f"json_{_n}_sparse",
+        "SELECT 'r' || n_nationkey AS label, n_nationkey::BIGINT AS n_nationkey, NULL::VARCHAR AS n_name FROM nation UNION ALL SELECT 's' || n_nationkey, NULL, n_name FROM nation",
+        lambda t, o=_n, c=_cells: _again(
+            t,
+            "text",
+            lambda p: files.read_json(t._spark, f"{p}/*.txt", orient=o, lines=False, label="label").select("label", "n_nationkey", "n_name"),
+            _slice(t).repartitionByRange(25, "n_nationkey").select(F.format_string(c.replace("{{", "{").replace("}}", "}").replace("{0}", "%1$d").replace("{1}", "%2$s"), "n_nationkey", "n_name").alias("value")),
+        ),
+    )
+register(
+    "parquet_ordered",
+    "SELECT row_number() OVER (ORDER BY c_nationkey, c_custkey) AS place, c_custkey FROM customer",
+    lambda t: files.read_parquet(t._spark, _split(t), ordered=True).withColumn("m", F.monotonically_increasing_id()).select(F.row_number().over(Window.orderBy("m")).cast("long").alias("place"), "c_custkey"),
+)
+register("parquet_metadata_file", "SELECT o_orderkey::BIGINT AS k, o_orderpriority AS v FROM orders", lambda t: _again(t, "parquet", lambda p: files.read_parquet(t._spark, [f"{p}/*.parquet", _with_text(t, f"{p}/a_metadata")])))
+register("from_pandas", _SLICE, lambda t: memory.from_pandas(t._spark, _slice(t).toPandas(), npartitions=3))
+register("from_pandas_late_values", "SELECT n_nationkey::BIGINT AS k, CASE WHEN n_nationkey >= 20 THEN n_name END AS v FROM nation", lambda t: memory.from_pandas(t._spark, _slice(t).toPandas().assign(v=lambda d: d["n_name"].where(d["n_nationkey"] >= 20, None)).rename(columns={"n_nationkey": "k"})[["k", "v"]]))
+register("from_pandas_api", _SLICE, lambda t: memory.from_pandas_api(_slice(t).pandas_api()))
+register("compute", _SLICE, lambda t: t._spark.createDataFrame(memory.compute(_slice(t))))
+register("frame_compute", _SLICE, lambda t: t._spark.createDataFrame(IndexedFrame(_slice(t), "n_nationkey").compute().reset_index()))
+register("persist", _PAIRS, lambda t: IndexedFrame(_pairs(t), "k").persist(eager=True).df)
+register("to_parts", _PAIRS, lambda t: memory.from_parts(t._spark, memory.to_parts(_pairs(t).repartition(4))))
+register("frame_length", "SELECT count(*) AS n FROM orders", lambda t: t._spark.createDataFrame([(len(IndexedFrame(t.orders, "o_orderkey")),)], "n long"))
+register("frame_columns", "SELECT unnest(['k', 'v']) AS name, unnest(['bigint', 'string']) AS kind", lambda t: t._spark.createDataFrame([(c, k) for c, k in IndexedFrame(_pairs(t).withColumn("i", F.lit(1)), "i").dtypes.items()], "name string, kind string"))
+register("frame_name", "SELECT TRUE AS same, FALSE AS other", lambda t: t._spark.createDataFrame([(IndexedFrame(_pairs(t), "k").name() == IndexedFrame(_pairs(t), "k").name(), IndexedFrame(_pairs(t), "k").name() == IndexedFrame(_pairs(t).filter("k > 7"), "k").name())], "same boolean, other boolean"))
+register("divisions", "SELECT min(o_custkey)::BIGINT AS lo, max(o_custkey)::BIGINT AS hi, TRUE AS rising FROM orders", lambda t: t._spark.createDataFrame([(d[0], d[-1], d == sorted(d)) for d in [od.set_index(t.orders.select("o_custkey"), "o_custkey").divisions()]], "lo long, hi long, rising boolean"))
+register("orc_roundtrip", _PAIRS, lambda t: _again(t, "orc", lambda p: files.read_orc(t._spark, p)))
+register("orc_columns", "SELECT o_orderpriority AS v FROM orders", lambda t: _again(t, "orc", lambda p: files.read_orc(t._spark, p, columns=["v"])))
+register("parquet_list", _PAIRS, lambda t: _again(t, "parquet", lambda p: files.read_parquet(t._spark, [p])))
+register("parquet_columns", "SELECT o_orderpriority AS v FROM orders", lambda t: _again(t, "parquet", lambda p: files.read_parquet(t._spark, f"{p}/*.parquet", columns="v")))
+
+# -- operators of frames
+register("frame_operator_scalar", "SELECT c_custkey, (c_acctbal * 2 - 1) / 4 AS c_acctbal FROM customer", lambda t: ((IndexedFrame(t.customer.select("c_custkey", "c_acctbal"), "c_custkey") * 2 - 1) / 4).df)
+register(
+    "frame_operator_frames",
+    f"SELECT c_custkey, round(a.c_acctbal + b.c_acctbal, 2) AS c_acctbal FROM (SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 2000) a FULL JOIN (SELECT c_custkey, spent AS c_acctbal FROM ({_SPEND})) b USING (c_custkey)",
+    lambda t: (IndexedFrame(t.customer.filter("c_acctbal > 2000").select("c_custkey", "c_acctbal"), "c_custkey") + IndexedFrame(_spend(t).df.withColumnRenamed("spent", "c_acctbal"), "c_custkey")).df.withColumn("c_acctbal", _r("c_acctbal", 2)),
+)
 
 # -- extensions ------------------------------------------------------------------------------------
 register("drop_rename", "SELECT n_nationkey AS k, n_name FROM nation", lambda t: ex.rename(ex.drop(t.nation, ["n_regionkey"]), {"n_nationkey": "k"}))
@@ -255,6 +361,15 @@ register("corr_cov", "SELECT round(corr(l_quantity, l_extendedprice), 6) AS c, r
 register("idxmax", "SELECT arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS v FROM orders", lambda t: ex.idxmax(t.orders, "o_totalprice", "o_orderkey").toDF("v"))
 for _n, _sql in (("cumsum", "round(sum(o_totalprice) OVER w, 2)"), ("cummax", "max(o_totalprice) OVER w"), ("cumcount", "count(*) OVER w - 1"), ("shift", "lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)"), ("diff", "round(o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 4)"), ("rolling_sum", "round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2)")):
     register(_n, f"SELECT o_orderkey, {_sql} AS v FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)", lambda t, h=_n: t.orders.select("o_orderkey", (_r(c, 4 if h == "diff" else 2) if h in ("cumsum", "diff", "rolling_sum") else c).alias("v")) if (c := ex.running(h, "o_totalprice", "o_orderkey", "o_custkey")) is not None else None)
+for _n, _sql in (("cummin", "min(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)"), ("rolling_mean", "round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4)")):
+    register(_n, f"SELECT o_orderkey, {_sql} AS v FROM orders", lambda t, h=_n: t.orders.select("o_orderkey", ex.running(h, "o_totalprice", "o_orderkey", "o_custkey").alias("v")).withColumn("v", _r("v", 4) if h == "rolling_mean" else F.col("v")))
+register("idxmin", "SELECT arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS v FROM orders", lambda t: ex.idxmin(t.orders, "o_totalprice", "o_orderkey").toDF("v"))
+register("idxmax_text_label", "SELECT min(c_name) AS v FROM customer WHERE c_nationkey = (SELECT max(c_nationkey) FROM customer)", lambda t: ex.idxmax(t.customer, "c_nationkey", "c_name").toDF("v"))
+register("mask", "SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN NULL ELSE s_acctbal END AS v FROM supplier", lambda t: t.supplier.select("s_suppkey", ex.mask("s_acctbal", F.col("s_acctbal") > 0).alias("v")))
+register("prod", "SELECT o_orderstatus, round(product(1 + o_totalprice / 1e9), 4) AS v FROM orders GROUP BY 1", lambda t: t.orders.withColumn("x", 1 + F.col("o_totalprice") / 1e9).groupBy("o_orderstatus").agg(_r(ex.prod("x")).alias("v")))
+register("group_size", "SELECT nullif(o_orderstatus, 'F') AS s, count(*) AS size FROM orders GROUP BY 1", lambda t: ex.size(t.orders.select(F.expr("nullif(o_orderstatus, 'F')").alias("s")), "s"))
+register("group_first_last", "SELECT o_custkey, arg_min(o_totalprice, o_orderkey) AS o_totalprice_first, arg_max(o_totalprice, o_orderkey) AS o_totalprice_last FROM orders GROUP BY 1", lambda t: ex.first_last(t.orders, "o_custkey", "o_totalprice", "o_orderkey"))
+register("except_all", "SELECT o_custkey AS k FROM orders EXCEPT ALL SELECT c_custkey FROM customer", lambda t: ex.except_all(t.orders.select(F.col("o_custkey").alias("k")), t.customer.select(F.col("c_custkey").alias("k"))))
 register("tail", "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 5", lambda t: ex.tail(IndexedFrame(t.orders.select("o_orderkey"), "o_orderkey"), 5))
 register("intersect", "SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)", lambda t: t.orders.select(F.col("o_custkey").alias("k")).intersect(t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("k"))))
 register("union_distinct", "SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer", lambda t: od.concat([t.orders.select(F.col("o_custkey").alias("k")), t.customer.select(F.col("c_custkey").alias("k"))]).distinct())

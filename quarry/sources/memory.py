@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quarry.functions.accessors import with_categories
+from quarry.operators.held import free, held
 
 
 def from_pandas(spark: SparkSession, pdf: pd.DataFrame | pd.Series, *, npartitions: int | None = None, chunksize: int | None = None, index: str | None = None) -> DataFrame:
@@ -25,6 +26,7 @@ def from_pandas(spark: SparkSession, pdf: pd.DataFrame | pd.Series, *, npartitio
         pdf = pdf.rename_axis(index or pdf.index.name or "index").reset_index()
     categories = {c: pdf[c].cat for c in pdf.columns if isinstance(pdf[c].dtype, pd.CategoricalDtype)}
     own = pdf.astype({c: object for c in categories})
+    own = own.astype({c: float for c in own.columns if own[c].dtype == object and pd.api.types.infer_dtype(own[c], skipna=True) == "mixed-integer-float"})
     if len(own):
         inferred = spark.createDataFrame(own).schema if len(own.columns) else T.StructType()
         schema = T.StructType([T.StructField(f.name, T.TimestampNTZType() if isinstance(f.dataType, T.TimestampType) and own[f.name].dt.tz is None else f.dataType) for f in inferred])
@@ -73,8 +75,10 @@ def from_parts(spark: SparkSession, parts: Sequence[DataFrame | Callable[[], pd.
 
 
 def to_parts(df: DataFrame) -> list[DataFrame]:
-    """One frame for each partition, still lazy."""
-    return [df.filter(F.spark_partition_id() == k) for k in range(npartitions(df))]
+    """One frame for each partition. The rows are held in the checkpoint folder first, so that the plan runs once."""
+    part = free(df, "_part")
+    rows = held(df.withColumn(part, F.spark_partition_id()))
+    return [rows.filter(F.col(part) == k).drop(part) for k in range(npartitions(rows))]
 
 
 def npartitions(df: DataFrame) -> int:
