@@ -16,14 +16,13 @@ NOT_SPACE = r"[^\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
-#: metric: (numerator, denominator, scale, slack, whether low values are rejected too)
+#: metric: (numerator, denominator, scale, lower and upper quantile per mille, fence, whether low values are rejected too).
+#: Values are kept up to ``fence`` distances of the two quantiles beyond the upper one (and the lower one).
 METRICS = {
-    "symbols": ("n_symbols", "word_chars", 1000, 30, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 600, False),
-    "word_length": ("word_chars", "n_words", 100, 100, True),
+    "symbols": ("n_symbols", "word_chars", 1000, 500, 900, 3, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 500, 990, 1, False),
+    "word_length": ("word_chars", "n_words", 100, 250, 750, 5, True),
 }
-#: Fences lie this many quartile distances, and the metric's slack, beyond the quartiles.
-FENCE = 3
 #: Groups with fewer documents take the sketch of their language, and such languages that of all documents.
 LEAST_DOCS = 100
 #: Up to so many groups (about 100 bytes each), cut-offs are broadcast; beyond, rows are salted and shuffled.
@@ -83,8 +82,13 @@ def bucket_value(b: Column) -> Column:
     return F.when(b < 64, b).otherwise(F.call_function("shiftleft", b % 64, F.floor(b / 64).cast("int")))
 
 
+def bucket_end(b: Column) -> Column:
+    """The largest value of a bucket."""
+    return bucket_value(b) + F.when(b < 64, 0).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.floor(b / 64).cast("int")) - 1)
+
+
 def _metric(name: str) -> Column:
-    num, den, scale, _, _ = METRICS[name]
+    num, den, scale, *_ = METRICS[name]
     return F.floor(F.col(num) * scale / F.greatest(F.col(den), F.lit(1))).cast("long")
 
 
@@ -101,11 +105,11 @@ def cutoffs(sketch: DataFrame) -> DataFrame:
     merged = merged.select(level.alias("level"), "_lang", "_source", "metric", "bucket", "n")
     w = Window.partitionBy("level", "_lang", "_source", "metric")  # at most some hundred buckets each
     ranked = merged.withColumns({"upto": F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(w)})
-    quartile = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("total"), bucket_value(F.col("bucket"))))
-    fences = ranked.groupBy("level", "_lang", "_source", "metric").agg(quartile(1).alias("q1"), quartile(3).alias("q3"), F.max("total").alias("total"))
-    slack = F.create_map(*[F.lit(x) for m in METRICS for x in (m, METRICS[m][3])])[F.col("metric")]
-    spread = F.col("q3") - F.col("q1")
-    fences = fences.select("level", "_lang", "_source", "metric", "total", (F.col("q1") - FENCE * spread - slack).alias("lo"), (F.col("q3") + FENCE * spread + slack).alias("hi"))
+    of_metric = lambda k: F.create_map(*[F.lit(x) for m in METRICS for x in (m, METRICS[m][k])])[F.col("metric")]
+    quantile = lambda k: F.min(F.when(1000 * F.col("upto") >= of_metric(k) * F.col("total"), F.col("bucket")))
+    fences = ranked.groupBy("level", "_lang", "_source", "metric").agg(quantile(3).alias("low"), quantile(4).alias("up"), F.max("total").alias("total"))
+    reach = of_metric(5) * (bucket_value(F.col("up")) - bucket_value(F.col("low")))
+    fences = fences.select("level", "_lang", "_source", "metric", "total", (bucket_value(F.col("low")) - reach).alias("lo"), (bucket_end(F.col("up")) + reach).alias("hi"))
     wide = fences.groupBy("level", "_lang", "_source").agg(F.max("total").alias("docs"), *[F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{m}_{side}") for m in METRICS for side in ("lo", "hi")])
     names = [f"{m}_{side}" for m in METRICS for side in ("lo", "hi")]
     own = wide.filter("level = 0")
@@ -138,6 +142,6 @@ def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
         salted = limits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = scored.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, ["_lang", "_source", "_salt"], "left").drop("_salt")
     inside = ~F.col("base_failed")
-    for m, (_, _, _, _, both) in METRICS.items():
+    for m, (*_, both) in METRICS.items():
         inside &= (_metric(m) <= F.col(f"{m}_hi")) & ((_metric(m) >= F.col(f"{m}_lo")) if both else F.lit(True))
     return joined.withColumn("kept", F.coalesce(inside, F.lit(False))).drop("_lang", "_source", *[f"{m}_{s}" for m in METRICS for s in ("lo", "hi")])

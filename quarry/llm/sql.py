@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from quarry.llm import lines, quality
 
-_METRIC = {m: f"{num} * {scale} // greatest({den}, 1)" for m, (num, den, scale, _, _) in quality.METRICS.items()}
+_METRIC = {m: f"{num} * {scale} // greatest({den}, 1)" for m, (num, den, scale, *_) in quality.METRICS.items()}
 
 
 def _quality() -> str:
     each = " UNION ALL ".join(f"SELECT lang_k, source_k, '{m}' AS metric, {e} AS v FROM scored WHERE NOT base_failed" for m, e in _METRIC.items())
-    slack = "CASE metric " + " ".join(f"WHEN '{m}' THEN {x[3]}" for m, x in quality.METRICS.items()) + " END"
+    low, up, fence = ("CASE metric " + " ".join(f"WHEN '{m}' THEN {x[k]}" for m, x in quality.METRICS.items()) + " END" for k in (3, 4, 5))
     sides = [f"{m}_{s}" for m in quality.METRICS for s in ("lo", "hi")]
     wide = ", ".join(f"max(CASE WHEN metric = '{m}' THEN {s} END) AS {m}_{s}" for m in quality.METRICS for s in ("lo", "hi"))
     pick = ", ".join(f"CASE WHEN o.docs >= {quality.LEAST_DOCS} THEN o.{c} WHEN l.docs >= {quality.LEAST_DOCS} THEN l.{c} ELSE a.{c} END AS {c}" for c in sides)
-    inside = " AND ".join(f"{_METRIC[m]} <= {m}_hi" + (f" AND {_METRIC[m]} >= {m}_lo" if x[4] else "") for m, x in quality.METRICS.items())
+    inside = " AND ".join(f"{_METRIC[m]} <= {m}_hi" + (f" AND {_METRIC[m]} >= {m}_lo" if x[6] else "") for m, x in quality.METRICS.items())
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang_k, coalesce(source, '') AS source_k FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
@@ -29,8 +29,8 @@ b AS (SELECT *, CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)) << (len
 s AS (SELECT 0 AS level, lang_k, source_k, metric, q, count(*) AS n FROM b GROUP BY ALL
   UNION ALL SELECT 1, lang_k, '', metric, q, count(*) FROM b GROUP BY ALL UNION ALL SELECT 2, '', '', metric, q, count(*) FROM b GROUP BY ALL),
 c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang_k, source_k, metric ORDER BY q) AS upto, sum(n) OVER (PARTITION BY level, lang_k, source_k, metric) AS total FROM s),
-f AS (SELECT level, lang_k, source_k, metric, max(total) AS total, min(CASE WHEN 4 * upto >= total THEN q END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN q END) AS q3 FROM c GROUP BY ALL),
-g AS (SELECT level, lang_k, source_k, metric, total, q1 - {quality.FENCE} * (q3 - q1) - {slack} AS lo, q3 + {quality.FENCE} * (q3 - q1) + {slack} AS hi FROM f),
+f AS (SELECT level, lang_k, source_k, metric, max(total) AS total, min(CASE WHEN 1000 * upto >= {low} * total THEN q END) AS lq, min(CASE WHEN 1000 * upto >= {up} * total THEN q END) AS uq FROM c GROUP BY ALL),
+g AS (SELECT level, lang_k, source_k, metric, total, lq - {fence} * (uq - lq) AS lo, uq + (1 << greatest(length(bin(uq)) - 6, 0)) - 1 + {fence} * (uq - lq) AS hi FROM f),
 wide AS (SELECT level, lang_k, source_k, max(total) AS docs, {wide} FROM g GROUP BY ALL),
 cut AS (SELECT o.lang_k, o.source_k, {pick} FROM wide o LEFT JOIN wide l ON l.level = 1 AND l.lang_k = o.lang_k JOIN wide a ON a.level = 2 WHERE o.level = 0)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(NOT base_failed AND {inside}, FALSE) AS kept
