@@ -100,11 +100,15 @@ def removal_spans(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, id
     """
     scratch = Scratch(docs.sparkSession)
     rows = winnow.keyed(docs, id_col, text_col)
-    told, some = winnow.candidates(rows, scratch, _first_pass(window, gram), "n_words", lambda i: F.min(i) < F.max(i))
+    told, some, _ = winnow.candidates(rows, scratch, _first_pass(window, gram), "n_words", lambda i: F.min(i) < F.max(i))
     windows = scratch.keep(some.mapInPandas(_windows(window, gram), "doc_id long, key long, start int, h long, g int"), "windows")
-    least = windows.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h", "g", "lo")
-    gone = scratch.keep(windows.join(least, ["h", "g"]).filter("doc_id > lo").groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts")), "gone")
-    scratch.drop("windows")
+    least = lambda rows: rows.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h", "g", "lo")
+    light, hot = winnow.apart(windows, "h", scratch, "heavy-windows")
+    later = light.join(least(light), ["h", "g"])
+    if hot is not None:
+        later = later.unionByName(hot.join(F.broadcast(least(hot)), ["h", "g"]))
+    gone = scratch.keep(later.filter("doc_id > lo").groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts")), "gone")
+    scratch.drop("windows", "heavy-windows")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in tidied(batches):
@@ -116,7 +120,7 @@ def removal_spans(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, id
                 shas.append(_sha([w for w, x in zip(words, out.tolist(), strict=True) if not x]))
             yield pd.DataFrame({"_id": pdf["doc_id"], "_key": pdf["key"], "spans": spans, "cut_sha": shas})
 
-    changed = some.select("doc_id", "key", "z").join(gone, ["doc_id", "key"]).mapInPandas(cut, "_id long, _key long, spans array<struct<start:int,end:int>>, cut_sha string").dropDuplicates(["_id", "_key"])
+    changed = some.select("doc_id", "key", "z").join(gone, ["doc_id", "key"]).mapInPandas(cut, "_id long, _key long, spans array<struct<start:int,end:int>>, cut_sha string")
     out = told.join(changed, (told["key"] == changed["_key"]) & told["doc_id"].eqNullSafe(changed["_id"]), "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
     return scratch.finish(out.select("doc_id", "key", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("cut_sha", "sha").alias("kept_sha256")))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm import winnow
-from quarry.llm.common import Scratch, tidied
+from quarry.llm.common import Scratch, parts_for, tidied
 
 WINDOW = 200
 GRAM = 64
@@ -28,8 +28,10 @@ PERIOD = 32
 RUN = 512
 #: Bytes of contexts that are sorted at once.
 BLOCK = 1_500_000
-#: A bucket with more different contexts than this is resolved by its windows' hashes, dealt over all tasks.
+#: A bucket with more different contexts than this is split by further bytes, and its parts are sorted.
 HOT_CONTEXTS = 20_000
+#: Into how many more stretches of a window each split tells the places of the fingerprint apart.
+STEP = 4
 #: Hashes of the byte values.
 _BYTE = winnow.mixed(np.arange(1, 257, dtype=np.uint64) * winnow.BASE)
 
@@ -184,15 +186,15 @@ def _anchors(contexts: list[bytes], prints: np.ndarray, gram: int) -> np.ndarray
 
 
 def _sorted_blocks(window: int, gram: int):
-    """Sorted rows (print, name, bytes, n) to the runs of repeated windows of each context, a block at a time."""
+    """Sorted rows (bucket, print, name, bytes, n) to the runs of repeated windows of each context, a block at a time."""
 
     def solve(rows: list[tuple]) -> pd.DataFrame:
-        contexts, prints = [r[2] for r in rows], np.array([r[0] for r in rows], np.int64)
+        contexts, prints = [r[2] for r in rows], np.array([r[4] for r in rows], np.int64)
         block = Block(contexts, _anchors(contexts, prints, gram), window)
         counts = np.array([len(c) - window + 1 for c in contexts])
         owner = np.repeat(np.arange(len(rows)), counts)
         offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        bucket = np.unique(prints, return_inverse=True)[1]
+        bucket = np.unique(np.array([r[0] for r in rows], np.int64), return_inverse=True)[1]
         hit = block.repeated(block.begin[owner] + offset, bucket[owner])
         hit &= np.array([r[3] for r in rows])[owner] == 1  # copies of a context are repeats as a whole
         first = np.flatnonzero(hit & np.concatenate(([True], ~hit[:-1] | (offset[1:] == 0))))
@@ -212,7 +214,7 @@ def _sorted_blocks(window: int, gram: int):
                 sizes.append(sum(len(r[2]) for r in bucket))
 
         for pdf in tidied(batches):
-            for row in zip(pdf["print"], pdf["name"], pdf["bytes"], pdf["n"], strict=True):
+            for row in zip(pdf["bucket"], pdf["name"], pdf["bytes"], pdf["n"], pdf["print"], strict=True):
                 if last and row[0] != last[0][0]:
                     hold(last)
                     last = []
@@ -229,16 +231,72 @@ def _sorted_blocks(window: int, gram: int):
     return run
 
 
-def _window_hashes(window: int):
+PIECES = "print long, top binary, start int, bucket long, name binary, bytes binary, n int"
+
+
+def _split(window: int, gram: int, parts: int):
+    """Contexts to pieces of neighbouring windows whose fingerprint stands in one of ``parts`` stretches of the window.
+
+    Equal windows have their fingerprint's first gram in one place, so they are in pieces of one
+    stretch, and agree in the bytes around it that all windows of the stretch have: these
+    bytes name the bucket. Rows (print, top, start, bytes, n), where ``bytes`` begin ``start`` windows into context ``top``.
+    """
+    places = window - gram + 1
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in tidied(batches):
-            for name, context, n in zip(pdf["name"], pdf["bytes"], pdf["n"], strict=True):
-                at = range(len(context) - window + 1)
-                yield pd.DataFrame({"name": name, "a": np.arange(len(at), dtype=np.int32), "w": [xxhash.xxh3_128_digest(context[k : k + window]) for k in at], "n": n})
+            out = []
+            for own, top, start, context, n in zip(pdf["print"], pdf["top"], pdf["start"], pdf["bytes"], pdf["n"], strict=True):
+                h = winnow.mixed(winnow.Rolling(_BYTE[np.frombuffer(context, np.uint8)]).windows(gram)).view(np.int64)
+                there, offsets = np.flatnonzero(h == own), np.arange(len(context) - window + 1)
+                at = there[np.searchsorted(there, offsets)]
+                part = (at - offsets) * parts // places
+                first = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (at[1:] != at[:-1]))))
+                for a, b in zip(first.tolist(), [*first[1:].tolist(), len(offsets)], strict=True):
+                    k, p = int(part[a]), int(at[a])
+                    low, high = -(-k * places // parts), -(-(k + 1) * places // parts) - 1  # the fingerprint's places in the stretch
+                    shared, piece = context[p - low : p + window - high], context[a : b + window - 1]
+                    out.append((own, top, start + a, xxhash.xxh3_64_intdigest(shared, k) - 2**63, xxhash.xxh3_128_digest(piece), piece, n))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
 
     return run
 
 
+RUNS = "name binary, a int, b int"
+
+
+def repeated_runs(contexts: DataFrame, scratch: Scratch, window: int, gram: int) -> DataFrame:
+    """(name, a, b): windows a to b, end exclusive, of a context (print, name, bytes, n) repeat in another context with its print or in itself.
+
+    A bucket of too many contexts is split by the bytes around the fingerprint, again and again
+    if need be; in the last split all windows of a bucket are equal, so that they are one context.
+    """
+
+    def hot_of(rows: DataFrame, name: str) -> DataFrame:
+        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("contexts"))
+        return scratch.keep(sizes.filter(F.col("contexts") > HOT_CONTEXTS).select("bucket"), name)
+
+    def solved(rows: DataFrame, hot: DataFrame) -> DataFrame:
+        plain = rows.join(hot, "bucket", "left_anti").repartition(parts_for(rows), "bucket").sortWithinPartitions("bucket", "name")
+        return plain.select("bucket", "print", "name", "bytes", "n").mapInPandas(_sorted_blocks(window, gram), RUNS)
+
+    rows = contexts.withColumn("bucket", F.col("print"))
+    hot, parts, places = hot_of(rows, "hot"), 1, window - gram + 1
+    out = solved(rows, hot)
+    left = rows.join(hot, "bucket", "left_semi").select("print", F.col("name").alias("top"), F.lit(0).alias("start"), "bytes", "n")
+    while not hot.isEmpty():
+        parts = min(STEP * parts, places)
+        pieces = scratch.keep(left.mapInPandas(_split(window, gram, parts), PIECES), f"pieces-{parts}")
+        rows = scratch.keep(pieces.groupBy("bucket", "name").agg(F.sum("n").cast("int").alias("n"), F.first("print").alias("print"), F.first("bytes").alias("bytes")), f"named-{parts}")
+        hot = hot_of(rows, f"hot-{parts}")
+        whole = rows.filter("n > 1").select("name", F.lit(0).alias("a"), (F.octet_length("bytes") - (window - 1)).alias("b"))
+        runs = scratch.keep(solved(rows, hot).unionByName(whole).groupBy("name").agg(F.collect_list(F.struct("a", "b")).alias("runs")), f"runs-{parts}")
+        back = pieces.select("name", "top", "start").join(runs, "name").select("top", "start", F.explode("runs").alias("r"))
+        out = out.unionByName(back.select(F.col("top").alias("name"), (F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b")).alias("b")))
+        left = pieces.join(hot, "bucket", "left_semi").select("print", "top", "start", "bytes", "n")
+    return out
+
+
 def removal_spans(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, key, n_bytes, spans (byte positions, end exclusive) and kept_sha256.
 
@@ -248,27 +306,22 @@ def removal_spans(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, id
     """
     scratch = Scratch(docs.sparkSession)
     rows = winnow.keyed(docs, id_col, text_col)
-    told, some = winnow.candidates(rows, scratch, _first_pass(window, gram), "n_bytes", lambda i: F.count(F.lit(1)) > 1)
+    told, some, copied = winnow.candidates(rows, scratch, _first_pass(window, gram), "n_bytes", lambda i: F.count(F.lit(1)) > 1)
     # copies of whole rows: all their windows repeat
-    copies = told.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("doc_id", "key", F.array(F.struct(F.lit(0).alias("a"), F.lit(-1).alias("b"))).alias("runs"))
+    copies = copied.select("doc_id", "key", F.array(F.struct(F.lit(0).alias("a"), F.lit(-1).alias("b"))).alias("runs"))
     places = scratch.keep(some.mapInPandas(_places(window, gram), "doc_id long, key long, start int, windows int, print long, name binary"), "places")
     first = F.min(F.struct("doc_id", "key", "start", "windows", "print")).alias("x")
     names = scratch.keep(places.groupBy("name").agg(first, F.count(F.lit(1)).cast("int").alias("n")).select("name", "n", "x.*"), "names")
     # contexts are needed of buckets with several, or with one that may repeat a window within itself
     sizes = names.groupBy("print").agg(F.count(F.lit(1)).alias("contexts"), F.max("n").alias("most"), F.max("windows").alias("windows"))
-    needed = sizes.filter("contexts > 1 OR (most = 1 AND windows > 1)").select("print")
+    needed = scratch.keep(sizes.filter("contexts > 1 OR (most = 1 AND windows > 1)").select("print"), "needed")
     wanted = names.join(needed, "print").groupBy("doc_id", "key").agg(F.collect_list(F.struct("print", "name", "start", "windows", "n")).alias("wanted"))
     texts = some.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "z")
     of_row = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     contexts = scratch.keep(texts.join(wanted, of_row).select("z", "wanted").mapInPandas(_cut_out(window), "print long, name binary, bytes binary, n int"), "contexts")
-    hot = scratch.keep(sizes.filter(F.col("contexts") > HOT_CONTEXTS).select("print"), "hot")
-    plain = contexts.join(hot, "print", "left_anti").repartition("print").sortWithinPartitions("print", "name")
-    runs = plain.select("print", "name", "bytes", "n").mapInPandas(_sorted_blocks(window, gram), "name binary, a int, b int")
-    each = contexts.join(hot, "print", "left_semi").mapInPandas(_window_hashes(window), "name binary, a int, w binary, n int")
-    again = each.groupBy("w").agg(F.sum("n").alias("times")).filter("times > 1").select("w")
-    hot_runs = each.join(again, "w", "left_semi").select("name", "a", (F.col("a") + 1).alias("b"))
+    runs = repeated_runs(contexts, scratch, window, gram)
     whole = names.filter("n > 1").select("name", F.lit(0).alias("a"), F.col("windows").alias("b"))
-    repeats = scratch.keep(runs.unionByName(hot_runs).unionByName(whole).groupBy("name").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "repeats")
+    repeats = scratch.keep(runs.unionByName(whole).groupBy("name").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "repeats")
     gone = places.join(repeats, "name").select("doc_id", "key", F.transform("runs", lambda r: F.struct((F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"]).alias("b"))).alias("runs"))
     gone = gone.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("runs")).alias("runs")).unionByName(copies)
     gone = scratch.keep(gone.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("runs")).alias("runs")), "gone")
@@ -290,7 +343,7 @@ def removal_spans(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, id
                 shas.append(digest.hexdigest())
             yield pd.DataFrame({"_id": pdf["doc_id"], "_key": pdf["key"], "spans": spans, "cut_sha": shas})
 
-    changed = texts.join(gone, of_row).select("doc_id", "key", "z", "runs").mapInPandas(cut, "_id long, _key long, spans array<struct<start:int,end:int>>, cut_sha string").dropDuplicates(["_id", "_key"])
+    changed = texts.join(gone, of_row).select("doc_id", "key", "z", "runs").mapInPandas(cut, "_id long, _key long, spans array<struct<start:int,end:int>>, cut_sha string")
     out = told.join(changed, (told["key"] == changed["_key"]) & told["doc_id"].eqNullSafe(changed["_id"]), "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
     return scratch.finish(out.select("doc_id", "key", "n_bytes", F.coalesce("spans", none).alias("spans"), F.coalesce("cut_sha", "sha").alias("kept_sha256")))

@@ -142,26 +142,76 @@ def unzipped(column) -> list[bytes]:
     return [unpack(z) if z is not None else b"" for z in column]
 
 
-def candidates(docs: DataFrame, scratch: Scratch, first_pass: Callable, count_name: str, repeated) -> tuple[DataFrame, DataFrame]:
+#: A value that more than one row in so many has is heavy. There are at most twice as many such values.
+HEAVY = 1000
+
+
+def _frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Values that may be heavy with lower bounds of their counts, after Misra and Gries; and the number of rows."""
+    values, counts, rows = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    for pdf in tidied(batches):
+        rows += len(pdf)
+        own, n = np.unique(pdf["v"].to_numpy(np.int64), return_counts=True)
+        values, where = np.unique(np.concatenate((values, own)), return_inverse=True)
+        counts = np.bincount(where, np.concatenate((counts, n)), len(values)).astype(np.int64)
+        if len(values) > 2 * HEAVY:
+            counts -= np.partition(counts, -2 * HEAVY - 1)[-2 * HEAVY - 1]
+            values, counts = values[counts > 0], counts[counts > 0]
+    if rows:
+        yield pd.DataFrame({"v": [*values.tolist(), None], "n": [*counts.tolist(), rows]}, dtype="Int64")
+
+
+def apart(rows: DataFrame, column: str, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` without and with heavy values of ``column``; the latter None if there are none.
+
+    A task keeps at most 2 * HEAVY counters, and what it takes from each is less than one row in
+    2 * HEAVY. So a heavy value is left with at least as many rows, and no more than 2 * HEAVY values can
+    be: the list is broadcast.
+    """
+    found = rows.select(F.col(column).alias("v")).mapInPandas(_frequent, "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
+    found = scratch.keep(found, name)
+    total = found.filter("v IS NULL").agg(F.sum("n")).first()[0] or 0
+    heavy = found.filter((F.col("v").isNotNull()) & (F.col("n") > total / (2 * HEAVY))).select(F.col("v").alias(column))
+    if total < 100 * HEAVY or heavy.isEmpty():
+        return rows, None
+    return rows.join(F.broadcast(heavy), column, "left_anti"), rows.join(F.broadcast(heavy), column, "left_semi")
+
+
+def once(rows: DataFrame, copied: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, key, ...) with one of those that are in ``copied`` (doc_id, key) more than once."""
+    if copied.isEmpty():
+        return rows
+    other = copied.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    same = (rows["key"] == other["_key"]) & rows["doc_id"].eqNullSafe(other["_id"])
+    return rows.join(other, same, "left_anti").unionByName(rows.join(other, same, "left_semi").dropDuplicates(["doc_id", "key"]))
+
+
+def candidates(docs: DataFrame, scratch: Scratch, first_pass: Callable, count_name: str, repeated) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents with a fingerprint that was found again.
 
     ``first_pass`` maps batches of (doc_id, text, key) to (doc_id, key, <count_name>, sha,
     prints); ``repeated`` tells from the ids that a fingerprint has, as an aggregate,
     whether it is one of those. Returns what the first pass told of every document, and (doc_id,
     key, z, prints) of the documents in question: z as ``unzipped`` takes it, prints being
-    those found again.
+    those found again. A row that is there several times is there once in the latter; (doc_id, key) of
+    such rows come last.
     """
     schema = f"doc_id long, key long, {count_name} long, sha string, prints array<long>"
     told = scratch.keep(docs.mapInPandas(first_pass, schema), "prints")
+    copied = scratch.keep(told.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("doc_id", "key"), "copied")
     each = told.select("doc_id", "key", F.explode("prints").alias("print"))
-    again = each.groupBy("print").agg(repeated(F.col("doc_id")).alias("again")).filter("again").select("print")
+    again = lambda rows: rows.groupBy("print").agg(repeated(F.col("doc_id")).alias("again")).filter("again").select("print")
+    light, hot = apart(each, "print", scratch, "heavy-prints")
+    found = light.select("key", "print").join(again(light), "print")
+    if hot is not None:
+        found = found.unionByName(hot.select("key", "print").join(F.broadcast(again(hot)), "print"))
     # should two keys ever agree, a document gets prints of another one: they find nothing in it
-    found = each.select("key", "print").join(again, "print").groupBy("key").agg(F.collect_set("print").alias("prints"))
+    found = found.groupBy("key").agg(F.collect_set("print").alias("prints"))
     texts = docs.select("doc_id", "text", "key").mapInPandas(_zip, "doc_id long, key long, z binary")
-    some = scratch.keep(texts.join(found, "key"), "candidates").select("doc_id", "key", "z", "prints")
+    some = scratch.keep(once(texts.join(found, "key"), copied), "candidates").select("doc_id", "key", "z", "prints")
     slim = scratch.keep(told.drop("prints"), "told")
-    scratch.drop("prints")
-    return slim, some
+    scratch.drop("prints", "heavy-prints")
+    return slim, some, copied
 
 
 def spans_of(covered: np.ndarray) -> np.ndarray:

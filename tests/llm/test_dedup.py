@@ -41,11 +41,46 @@ def test_suffixes(docs, rows, window, gram):
 
 
 def test_hot_buckets_and_small_blocks(docs, rows, monkeypatch):
-    monkeypatch.setattr(suffixes, "HOT_CONTEXTS", 2)
+    monkeypatch.setattr(suffixes, "HOT_CONTEXTS", 1)
     got = suffixes.removal_spans(docs, window=60, gram=20).collect()
     assert Counter((r["doc_id"], r["n_bytes"], spans(r), r["kept_sha256"]) for r in got) == brute.suffixes(rows, 60)
 
 
+def test_a_bucket_of_50000_contexts_and_a_row_of_10000_copies(spark):
+    """All documents hold the gram with the least hash of many, between bytes of their own or of a few kinds."""
+    rng = np.random.default_rng(8)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    draw = lambda n: letters[rng.integers(0, 26, n)].tobytes().decode()
+    many = np.frombuffer(draw(400_000).encode(), np.uint8)
+    least = int(winnow.mixed(winnow.Rolling(suffixes._BYTE[many]).windows(64)).argmin())
+    gram = many[least : least + 64].tobytes().decode()
+    sides = [(draw(75), draw(75)) for _ in range(200)]
+    rows = []
+    for k in range(50_000):
+        left, right = sides[k % 200]
+        kind = k % 5
+        rows.append((k, (left if kind == 1 else draw(75)) + gram + (right if kind == 2 else draw(75)) + ("" if kind else draw(3))))
+    rows += [(60_000 + k, sides[k][0] + gram + sides[k][1]) for k in range(50)]
+    rows += [(70_000, "x" + rows[7][1][:205])] * 10_000 + [(70_001, draw(300))] * 3
+    got = suffixes.removal_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], spans(r), r["kept_sha256"]) for r in got) == brute.suffixes(rows, 200)
+
+
+def test_heavy_values(spark, monkeypatch, tmp_path):
+    from quarry.llm.common import Scratch
+
+    monkeypatch.setattr(winnow, "HEAVY", 10)
+    values = [7] * 900 + [8] * 300 + list(range(100, 1900))
+    random.Random(1).shuffle(values)
+    df = spark.createDataFrame([(v,) for v in values], "x long").repartition(5)
+    light, hot = winnow.apart(df, "x", Scratch(spark), "heavy")
+    assert Counter(r[0] for r in hot.collect()) == {7: 900, 8: 300} and light.count() == 1800
+    assert winnow.apart(df.filter("x > 99"), "x", Scratch(spark), "heavy")[1] is None
+    rows = [(k, " ".join(f"w{j}" for j in range(60)) + f" own{k}") for k in range(30)] + [(40, "w1 " * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r["doc_id"], r["n_words"], spans(r), r["kept_sha256"]) for r in substrings.removal_spans(docs, window=20, gram=5).collect()) == brute.substrings(rows, 20)
+
+
 def test_bytes_are_removed(docs, rows):
     found = suffixes.removal_spans(docs)
     got = Counter((r["doc_id"], brute.sha(bytes(r["text"]))) for r in suffixes.remove_bytes(docs, found).collect())
