@@ -103,10 +103,7 @@ def removal_spans(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, id
     told, some, _ = winnow.candidates(rows, scratch, _first_pass(window, gram), "n_words", lambda i: F.min(i) < F.max(i))
     windows = scratch.keep(some.mapInPandas(_windows(window, gram), "doc_id long, key long, start int, h long, g int"), "windows")
     least = lambda rows: rows.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h", "g", "lo")
-    light, hot = winnow.apart(windows, "h", scratch, "heavy-windows")
-    later = light.join(least(light), ["h", "g"])
-    if hot is not None:
-        later = later.unionByName(hot.join(F.broadcast(least(hot)), ["h", "g"]))
+    later = winnow.spread_join(windows, least(windows), ["h", "g"], "h", winnow.heavy(windows, "h", scratch, "heavy-windows"), "key", "start")
     gone = scratch.keep(later.filter("doc_id > lo").groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts")), "gone")
     scratch.drop("windows", "heavy-windows")
 

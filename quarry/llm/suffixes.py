@@ -29,7 +29,7 @@ RUN = 512
 #: Bytes of contexts that are sorted at once.
 BLOCK = 1_500_000
 #: A bucket with more different contexts than this is split by further bytes, and its parts are sorted.
-HOT_CONTEXTS = 20_000
+HOT_CONTEXTS = 1_000
 #: Into how many more stretches of a window each split tells the places of the fingerprint apart.
 STEP = 4
 #: Hashes of the byte values.

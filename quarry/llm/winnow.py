@@ -15,13 +15,13 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import Scratch, tidied
+from quarry.llm.common import Scratch, parts_for, tidied
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: Units (words or bytes) that are hashed at once.
-UNITS = 1_500_000
+UNITS = 1_000_000
 
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -142,39 +142,52 @@ def unzipped(column) -> list[bytes]:
     return [unpack(z) if z is not None else b"" for z in column]
 
 
-#: A value that more than one row in so many has is heavy. There are at most twice as many such values.
+#: A value that more than one row in so many has is heavy, if there are so many tasks that it matters.
 HEAVY = 1000
 
 
-def _frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Values that may be heavy with lower bounds of their counts, after Misra and Gries; and the number of rows."""
-    values, counts, rows = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-    for pdf in tidied(batches):
-        rows += len(pdf)
-        own, n = np.unique(pdf["v"].to_numpy(np.int64), return_counts=True)
-        values, where = np.unique(np.concatenate((values, own)), return_inverse=True)
-        counts = np.bincount(where, np.concatenate((counts, n)), len(values)).astype(np.int64)
-        if len(values) > 2 * HEAVY:
-            counts -= np.partition(counts, -2 * HEAVY - 1)[-2 * HEAVY - 1]
-            values, counts = values[counts > 0], counts[counts > 0]
-    if rows:
-        yield pd.DataFrame({"v": [*values.tolist(), None], "n": [*counts.tolist(), rows]}, dtype="Int64")
-
-
-def apart(rows: DataFrame, column: str, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame | None]:
-    """``rows`` without and with heavy values of ``column``; the latter None if there are none.
-
-    A task keeps at most 2 * HEAVY counters, and what it takes from each is less than one row in
-    2 * HEAVY. So a heavy value is left with at least as many rows, and no more than 2 * HEAVY values can
-    be: the list is broadcast.
+def _frequent(most: int):
+    """Values that may be heavy with lower bounds of their counts, after Misra and Gries, with ``most`` counters; and the number of rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        values, counts, rows = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        for pdf in tidied(batches):
+            rows += len(pdf)
+            own, n = np.unique(pdf["v"].to_numpy(np.int64), return_counts=True)
+            values, where = np.unique(np.concatenate((values, own)), return_inverse=True)
+            counts = np.bincount(where, np.concatenate((counts, n)), len(values)).astype(np.int64)
+            if len(values) > most:
+                counts -= np.partition(counts, -most - 1)[-most - 1]
+                values, counts = values[counts > 0], counts[counts > 0]
+        if rows:
+            yield pd.DataFrame({"v": [*values.tolist(), None], "n": [*counts.tolist(), rows]}, dtype="Int64")
+
+    return run
+
+
+def heavy(rows: DataFrame, column: str, scratch: Scratch, name: str) -> list[int]:
+    """Values of ``column`` that have more than half of a task's share of the rows (or one in HEAVY), and perhaps others.
+
+    A task keeps twice as many counters as there can be such values, and what it takes from each is less than one row in
+    so many. So a heavy value is left with at least as many rows; at most 2 * HEAVY numbers are.
     """
-    found = rows.select(F.col(column).alias("v")).mapInPandas(_frequent, "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
+    most = 2 * min(HEAVY, max(100, 2 * parts_for(rows)))
+    found = rows.select(F.col(column).alias("v")).mapInPandas(_frequent(most), "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
     found = scratch.keep(found, name)
     total = found.filter("v IS NULL").agg(F.sum("n")).first()[0] or 0
-    heavy = found.filter((F.col("v").isNotNull()) & (F.col("n") > total / (2 * HEAVY))).select(F.col("v").alias(column))
-    if total < 100 * HEAVY or heavy.isEmpty():
-        return rows, None
-    return rows.join(F.broadcast(heavy), column, "left_anti"), rows.join(F.broadcast(heavy), column, "left_semi")
+    if total < 100 * HEAVY:
+        return []
+    return [r["v"] for r in found.filter((F.col("v").isNotNull()) & (F.col("n") > total / most)).select("v").collect()]
+
+
+def spread_join(rows: DataFrame, few: DataFrame, on: list[str], column: str, values: list[int], *by: str) -> DataFrame:
+    """``rows`` joined with ``few``, which has a row for each key. Rows with one of the heavy ``values`` are dealt out by ``by``, and meet copies of their partner."""
+    if not values:
+        return rows.join(few, on)
+    salts, is_heavy = min(parts_for(rows), 256), F.col(column).isin(values)
+    left = rows.withColumn("_salt", F.when(is_heavy, F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).otherwise(0))
+    right = few.withColumn("_salt", F.explode(F.when(is_heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [*on, "_salt"]).drop("_salt")
 
 
 def once(rows: DataFrame, copied: DataFrame) -> DataFrame:
@@ -201,10 +214,7 @@ def candidates(docs: DataFrame, scratch: Scratch, first_pass: Callable, count_na
     copied = scratch.keep(told.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("doc_id", "key"), "copied")
     each = told.select("doc_id", "key", F.explode("prints").alias("print"))
     again = lambda rows: rows.groupBy("print").agg(repeated(F.col("doc_id")).alias("again")).filter("again").select("print")
-    light, hot = apart(each, "print", scratch, "heavy-prints")
-    found = light.select("key", "print").join(again(light), "print")
-    if hot is not None:
-        found = found.unionByName(hot.select("key", "print").join(F.broadcast(again(hot)), "print"))
+    found = spread_join(each.select("key", "print"), again(each), ["print"], "print", heavy(each, "print", scratch, "heavy-prints"), "key")
     # should two keys ever agree, a document gets prints of another one: they find nothing in it
     found = found.groupBy("key").agg(F.collect_set("print").alias("prints"))
     texts = docs.select("doc_id", "text", "key").mapInPandas(_zip, "doc_id long, key long, z binary")

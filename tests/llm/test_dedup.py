@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import neardup, substrings, suffixes, winnow
 from tests.llm import brute
@@ -73,9 +74,11 @@ def test_heavy_values(spark, monkeypatch, tmp_path):
     values = [7] * 900 + [8] * 300 + list(range(100, 1900))
     random.Random(1).shuffle(values)
     df = spark.createDataFrame([(v,) for v in values], "x long").repartition(5)
-    light, hot = winnow.apart(df, "x", Scratch(spark), "heavy")
-    assert Counter(r[0] for r in hot.collect()) == {7: 900, 8: 300} and light.count() == 1800
-    assert winnow.apart(df.filter("x > 99"), "x", Scratch(spark), "heavy")[1] is None
+    assert {7, 8} <= set(found := winnow.heavy(df, "x", Scratch(spark), "heavy")) and len(found) <= 20
+    assert winnow.heavy(df.filter("x > 99"), "x", Scratch(spark), "heavy") == []
+    few = spark.createDataFrame([(v, -v) for v in (7, 8, 100, 101, 5000)], "x long, y long")
+    joined = winnow.spread_join(df.withColumn("i", F.monotonically_increasing_id()), few, ["x"], "x", found, "i")
+    assert Counter(map(tuple, joined.select("x", "y").collect())) == {(7, -7): 900, (8, -8): 300, (100, -100): 1, (101, -101): 1}
     rows = [(k, " ".join(f"w{j}" for j in range(60)) + f" own{k}") for k in range(30)] + [(40, "w1 " * 5000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert Counter((r["doc_id"], r["n_words"], spans(r), r["kept_sha256"]) for r in substrings.removal_spans(docs, window=20, gram=5).collect()) == brute.substrings(rows, 20)
