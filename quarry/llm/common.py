@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import os
@@ -35,20 +36,40 @@ def words_of(text: str | None, lower: bool = False) -> list[bytes]:
 def ready(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package, and makes sure that checkpoints have a folder.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, and
+    All that is in it goes when the process ends. The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, and
     the master is local, a temporary folder is made; a cluster must name a shared one.
     """
     sc = spark.sparkContext
     if _ROOT not in sc.environment.get("PYTHONPATH", "").split(":"):
         sc.environment["PYTHONPATH"] = ":".join(x for x in (_ROOT, sc.environment.get("PYTHONPATH", "")) if x)
+    named = sc.getConf().get("spark.checkpoint.dir")
     if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local["):
+        if not named and sc.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quarry-checkpoints-"))
+        sc.setCheckpointDir(named := named or tempfile.mkdtemp(prefix="quarry-checkpoints-"))
+    own = sc.getCheckpointDir()  # a folder of this application alone, within the one that is named
+    if own not in _CLEARED and named and own.rpartition("/")[0].rstrip("/").endswith(named.rpartition(":")[2].rstrip("/")):
+        _CLEARED.add(own)
+        atexit.register(_delete, spark, own)
     return spark
 
 
+#: Folders that go when the process ends.
+_CLEARED: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def shield(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` whose columns with a leading underscore, but for ``used``, have other names; and how to rename them back."""
+    own = {c: f"kept{k}{c}" for k, c in enumerate(docs.columns) if c.startswith("_") and c not in used}
+    return docs.withColumnsRenamed(own), {new: old for old, new in own.items()}
+
+
 def _trim() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # where there is no glibc
@@ -79,6 +100,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = ready(spark)
         self.base = f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+        atexit.register(_delete, spark, self.base)
 
     def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         """``df``, written and read again; ``by``: a column with few values, a folder for each."""
@@ -88,7 +110,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def finish(self, df: DataFrame) -> DataFrame:
-        """The result, as a checkpoint that Spark cleans up once it is unused; all tables go."""
+        """The result, as a checkpoint; all tables go. Checkpoints go with the process, or once unused if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
         out = df.checkpoint()
         self.drop()
         return out

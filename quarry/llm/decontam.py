@@ -7,20 +7,25 @@ document streams through all of them. Documents are never shuffled.
 
 from __future__ import annotations
 
+import itertools
 import math
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from quarry.llm.common import Scratch, ready, tidied
+from quarry.llm.common import Scratch, ready, shield, tidied
+from quarry.operators.joins import broadcast_if_small
 
 #: Words of items in one automaton (about 500 bytes each), on average.
 BLOCK_WORDS = 200_000
-#: Blocks, and so automata and Python workers of a task, in one pass over the documents; more take further passes.
+#: Blocks, and so automata and Python workers of a task, in one pass over the documents; more take further passes, which write only hits.
 PASS_BLOCKS = 4
+#: Hits of several passes are broadcast if their files have no more bytes.
+SMALL = 4_000_000
 #: Bytes of word characters map to themselves, A-Z to a-z, the rest to a space.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -138,13 +143,24 @@ def merge(spans: np.ndarray) -> np.ndarray:
     return np.stack((spans[first, 0], upto[np.concatenate((first[1:], [True]))]), axis=1)
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items in blocks of about ``block_words`` words."""
-    own = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).cast("string").alias("t")).filter("t IS NOT NULL")
-    total = own.agg(F.sum(F.size(F.split("t", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
-    n = math.ceil(total / block_words)
+def pieces(items: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> DataFrame:
+    """(i, t, n): items, those of over ``block_words`` words in pieces that overlap so far that each window is in one."""
+    words = F.split(F.col(text_col).cast("string"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    own = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).cast("string").alias("t"), words.alias("w")).filter("t IS NOT NULL")
+    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1)), F.lit(block_words))
+    cut = F.transform(starts, lambda k: F.array_join(F.slice("w", k, block_words + window - 1), " "))
+    each = own.select("i", F.explode(F.when(F.size("w") <= block_words + window, F.array("t")).otherwise(cut)).alias("t"), F.least(F.size("w"), F.lit(block_words)).alias("n"))
+    return each
+
+
+def blocks(items: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items in blocks of about ``block_words`` words, a block at a time."""
+    own = pieces(items, id_col, text_col, window, block_words)
+    n = math.ceil((own.agg(F.sum("n")).first()[0] or 0) / block_words)
+    if n > 1:  # read once, and then a folder for each block
+        own = Scratch(items.sparkSession).keep(own.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(n)).cast("int")), "items", by="block")
     for k in range(n):
-        rows = own.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect() if n > 1 else own.collect()
+        rows = (own.filter(F.col("block") == k) if n > 1 else own).select("i", "t").collect()
         yield [(r["i"], norm_words(r["t"])) for r in rows]
 
 
@@ -186,17 +202,41 @@ def _streamed(docs: DataFrame, items: DataFrame | None, names: dict, last=None)
 
         return run
 
-    parts = blocks(items, names["item_id_col"], names["item_text_col"], names["block_words"]) if items is not None else iter(())
-    block, k = next(parts, []), 0
-    while True:
-        following = next(parts, None)
-        after = last if following is None else None
-        out = out.mapInPandas(streamed(block, uuid.uuid4().hex, after), plain if after else out.schema)
-        if following is None:
-            return out
-        block, k = following, k + 1
-        if k % PASS_BLOCKS == 0:
-            out = Scratch(docs.sparkSession).keep(out, "scanned")
+    parts = blocks(items, names["item_id_col"], names["item_text_col"], window, names["block_words"]) if items is not None else iter(())
+    some = list(itertools.islice(parts, PASS_BLOCKS)) or [[]]
+    following = next(parts, None)
+
+    def scanned(df: DataFrame, some: list, after) -> DataFrame:
+        for k, block in enumerate(some):
+            own = after if k + 1 == len(some) else None
+            df = df.mapInPandas(streamed(block, uuid.uuid4().hex, own), plain if own else df.schema)
+        return df
+
+    if following is None:
+        return scanned(out, some, last)
+    # Each further pass reads the texts again and writes only what it hits: documents themselves are never written.
+    scratch, found, k = Scratch(docs.sparkSession), [], 0
+    text = F.col(text_col).cast("string")
+    slim = out.select(text.alias(text_col), *ADDED)
+    while some:
+        hits = scanned(slim, some, None).filter(F.size("hit_items") > 0).select(F.xxhash64(text_col).alias("_hash"), F.sha2(text_col, 256).alias("_text"), "hit_spans", "hit_items")
+        found.append(scratch.keep(hits.dropDuplicates(["_text"]), f"hits-{k}"))
+        some = [following, *itertools.islice(parts, PASS_BLOCKS - 1)] if following is not None else []
+        following, k = next(parts, None), k + 1
+    every = reduce(DataFrame.unionByName, found).groupBy("_hash", "_text").agg(F.flatten(F.collect_list("hit_spans")).alias("_spans"), F.array_distinct(F.flatten(F.collect_list("hit_items"))).alias("_items"))
+    every = broadcast_if_small(scratch.keep(every, "hits"), SMALL)
+    rest, back = shield(docs.drop(*ADDED), text_col)
+    joined = rest.join(every, (F.xxhash64(text) == F.col("_hash")) & (F.sha2(text, 256) == F.col("_text")), "left").drop("_hash", "_text")
+    schema = rest.schema if last else T.StructType([*rest.schema.fields, *[out.schema[c] for c in ADDED]])
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in tidied(batches):
+            spans = [merge(np.array([(x["start"], x["end"]) for x in own], np.int64).reshape(-1, 2)) if own is not None else () for own in pdf["_spans"]]
+            pdf = pdf.assign(n_words=[len(norm_words(t)) for t in pdf[text_col]], hit_spans=[[{"start": int(a), "end": int(b)} for a, b in own] for own in spans], hit_items=[sorted(own) if own is not None else [] for own in pdf["_items"]])
+            pdf = pdf.drop(columns=["_spans", "_items"])
+            yield last(pdf) if last else pdf
+
+    return joined.mapInPandas(told, schema).withColumnsRenamed(back)
 
 
 def _names(window: int, id_col: str, text_col: str, item_id_col: str, item_text_col: str, block_words: int) -> dict:

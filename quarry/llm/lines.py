@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.llm.common import Scratch
+from quarry.llm.common import Scratch, shield
 from quarry.llm.quality import NOT_SPACE
 
 #: Lines on at least so many sites are boilerplate.
@@ -65,6 +65,7 @@ def dedup_lines(docs: DataFrame, *, min_sites: int = MIN_SITES, text_col: str =
     boilerplate. Documents with one id are judged alike.
     """
     scratch = Scratch(docs.sparkSession)
+    docs, back = shield(docs, text_col, site_col, id_col)
     boil = boilerplate(docs, scratch, min_sites=min_sites, text_col=text_col, site_col=site_col, id_col=id_col)
     wanted = F.broadcast(boil) if _few(boil, BROADCAST_LINES) else boil
     own = docs.select(F.col(id_col).cast("long").alias("_key"), F.col(text_col).cast("string").alias("_text"))
@@ -78,4 +79,4 @@ def dedup_lines(docs: DataFrame, *, min_sites: int = MIN_SITES, text_col: str =
     cut = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), F.filter(lines, stays)).otherwise(lines))
     n_lines, left = F.coalesce(with_word(lines), F.lit(0)).cast("long"), F.coalesce(with_word(F.col("_kept")), F.lit(0)).cast("long")
     texts = F.when(F.col("_gone").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col(text_col).cast("string"))
-    return cut.withColumns({"n_lines": n_lines, "n_removed": n_lines - left, text_col: texts}).select(*[c for c in rest.columns], "n_lines", "n_removed")
+    return cut.withColumns({"n_lines": n_lines, "n_removed": n_lines - left, text_col: texts}).select(*[c for c in rest.columns], "n_lines", "n_removed").withColumnsRenamed(back)

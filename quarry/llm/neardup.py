@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm import winnow
-from quarry.llm.common import Scratch, tidied, words_of
+from quarry.llm.common import Scratch, shield, tidied, words_of
 from quarry.llm.substrings import hashes
 
 BANDS, ROWS = 40, 5
@@ -26,8 +26,8 @@ REGISTERS = BANDS * ROWS
 #: Bands that are looked at before the others.
 FIRST_BANDS = 8
 MANTISSA = 10
-#: A link of similarity 0.8 has an estimate under this with a chance below 1e-15 (standard error 0.028).
-LEAST_ESTIMATE = 0.55
+#: Chance that a link at the threshold shares no band; 1.2e-7 at 80 percent.
+MISSED = 1e-6
 #: Classes, and bytes of payload, of one block.
 BLOCK_ROWS, BLOCK_BYTES = 512, 6_000_000
 #: Columns of the incidence matrix that are multiplied at once.
@@ -221,17 +221,30 @@ def _stars(keys: DataFrame) -> DataFrame:
     return keys.join(leaders, "band").select(F.col("label").alias("a"), "b").filter("a <> b").distinct()
 
 
-def _families(classes: DataFrame, scratch: Scratch) -> DataFrame:
+def layout(percent: int) -> tuple[int, float]:
+    """Registers of a band, and the least estimate that is looked at, for a threshold.
+
+    As many registers as leave a link at the threshold without a common band with a chance of at most
+    MISSED. Estimates have a standard error of at most 0.036; seven of them are left.
+    """
+    if not 20 <= percent <= 100:
+        raise ValueError("percent must be 20 to 100")
+    share = percent / 100
+    fit = [r for r in range(1, ROWS + 1) if (1 - share**r) ** (REGISTERS // r) <= MISSED]
+    return fit[-1], share - 7 * 0.036
+
+
+def _families(classes: DataFrame, scratch: Scratch, rows: int = ROWS) -> DataFrame:
     """(c, family) of classes that agree in a band with another one, directly or by others.
 
     The first bands join most of a family; in the others it then counts as one label, so that
     its members do not link to a leader in each of all bands.
     """
-    band = lambda k: F.xxhash64(F.lit(k), F.substring("sketch", 2 * ROWS * k + 1, 2 * ROWS))
+    band = lambda k: F.xxhash64(F.lit(k), F.substring("sketch", 2 * rows * k + 1, 2 * rows))
     keys = lambda df, some: df.select("label", F.explode(F.array(*[band(k) for k in some])).alias("band"))
     first = components(_stars(keys(classes.select(F.col("c").alias("label"), "sketch"), range(FIRST_BANDS))), scratch, "first")
     rooted = classes.select("c", "sketch").join(first, "c", "left").select("c", "sketch", F.col("label").isNotNull().alias("linked"), F.coalesce("label", "c").alias("label"))
-    second = components(_stars(keys(rooted, range(FIRST_BANDS, BANDS))), scratch, "second")
+    second = components(_stars(keys(rooted, range(FIRST_BANDS, REGISTERS // rows))), scratch, "second")
     top = second.select(F.col("c").alias("label"), F.col("label").alias("top"))
     found = rooted.select("c", "label", "linked").join(top, "label", "left").filter("linked OR top IS NOT NULL")
     return scratch.keep(found.select("c", F.coalesce("top", "label").alias("family")), "families")
@@ -246,8 +259,7 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
     smallest id that is reachable; ``kept`` marks its document. Null ids are never the
     smallest; where all ids of a component are null, each is kept. Repeated rows are linked.
     """
-    if percent < 80:
-        raise ValueError("bands are laid out for 80 percent or more")
+    rows_of_band, least = layout(percent)
     scratch = Scratch(docs.sparkSession)
     rows = winnow.keyed(docs, id_col, text_col)
 
@@ -259,11 +271,11 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
 
     told = scratch.keep(rows.mapInPandas(sketch, "doc_id long, key long, n_shingles long, c binary, sketch binary"), "told")
     classes = scratch.keep(told.filter("c IS NOT NULL").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    families = _families(classes, scratch)
+    families = _families(classes, scratch, rows_of_band)
 
     def similar(pdf: pd.DataFrame) -> np.ndarray:
         sketches = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(len(pdf), -1)
-        return estimates(sketches, pdf["n"].to_numpy()) >= LEAST_ESTIMATE
+        return estimates(sketches, pdf["n"].to_numpy()) >= least
 
     members = families.join(classes.select("c", "n", "sketch"), "c")
     close = components(forests(members, F.length("sketch"), similar), scratch, "close")
@@ -293,11 +305,16 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
 
 
 def dedup(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id, and one row of it."""
+    """``docs`` with one document of each component: the one with the smallest id, and one row of it.
+
+    A row without words is a component of its own and stays, as do rows with null ids whose component has no other ids.
+    Rows with equal id and text count as one. Further columns stay as they are; an empty table gives no rows.
+    """
+    docs, back = shield(docs, id_col, text_col)
     found = near_duplicates(docs, shingle_words=shingle_words, percent=percent, id_col=id_col, text_col=text_col)
     stay = found.filter("kept").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("_copies")).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
     key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     joined = docs.withColumn("_key0", key).join(stay, (F.col("_key0") == F.col("_key")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")))
     once = joined.filter("_copies = 1")
     more = joined.filter("_copies > 1").dropDuplicates(["_id", "_key"])
-    return once.unionByName(more).select(*docs.columns)
+    return once.unionByName(more).select(*docs.columns).withColumnsRenamed(back)

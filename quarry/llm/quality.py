@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quarry.llm.common import SPACE_CLASS, Scratch
+from quarry.llm.common import SPACE_CLASS, Scratch, shield
 
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 #: Characters that count as symbols.
@@ -129,6 +129,7 @@ def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
     empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
+    docs, back = shield(docs, text_col, lang_col, source_col, *(keep or ()))
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     scored = metrics(docs.withColumns({"_lang": blank(lang_col), "_source": blank(source_col)}), text_col)
     if keep is not None:
@@ -144,4 +145,4 @@ def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
     inside = ~F.col("base_failed")
     for m, (*_, both) in METRICS.items():
         inside &= (_metric(m) <= F.col(f"{m}_hi")) & ((_metric(m) >= F.col(f"{m}_lo")) if both else F.lit(True))
-    return joined.withColumn("kept", F.coalesce(inside, F.lit(False))).drop("_lang", "_source", *[f"{m}_{s}" for m in METRICS for s in ("lo", "hi")])
+    return joined.withColumn("kept", F.coalesce(inside, F.lit(False))).drop("_lang", "_source", *[f"{m}_{s}" for m in METRICS for s in ("lo", "hi")]).withColumnsRenamed(back)

@@ -108,11 +108,14 @@ class Model:
         z = self.bias + sum(self.weights[k] for k in self.codes(own))
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
-    def fit(self, rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], counterfactual: float = COUNTERFACTUAL) -> Model:
-        """Proximal Adam on log loss, and on squared logit changes between ``pairs``."""
+    def fit(self, rows: list[list[int]], labels: np.ndarray, pairs: list[tuple[list[int], list[int]]], counterfactual: float = COUNTERFACTUAL, weights: np.ndarray | None = None, pair_weights: np.ndarray | None = None) -> Model:
+        """Proximal Adam on log loss, and on squared logit changes between ``pairs``; rows and pairs count as often as their weights say."""
         n, dims = len(rows), len(self.weights)
         if not n or not dims:
             return self
+        often = np.ones(n) if weights is None else np.asarray(weights, float)
+        pair_often = np.ones(len(pairs)) if pair_weights is None else np.asarray(pair_weights, float)
+        often, pair_often = often / often.sum(), pair_often / max(pair_often.sum(), 1)
         row, col = np.repeat(np.arange(n), [len(r) for r in rows]), np.array([k for r in rows for k in r], np.int64)
         p_row = np.repeat(np.arange(len(pairs)), [len(a) + len(b) for a, b in pairs])
         p_col = np.array([k for a, b in pairs for k in (*a, *b)], np.int64)
@@ -121,10 +124,10 @@ class Model:
         m, v, mb, vb = np.zeros(dims), np.zeros(dims), 0.0, 0.0
         for step in range(1, STEPS + 1):
             z = b + np.bincount(row, w[col], n)
-            error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) / n
+            error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) * often
             g, gb = np.bincount(col, error[row], dims) + L2 * w, error.sum()
             if len(pairs):
-                change = np.bincount(p_row, p_sign * w[p_col], len(pairs)) * (2 * counterfactual / len(pairs))
+                change = np.bincount(p_row, p_sign * w[p_col], len(pairs)) * (2 * counterfactual * pair_often)
                 g += np.bincount(p_col, p_sign * change[p_row], dims)
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -166,12 +169,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, train: Column | None = None, max_
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in tidied(batches):
-            pairs = [[(model.codes(a), model.codes(b)) for a, b in swapped(t)] for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["_id"], "label": pdf["label"], "codes": [model.codes(words(t)) for t in pdf["text"]], "a": [[x for x, _ in p] for p in pairs], "b": [[y for _, y in p] for p in pairs]})
-
-    rows = sorted(texts.mapInPandas(coded, "id long, label int, codes array<int>, a array<array<int>>, b array<array<int>>").collect(), key=lambda r: (r["id"], r["codes"]))
-    pairs = [(a, b) for r in rows for a, b in zip(r["a"], r["b"], strict=True)]
-    return model.fit([r["codes"] for r in rows], np.array([r["label"] for r in rows], float), pairs, counterfactual)
+            yield pd.DataFrame({"label": pdf["label"], "a": [model.codes(words(t)) for t in pdf["text"]], "b": None})
+            pairs = [(set(model.codes(a)), set(model.codes(b))) for t in pdf["text"] for a, b in swapped(t)]
+            yield pd.DataFrame({"label": None, "a": [sorted(a - b) for a, b in pairs], "b": [sorted(b - a) for a, b in pairs]})
+
+    # Rows that are alike count as one with a weight, so repeated ids add nothing. Of a pair only what the swap changes
+    # matters to its loss: features of identity terms, so there are as many as sets of terms in a sentence, whatever the texts' length.
+    kept = texts.mapInPandas(coded, "label int, a array<int>, b array<int>").groupBy("label", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    found = sorted(kept.collect(), key=lambda r: (r["label"] is None, r["label"], r["a"], r["b"] or []))
+    rows, pairs = [r for r in found if r["label"] is not None], [r for r in found if r["label"] is None]
+    return model.fit([r["a"] for r in rows], np.array([r["label"] for r in rows], float), [(r["a"], r["b"]) for r in pairs], counterfactual, np.array([r["n"] for r in rows]), np.array([r["n"] for r in pairs]))
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -181,4 +181,61 @@ def test_empty(nothing):
     for f in (substrings.removal_spans, suffixes.removal_spans, neardup.near_duplicates):
         assert f(nothing).count() == 0
     with pytest.raises(ValueError):
-        neardup.near_duplicates(nothing, percent=50)
+        neardup.near_duplicates(nothing, percent=10)
+
+
+def test_other_thresholds(docs, rows):
+    assert neardup.layout(80) == (5, pytest.approx(0.548)) and neardup.layout(50)[0] < 5
+    for percent in (50, 95):
+        got = neardup.near_duplicates(docs, shingle_words=4, percent=percent).collect()
+        assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter(brute.near_duplicates(rows, 4, percent))
+
+
+def test_names_that_clash(spark):
+    """Columns named like helpers keep their values."""
+    from quarry.llm import lines, quality
+
+    names = ["_id", "_key", "_key0", "_copies", "_lang", "_source", "_gone", "_kept", "_first", "_h", "_salt"]
+    rows = [(k, "some words in a line\nand a few more of them here so that rules pass all the same today", "en", f"s{k}", *[f"{n}{k}" for n in names]) for k in range(12)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in ["doc_id", "text", "lang", "source", *names]).replace("doc_id string", "doc_id long"))
+    for out in (lines.dedup_lines(df), quality.judge(df), neardup.dedup(df)):
+        assert set(df.columns) <= set(out.columns)
+        got = out.select("doc_id", *names).collect()
+        assert got and all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names)
+
+
+def test_recall_of_searches(spark):
+    """Of the rows of sf0.01 whose id is divisible by 100: all partners in all rows, by brute force, are in their component."""
+    import os
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    docs = spark.read.parquet(path)
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    component = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, shingle_words=4).collect()}
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) > 3 else {tuple(w)} - {()}
+    for i in [i for i in sets if i % 100 == 0]:
+        for j, other in sets.items():
+            both = len(sets[i] & other)
+            if both and 100 * both >= 80 * (len(sets[i]) + len(other) - both):
+                assert component[i] == component[j]
+
+
+def test_nothing_stays_in_the_checkpoint_folder(tmp_path):
+    import subprocess
+    import sys
+
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "{tmp_path}").getOrCreate()
+from quarry.llm import lines, neardup, quality
+df = spark.createDataFrame([(k, "a b c d e f " * 9, "en", "s") for k in range(9)], "doc_id long, text string, lang string, source string")
+print([f(df).count() for f in (lines.dedup_lines, quality.judge, neardup.near_duplicates)])
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=__file__.rsplit("/tests/", 1)[0])
+    assert "[9, 9, 9]" in done.stdout, done.stderr[-2000:]
+    assert not [p for p in tmp_path.rglob("*") if p.is_file()]

@@ -1,3 +1,4 @@
+import random
 """Secrets, toxicity, decontamination."""
 
 import re
@@ -234,3 +235,65 @@ def test_decontaminate_short_items(spark):
     partly = spark.createDataFrame([(1, f"{long}w3 w4 w5 w6 w7 w8 {long}"), (2, f"{long}w3 w4 w5 {long}")], "doc_id long, text string")
     got = decontam.decontaminate(partly, spark.createDataFrame([(1, item)], "item_id long, text string"), window=4)
     assert got.count() == 2 and {r["text"] for r in got.collect()} == {r["text"] for r in partly.collect()}  # a piece under min_span
+
+
+def test_long_items_and_many_passes(spark, monkeypatch):
+    """Items in pieces, more blocks than a pass takes, repeated rows and names that clash."""
+    rng = random.Random(3)
+    word = lambda: rng.choice("abcdefghij") + rng.choice("klmnop")
+    items = [("long", " ".join(word() for _ in range(400))), ("b", "x y z"), ("c", " ".join(word() for _ in range(30))), (None, "p q"), ("none", None)]
+    long = items[0][1].split()
+    rows = [(k, " ".join([*[word() for _ in range(5)], *long[17 * k : 17 * k + 25], word()]), k) for k in range(20)]
+    rows += [(50, "x y z and p q", 1), (51, None, 2), (52, "", 3), rows[3], rows[3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _hash int")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    whole = decontam.contamination(docs, bench).collect()
+    cut = decontam.contamination(docs, bench, block_words=20)
+    assert cut.columns == ["doc_id", "text", "_hash", "n_words", "hit_spans", "hit_items"]
+    plain = lambda rs: Counter((r["doc_id"], r["text"], r["_hash"], r["n_words"], tuple(map(tuple, r["hit_spans"])), tuple(sorted(r["hit_items"]))) for r in rs)
+    assert plain(cut.collect()) == plain(whole) and sum(bool(r["hit_items"]) for r in whole) > 20
+    clean = [Counter(map(tuple, decontam.decontaminate(docs, bench, block_words=n).collect())) for n in (200_000, 20)]
+    assert clean[0] == clean[1]
+
+
+def test_fit_and_scores_by_brute_force(spark):
+    """Features, pairs and proximal steps by their definitions, on dense arrays; with ties, repeated rows, null and empty texts."""
+    rng = random.Random(5)
+    words = ["table", "river", "stupid", "stupids", "idiots", "garden", "window", "muslims", "women", "black"]
+    texts = [" ".join(rng.choice(words) for _ in range(6)) + rng.choice([".", "! They go."]) for _ in range(120)] + ["", None]
+    toxic = [int("stupid" in (t or "") or "idiots" in (t or "")) for t in texts]
+    rows = [*enumerate(texts), (3, texts[3]), (3, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([*enumerate(toxic)], "doc_id long, toxic int")
+    got = {(r["doc_id"], r["score"]) for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+
+    rate, used = sum(toxic) / len(toxic), [(toxicity.of_words(toxicity.words(t)), toxic[i]) for i, t in rows]
+    counts = Counter(f for own, _ in used for f in own)
+    hits = Counter(f for own, y in used if y for f in own)
+    names = [f for f in counts if counts[f] >= toxicity.MIN_DOCS and hits[f] >= toxicity.MIN_LIFT * rate * counts[f]]
+    names = list(dict.fromkeys([*names, *[f for w in toxicity._SWAP for f in toxicity.features(w)]]))
+    dense = lambda own: np.array([float(f in own) for f in names])
+    x, y = np.array([dense(own) for own, _ in used]), np.array([float(v) for _, v in used])
+    pairs = [dense(toxicity.of_words(a)) - dense(toxicity.of_words(b)) for _, t in rows for a, b in toxicity.swapped(t)]
+    pairs = np.array(pairs)
+    w, b = np.zeros(len(names)), float(np.log((sum(toxic) + 0.5) / (len(toxic) - sum(toxic) + 4.5)))
+    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+    for step in range(1, toxicity.STEPS + 1):
+        error = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+        g, gb = x.T @ error + toxicity.L2 * w, error.sum()
+        g = g + pairs.T @ (pairs @ w) * 2 * toxicity.COUNTERFACTUAL / len(pairs)
+        m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
+        up, down = 1 - 0.9**step, 1 - 0.99**step
+        scale = toxicity.RATE / (np.sqrt(v / down) + 1e-6)
+        w = w - scale * m / up
+        w = np.sign(w) * np.maximum(np.abs(w) - toxicity.L1 * scale, 0)
+        b -= toxicity.RATE * (mb / up) / (np.sqrt(vb / down) + 1e-6)
+    want = {i: 1 / (1 + np.exp(-(dense(own) @ w + b))) for (i, _), (own, _) in zip(rows, used, strict=True)}
+    assert len({i for i, _ in got}) == len(texts) and all(abs(s - want[i]) < 0.02 for i, s in got)
+
+
+@pytest.mark.parametrize("weak", ["19991231", "2024-05-17", "aaaaaaaaaaaa", "qwertyuiop", "asdfghjkl", "passwordpassword"])
+def test_cheap_segments(weak):
+    """Dates, repeats, keyboard walks and words cost less than as many characters of brute force."""
+    known = {"password": 1, "letter": 50}
+    assert secrets.guess_cost(weak, known) < 0.75 * len(weak) < secrets.guess_cost("k7Vq2ZxW9pLm3TrB"[: len(weak)], known)
