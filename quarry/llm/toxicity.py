@@ -171,7 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, train: Column | None = None, max_
         for pdf in tidied(batches):
             yield pd.DataFrame({"label": pdf["label"], "a": [model.codes(words(t)) for t in pdf["text"]], "b": None})
             pairs = [(set(model.codes(a)), set(model.codes(b))) for t in pdf["text"] for a, b in swapped(t)]
-            yield pd.DataFrame({"label": None, "a": [sorted(a - b) for a, b in pairs], "b": [sorted(b - a) for a, b in pairs]})
+            if pairs:
+                yield pd.DataFrame({"label": None, "a": [sorted(a - b) for a, b in pairs], "b": [sorted(b - a) for a, b in pairs]})
 
     # Rows that are alike count as one with a weight, so repeated ids add nothing. Of a pair only what the swap changes
     # matters to its loss: features of identity terms, so there are as many as sets of terms in a sentence, whatever the texts' length.
