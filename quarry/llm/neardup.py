@@ -10,12 +10,13 @@ then exactly on full sets; a block gives a spanning forest of its links, never i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarry.llm import winnow
 from quarry.llm.common import Scratch, shield, tidied, words_of
@@ -30,6 +31,8 @@ MANTISSA = 10
 MISSED = 1e-6
 #: Classes, and bytes of payload, of one block.
 BLOCK_ROWS, BLOCK_BYTES = 512, 6_000_000
+#: Tasks over which a family's members of about one size are dealt before they know their blocks.
+SALTS = 64
 #: Columns of the incidence matrix that are multiplied at once.
 COLUMNS = 4096
 _ODD = (winnow.mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * winnow.BASE) | np.uint64(1)).tolist()
@@ -164,18 +167,38 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return labels
 
 
-def blocks(members: DataFrame, size) -> DataFrame:
-    """``members`` (family, c, ...) dealt into pairs of blocks: adds i and j; a member of block k is in all (i, j) with i = k or j = k."""
-    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).filter("n > 1")
-    parts = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    own = members.join(sizes.select("family", parts.alias("parts")), "family").withColumn("k", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
-    pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return pairs.withColumns({"i": F.least("k", "other"), "j": F.greatest("k", "other")}).drop("other", "parts")
+def blocks(members: DataFrame, size: Column, shingles: Column, percent: int) -> DataFrame:
+    """``members`` (family, c, ...) dealt into pairs of blocks: adds i and j; a member of block k is in pairs (i, j) with i = k or j = k.
 
-
-def forests(members: DataFrame, size, linked: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
+    A family of more than one block is first cut into cells by number of shingles. Sets as similar as
+    ``percent`` differ in size by a factor of 100 / percent at most, so they are in one cell or in neighbours,
+    and only blocks of such cells meet. Members are dealt out by a salt, so that no task has all of a family.
+    """
+    cell = F.floor(F.log(shingles) / F.lit(math.log(1.001 * 100 / percent))).cast("long")
+    own = members.withColumns({"cell": cell, "salt": F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int")})
+    salted = own.groupBy("family", "cell", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"))
+    cells = salted.groupBy("family", "cell").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    parts = lambda n, of: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(of / BLOCK_BYTES))
+    family = Window.partitionBy("family")  # a row for each cell
+    up = family.orderBy("cell")
+    beside = lambda f, step: F.when(f("cell").over(up) == F.col("cell") + step, f("own").over(up))
+    laid = cells.withColumns({"own": parts(F.col("n"), F.col("bytes")), "all": F.sum("n").over(family), "parts": parts(F.sum("n").over(family), F.sum("bytes").over(family))})
+    laid = laid.withColumns({"below": beside(F.lag, -1), "above": beside(F.lead, 1)}).filter("all > 1").select("family", "cell", "parts", "own", "below", "above")
+    placed = own.join(salted.select("family", "cell", "salt").join(laid, ["family", "cell"]), ["family", "cell", "salt"])
+
+    name = lambda c, k: c * F.lit(1 << 32) + k
+    me = name(F.col("cell"), F.pmod(F.xxhash64("c"), F.col("own")))
+    of_cell = lambda n, step: F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: name(F.col("cell") + step, k))).otherwise(F.array().cast("array<long>"))
+    others = F.array_remove(F.concat(of_cell(F.col("own"), 0), of_cell(F.col("below"), -1), of_cell(F.col("above"), 1)), me)
+    met = F.when(F.col("parts") == 1, F.array(F.lit(-1).cast("long"))).when(F.size(others) > 0, others).otherwise(F.array(me))
+    mine = F.when(F.col("parts") == 1, F.lit(-1).cast("long")).otherwise(me)
+    pairs = placed.withColumn("me", mine).withColumn("other", F.explode(met))
+    return pairs.withColumns({"i": F.least("me", "other"), "j": F.greatest("me", "other")}).select(*members.columns, "i", "j")
+
+
+def forests(members: DataFrame, size: Column, shingles: Column, percent: int, linked: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
     """Spanning forests (a, b) of the links in each pair of blocks."""
-    dealt = blocks(members, size)
+    dealt = blocks(members, size, shingles, percent)
     dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "c")
 
     def solve(rows: list[pd.DataFrame]) -> pd.DataFrame:
@@ -278,7 +301,7 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
         return estimates(sketches, pdf["n"].to_numpy()) >= least
 
     members = families.join(classes.select("c", "n", "sketch"), "c")
-    close = components(forests(members, F.length("sketch"), similar), scratch, "close")
+    close = components(forests(members, F.length("sketch"), F.col("n"), percent, similar), scratch, "close")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in tidied(batches):
@@ -295,7 +318,7 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 5, percent: int = 8
         size = np.diagonal(both)
         return 100 * both >= percent * (size[:, None] + size - both)
 
-    linked = components(forests(full, F.length("hashes"), confirmed), scratch, "linked")
+    linked = components(forests(full, F.length("hashes"), F.length("hashes") / 8, percent, confirmed), scratch, "linked")
     of_class = classes.select("c", F.col("first.doc_id").alias("lo")).join(linked, "c", "left").select("c", "lo", F.coalesce("label", "c").alias("label"))
     least = of_class.groupBy("label").agg(F.min("lo").alias("component_id"))
     found = of_class.join(least, "label").select("c", "component_id")

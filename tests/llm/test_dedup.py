@@ -149,6 +149,40 @@ def test_chains_and_families_in_blocks(spark, monkeypatch):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter(brute.near_duplicates(rows, 4))
 
 
+def test_sizes_in_cells(spark, monkeypatch):
+    """Texts that grow from 20 to 900 words by small and large steps; only blocks of sizes within reach of each other meet."""
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 4)
+    rng = random.Random(10)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(900)]
+    rows, n = [], 20
+    while n <= 900:
+        rows.append((1000 - len(rows), " ".join(words[:n])))
+        n += max(1, n * rng.choice([2, 5, 10, 24, 26]) // 100)
+    rows += [(2000 + k, " ".join(words[: 500 + k])) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (60, 80, 100):
+        got = neardup.near_duplicates(df, shingle_words=4, percent=percent).collect()
+        assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter(brute.near_duplicates(rows, 4, percent))
+
+
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_every_pair_within_reach_meets(spark, monkeypatch, percent):
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 5)
+    rng = random.Random(percent)
+    members = [("big", f"{k}", rng.choice([rng.randint(1, 40), rng.randint(1, 5000), 64, 80, 100])) for k in range(150)] + [("small", f"s{k}", k + 1) for k in range(4)] + [("one", "alone", 3)]
+    df = spark.createDataFrame([(f.encode(), c.encode(), n) for f, c, n in members], "family binary, c binary, n long")
+    places = {}
+    for r in neardup.blocks(df, F.lit(1), F.col("n"), percent).collect():
+        places.setdefault(bytes(r["c"]).decode(), set()).add((bytes(r["family"]), r["i"], r["j"]))
+    assert "alone" not in places and all(len(places[f"s{k}"]) == 1 for k in range(4))
+    size = Counter(p for own in places.values() for p in own)
+    assert max(size.values()) <= 40  # two blocks of a few more than five rows
+    for f, c, n in members:
+        for g, d, m in members:
+            if f == g == "big" and c < d and 100 * min(n, m) >= percent * max(n, m):
+                assert places[c] & places[d]
+
+
 def test_one_of_each(docs, rows):
     got = neardup.dedup(docs)
     least = {}
