@@ -19,7 +19,7 @@ MIN_SITES = 10
 LG = 10
 #: Estimates within this share of the threshold are counted exactly: more than six standard errors.
 NEAR = 0.2
-#: Up to so many boilerplate lines (24 bytes each) the list is broadcast; beyond, it is shuffled.
+#: Up to so many boilerplate lines (24 bytes each) are broadcast: all, or those that are found most often.
 BROADCAST_LINES = 200_000
 
 
@@ -42,17 +42,31 @@ def _few(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+def _met(lines: DataFrame, some: DataFrame, how: str = "inner") -> DataFrame:
+    """``lines`` joined with ``some`` (_h, _n, ...), where _n is how often the line _h is found.
+
+    Lines that are at least one in BROADCAST_LINES of those found, no more than so many, are broadcast. The
+    others are shuffled, and none of them outweighs a task.
+    """
+    if _few(some, BROADCAST_LINES):
+        return lines.join(F.broadcast(some.drop("_n")), "_h", how)
+    found = some.agg(F.sum("_n")).first()[0]
+    often = F.col("_n") * BROADCAST_LINES >= found
+    most, rest = some.filter(often).drop("_n"), some.filter(~often).drop("_n")
+    other = lines.join(F.broadcast(most.select("_h")), "_h", "left_anti")
+    return lines.join(F.broadcast(most), "_h", how).unionByName(other.join(rest, "_h", how))
+
+
 def boilerplate(docs: DataFrame, scratch: Scratch, *, min_sites: int, text_col: str, site_col: str, id_col: str) -> DataFrame:
-    """Hashes of boilerplate lines, and the smallest id of a document that has each."""
+    """Hashes of boilerplate lines, how often each is found, and the smallest id of a document that has it."""
     text = F.col(text_col).cast("string")
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("_site"), text.alias("_text"))
     lines = _lines(slim, F.col("_text"), "_id", "_site")
-    sketch = lines.groupBy("_h").agg(F.hll_sketch_agg("_site", F.lit(LG)).alias("sketch"), F.min("_id").alias("_first"))
-    spread = scratch.keep(sketch.select("_h", "_first", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= min_sites * (1 - NEAR)), "spread")
+    sketch = lines.groupBy("_h").agg(F.hll_sketch_agg("_site", F.lit(LG)).alias("sketch"), F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    spread = scratch.keep(sketch.select("_h", "_first", "_n", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= min_sites * (1 - NEAR)), "spread")
     sure, near = spread.filter(F.col("sites") > min_sites * (1 + NEAR)), spread.filter(F.col("sites") <= min_sites * (1 + NEAR))
-    wanted = F.broadcast(near.select("_h")) if _few(near, BROADCAST_LINES) else near.select("_h")
-    exact = lines.join(wanted, "_h", "left_semi").select("_h", "_site").distinct().groupBy("_h").count().filter(F.col("count") >= min_sites)
-    return scratch.keep(sure.select("_h", "_first").unionByName(near.join(exact, "_h", "left_semi").select("_h", "_first")), "boilerplate")
+    exact = _met(lines, near.select("_h", "_n"), "left_semi").select("_h", "_site").distinct().groupBy("_h").count().filter(F.col("count") >= min_sites)
+    return scratch.keep(sure.select("_h", "_first", "_n").unionByName(near.join(exact, "_h", "left_semi").select("_h", "_first", "_n")), "boilerplate")
 
 
 def dedup_lines(docs: DataFrame, *, min_sites: int = MIN_SITES, text_col: str = "text", site_col: str = "source", id_col: str = "doc_id") -> DataFrame:
@@ -67,9 +81,8 @@ def dedup_lines(docs: DataFrame, *, min_sites: int = MIN_SITES, text_col: str =
     scratch = Scratch(docs.sparkSession)
     docs, back = shield(docs, text_col, site_col, id_col)
     boil = boilerplate(docs, scratch, min_sites=min_sites, text_col=text_col, site_col=site_col, id_col=id_col)
-    wanted = F.broadcast(boil) if _few(boil, BROADCAST_LINES) else boil
     own = docs.select(F.col(id_col).cast("long").alias("_key"), F.col(text_col).cast("string").alias("_text"))
-    hits = _lines(own, F.col("_text"), "_key").join(wanted, "_h").filter(~F.col("_key").eqNullSafe(F.col("_first")))
+    hits = _met(_lines(own, F.col("_text"), "_key"), boil).filter(~F.col("_key").eqNullSafe(F.col("_first")))
     gone = hits.groupBy("_key").agg(F.collect_set("_h").alias("_gone"))  # no more than the lines of one document
     rest = docs.drop("n_lines", "n_removed")
     joined = rest.join(gone, rest[id_col].cast("long").eqNullSafe(gone["_key"]), "left").drop("_key")

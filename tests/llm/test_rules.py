@@ -92,6 +92,14 @@ def test_lines(docs, rows, min_sites):
     assert Counter((r["doc_id"], r["n_lines"], r["n_removed"], r["text"]) for r in got.collect()) == brute_lines(rows, min_sites)
 
 
+@pytest.mark.parametrize("most", [1, 3])
+def test_lines_beyond_the_broadcast(docs, rows, monkeypatch, most):
+    """Lines found most often are broadcast, the others shuffled."""
+    monkeypatch.setattr(lines, "BROADCAST_LINES", most)
+    got = lines.dedup_lines(docs, min_sites=2)
+    assert Counter((r["doc_id"], r["n_lines"], r["n_removed"], r["text"]) for r in got.collect()) == brute_lines(rows, 2)
+
+
 def test_lines_agree_with_sql(docs, duck):
     got = lines.dedup_lines(docs).collect()
     want = duck.sql(sql.oracle_sql()["op4_line_dedup"]).fetchall()
