@@ -134,7 +134,8 @@ def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
     scored = metrics(docs.withColumns({"_lang": blank(lang_col), "_source": blank(source_col)}), text_col)
     if keep is not None:
         scored = scored.select(*keep, *[c for c in scored.columns if c in MADE or c in ("_lang", "_source")])
-    scored = scored.drop("kept", *[f"{m}_{s}" for m in METRICS for s in ("lo", "hi")]).checkpoint()  # narrow: the metrics are computed once
+    # metrics are computed once; sketches then read a few columns of this table, whatever the texts weigh
+    scored = scratch.keep(scored.drop("kept", *[f"{m}_{s}" for m in METRICS for s in ("lo", "hi")]), "scored")
     limits = scratch.keep(cutoffs(sketches(scored)), "cutoffs")
     rows = [r for r in limits.limit(BROADCAST_GROUPS + 1).select(F.count(F.lit(1))).collect()]
     if rows[0][0] <= BROADCAST_GROUPS:
