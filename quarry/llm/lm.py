@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
+from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.llm import winnow
@@ -41,6 +42,8 @@ BLOCK, CONTEXT = 32, 32
 KEYS = BLOCK + CONTEXT
 #: Windows that are worked on at once.
 WINDOWS = 48
+#: Rows of the products over classes that are worked on at once.
+PART = 128
 #: Characters of a chunk of documents, about.
 CHUNK = 4_000_000
 #: Bytes of text for each bucket of word counts: some 4 bytes in 10 are sent.
@@ -367,73 +370,95 @@ class Model:
         """The vector that stands before a document's first word."""
         return self.vectors[END]
 
-    def forward(self, x: np.ndarray, first: np.ndarray, start: np.ndarray, end: np.ndarray):
-        """Powers of the classes at queries that lie in their document, these queries' places, and what the gradient needs.
-
-        Attention logits are held within 60, those of classes to 80 at most: no power overflows.
-        """
+    def joined(self) -> dict[str, np.ndarray]:
+        """The parameters as products that each window needs."""
         p = self.p
-        at = first[:, None] + np.arange(BLOCK)
-        xk = x[first[:, None] + np.arange(KEYS)]  # rows of x are CONTEXT places late
-        xq = xk[:, CONTEXT:]
-        flat = xk.reshape(-1, WIDTH)
-        q = (xq.reshape(-1, WIDTH) @ (p["Wq"] * np.float32(HEAD**-0.5))).reshape(len(first), BLOCK, HEAD)
-        both = (flat @ np.concatenate((p["Wk"], p["Wv"]), 1)).reshape(len(first), KEYS, HEAD + WIDTH)
-        k, v = both[..., :HEAD], both[..., HEAD:]
-        a = q @ k.transpose(0, 2, 1)
-        a += p["r"][np.maximum(_DISTANCE, 0)]
+        return {
+            "q": p["Wq"] @ p["Wk"].T * np.float32(HEAD**-0.5),
+            "r": p["r"][np.maximum(_DISTANCE, 0)],
+            "U": np.concatenate((p["U"], p["b"][None])),
+            "high": (np.abs(p["U"]).sum(0) + p["b"]).max() > 40,  # tanh lies within 1: else no class's logit comes to that
+        }
+
+    def forward(self, x: np.ndarray, first: np.ndarray, start: np.ndarray, end: np.ndarray, joined: dict[str, np.ndarray]):
+        """Powers of the classes at queries that lie in their document, then rows up to a multiple of PART, and what the gradient needs.
+
+        Windows follow one another, so these queries are the places from ``first[0]`` on. Keys and
+        values are never written out: logits are ``x @ (Wq Wk') @ x'``, and the attention sums x
+        itself. Attention logits are held within 60, those of classes to 80 at most: no power overflows.
+        """
+        x = x[first[0] : first[-1] + KEYS]  # rows of x are CONTEXT places late
+        turned = np.ones((WIDTH + 1, len(x)), x.dtype)  # the last row counts
+        turned[:WIDTH] = x.T
+        at = first - first[0]
+        keys = _stretches(turned, KEYS)[at]
+        a = _stretches(joined["q"].T @ turned[:WIDTH, CONTEXT:], BLOCK)[at].transpose(0, 2, 1) @ keys[:, :WIDTH]
+        a += joined["r"]
         np.clip(a, np.float32(-60), np.float32(60), out=a)
         np.exp(a, out=a)
         a *= _SEEN
         for e in np.flatnonzero(first - CONTEXT < start).tolist():  # keys before the document
             a[e, :, : CONTEXT - (first[e] - start[e])] = 0
-        a *= 1 / _sums(a)[..., None]
-        inside = at < end[:, None]
-        h = a @ v
-        h += (xq.reshape(-1, WIDTH) @ p["M"]).reshape(h.shape)
-        h = np.tanh(h[inside])
-        out = h @ p["U"]
-        out += p["b"]
-        np.minimum(out, np.float32(80), out=out)
+        inside = np.flatnonzero(first[:, None] + np.arange(BLOCK) < end[:, None])
+        seen = (a @ keys.transpose(0, 2, 1)).reshape(-1, WIDTH + 1).take(inside, 0)
+        weight = 1 / seen[:, WIDTH:]
+        seen *= weight
+        seen = seen[:, :WIDTH]
+        xq = x[CONTEXT : CONTEXT + len(inside)]
+        h = np.zeros((-(-len(inside) // PART) * PART, WIDTH + 1), x.dtype)
+        y = seen @ self.p["Wv"]
+        y += xq @ self.p["M"]
+        h[: len(inside), :WIDTH] = np.tanh(y, out=y)
+        h[:, WIDTH] = 1
+        out = _by_parts(h, joined["U"])
+        if joined["high"]:
+            np.minimum(out, np.float32(80), out=out)
         np.exp(out, out=out)
-        return out, at[inside], (xk, xq, q, k, v, a, inside, h)
+        return out, (xq, keys, a, inside, seen, weight, y, h)
 
     def logs(self, x: np.ndarray, target: np.ndarray, windows) -> np.ndarray:
         """Natural log probability of the class of each place."""
-        out = np.zeros(len(target), np.float32)
+        out, joined = np.zeros(len(target), np.float32), self.joined()
         for k in range(0, len(windows[0]), WINDOWS):
-            powers, at, _ = self.forward(x, *[w[k : k + WINDOWS] for w in windows])
-            out[at] = np.log(powers[np.arange(len(at)), target[at]] / _sums(powers))
+            some = [w[k : k + WINDOWS] for w in windows]
+            powers, (xq, *_) = self.forward(x, *some, joined)
+            at = slice(some[0][0], some[0][0] + len(xq))
+            out[at] = np.log(powers[np.arange(len(xq)), target[at]] / _sums(powers)[: len(xq)])
         return out
 
-    def gradients(self, x: np.ndarray, target: np.ndarray, windows) -> tuple[float, dict[str, np.ndarray]]:
-        """Loss and its gradient, summed over the places of some windows."""
-        p = self.p
-        out, at, (xk, xq, q, k, v, a, inside, h) = self.forward(x, *windows)
-        out *= 1 / _sums(out)[:, None]
-        rows, target = np.arange(len(at)), target[at]
-        loss = -float(np.log(out[rows, target] + 1e-30).sum())
-        out[rows, target] -= 1
-        g = {"U": h.T @ out, "b": out.sum(0)}
-        d = np.zeros((*inside.shape, WIDTH), out.dtype)
-        d[inside] = (out @ p["U"].T) * (1 - h * h)
-        flat, flat_q, flat_d = xk.reshape(-1, WIDTH).T, xq.reshape(-1, WIDTH).T, d.reshape(-1, WIDTH)
-        g["M"] = flat_q @ flat_d
-        dv = a.transpose(0, 2, 1) @ d
-        s = d @ v.transpose(0, 2, 1)
-        s -= np.einsum("ijk,ijk->ij", s, a)[..., None]
+    def gradients(self, x: np.ndarray, target: np.ndarray, windows, joined: dict[str, np.ndarray] | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Loss and its gradient, summed over the places of some windows that follow one another."""
+        p, joined, first = self.p, joined or self.joined(), windows[0][0]
+        out, (xq, keys, a, inside, seen, weight, y, h) = self.forward(x, *windows, joined)
+        total, n = _sums(out), len(inside)
+        rows, target = np.arange(n), target[first : first + n]
+        hit = out[rows, target]
+        loss = -float(np.log(hit / total[:n] + 1e-30).sum())
+        out[rows, target] = hit - total[:n]
+        part = 1 / total[:, None]  # times this, out is the gradient of the classes' logits
+        part[n:] = 0
+        if joined["high"]:  # else sums over out can not overflow
+            out *= part
+            part = np.ones_like(part)
+        top = _sum_by_parts(h * part, out)
+        d = _by_parts(out, p["U"].T)[:n]
+        d *= part[:n]
+        d *= 1 - y * y
+        by_key = d @ p["Wv"].T
+        back = np.zeros((a.shape[0] * BLOCK, WIDTH + 1), out.dtype)
+        back[inside] = np.concatenate((by_key, -_sums(by_key * seen)[:, None]), 1) * weight
+        s = back.reshape(-1, BLOCK, WIDTH + 1) @ keys
         s *= a
+        both = xq.T @ (s @ keys[:, :WIDTH].transpose(0, 2, 1)).reshape(-1, WIDTH).take(inside, 0) * np.float32(HEAD**-0.5)  # of Wq Wk'
+        g = {"U": top[:WIDTH], "b": top[WIDTH], "M": xq.T @ d, "Wv": seen.T @ d, "Wq": both @ p["Wk"], "Wk": both.T @ p["Wq"]}
         g["r"] = np.bincount(np.maximum(_DISTANCE, 0).ravel(), s.sum(0).ravel(), KEYS)
-        g["Wq"] = flat_q @ (s @ k).reshape(-1, HEAD) * np.float32(HEAD**-0.5)
-        both = flat @ np.concatenate((s.transpose(0, 2, 1) @ q, dv), -1).reshape(-1, HEAD + WIDTH)
-        g["Wk"], g["Wv"] = both[:, :HEAD], both[:, HEAD:]
         return loss, g
 
     def gradient(self, x: np.ndarray, target: np.ndarray, windows) -> tuple[float, np.ndarray]:
         """Loss and its gradient over all windows, as one vector."""
-        total, loss = np.zeros(len(self.vector())), 0.0
+        total, loss, joined = np.zeros(len(self.vector())), 0.0, self.joined()
         for k in range(0, len(windows[0]), WINDOWS):
-            own, g = self.gradients(x, target, [w[k : k + WINDOWS] for w in windows])
+            own, g = self.gradients(x, target, [w[k : k + WINDOWS] for w in windows], joined)
             loss += own
             total += np.concatenate([g[k].ravel() for k in self.SHAPES])
         return loss, total
@@ -449,6 +474,21 @@ def _sums(a: np.ndarray) -> np.ndarray:
     return a @ np.ones(a.shape[-1], a.dtype)
 
 
+def _stretches(a: np.ndarray, width: int) -> np.ndarray:
+    """By place: that column and the next ones, ``width`` in all. Nothing is copied."""
+    return as_strided(a, (a.shape[1] - width + 1, a.shape[0], width), (a.strides[1], *a.strides), writeable=False)
+
+
+def _by_parts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b, PART rows at a time: for products this narrow, that is quicker."""
+    return (a.reshape(-1, PART, a.shape[1]) @ b).reshape(-1, b.shape[1])
+
+
+def _sum_by_parts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b, PART rows at a time."""
+    return (a.reshape(-1, PART, a.shape[1]).transpose(0, 2, 1) @ b.reshape(-1, PART, b.shape[1])).sum(0)
+
+
 def windows_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For documents of words laid end to end: (first place of each window, its document's start and end)."""
     ends = np.cumsum(sizes)
