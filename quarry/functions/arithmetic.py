@@ -31,8 +31,8 @@ def truediv(a, b) -> Column:
 def floordiv(a, b) -> Column:
     """floor(a / b), a double."""
     whole = truediv(a, b)
-    finite = ~F.isnan(whole) & (F.abs(whole) < F.lit(2.0**53))
-    return F.when(finite, F.floor(F.when(finite, whole)).cast("double")).otherwise(whole)
+    near = F.rint(whole)  # a double, so inf, NaN and -0.0 stay
+    return near - F.when(near > whole, 1.0).otherwise(0.0)
 
 
 def int_floordiv(a, b) -> Column:
