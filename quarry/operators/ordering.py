@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from quarry.functions.accessors import KEY
@@ -88,8 +89,17 @@ def set_index(df: DataFrame | IndexedFrame, index: str | Column, *, drop: bool =
 
 
 def repartition(df: DataFrame, npartitions: int) -> DataFrame:
-    """Fewer partitions are merged without a shuffle; more are dealt anew."""
-    return df.coalesce(npartitions) if npartitions < df.rdd.getNumPartitions() else df.repartition(npartitions)
+    """Rows are dealt anew, in turn: merged splits of files may hold none, as a row group is read by one of them."""
+    return df.repartition(npartitions)
+
+
+def partition_sizes(df: DataFrame, name: str = "n") -> DataFrame:
+    """The number of rows of each partition, of those without rows too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({name: [sum(b.num_rows for b in batches)]})
+
+    return df.mapInArrow(run, T.StructType([T.StructField(name, T.LongType())]))
 
 
 def hash_partition(df: DataFrame, keys: str | Sequence[str], npartitions: int) -> DataFrame:

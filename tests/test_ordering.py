@@ -55,6 +55,20 @@ def test_repartition(spark, before, after):
     assert od.repartition(spark.range(99).repartition(before), after).rdd.getNumPartitions() == after
 
 
+def test_repartition_leaves_no_partition_without_rows(spark, tmp_path):
+    path = str(tmp_path / "one_row_group.parquet")
+    spark.range(300_000, numPartitions=1).write.parquet(path)
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        df = spark.read.parquet(path)
+        assert df.rdd.getNumPartitions() > 7 and df.select(F.spark_partition_id()).distinct().count() == 1
+        sizes = [r["n"] for r in od.partition_sizes(od.repartition(df, 7)).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+    assert sum(sizes) == 300_000 and len(sizes) == 7 and max(sizes) - min(sizes) <= 1
+
+
 def test_concat(spark):
     a, b = spark.createDataFrame([(1, 2)], "x int, y int"), spark.createDataFrame([(3,)], "x int")
     assert sorted((tuple(r) for r in od.concat([a, b, a]).collect()), key=repr) == [(1, 2), (1, 2), (3, None)]
